@@ -14,8 +14,26 @@ def op9_token_id_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_table(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from torrentine.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from torrentine.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from torrentine.llm.substring import drop_repeats
+
+    return drop_repeats(table(spark, sf_dir, "documents"), width=35)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_token_id_sstable,)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op6_best_fit_packing, op9_token_id_sstable, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,9 +15,9 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -85,8 +85,8 @@ class Writer:
         self.block, self.first, self.last, self.before = bytearray(), None, b"", self.n_ids
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        key, wide = key_of(doc_id), array("I", ids)
-        narrow = not wide or max(wide) < 1 << 16
+        key, wide = key_of(doc_id), np.frombuffer(ids, "<u4")
+        narrow = not len(wide) or int(wide.max()) < 1 << 16
         shared = 0
         for x, y in zip(key, self.last):
             if x != y:
@@ -95,7 +95,7 @@ class Writer:
         if self.first is None:
             self.first = key
         self.block += _varint(shared) + _varint(9 - shared) + _varint(2 if narrow else 4) + _varint(len(wide)) + key[shared:]
-        self.block += array("H", wide).tobytes() if narrow else ids
+        self.block += wide.astype("<u2").tobytes() if narrow else ids
         self.last = key
         self.keys += key
         self.n_docs += 1
@@ -164,7 +164,7 @@ class Reader:
             at += rest
             ids = raw[at : at + n * width]
             at += n * width
-            yield key, ids if width == 4 else array("I", array("H", ids)).tobytes()
+            yield key, ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
     def scan(self) -> Iterator[tuple[int | None, bytes]]:
         for i in range(len(self.index)):
@@ -199,8 +199,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
     def write(batches):
         part, enc, shard, seq, held = TaskContext.get().partitionId(), encoder(tokenizer), None, 0, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist())):
+                ids += end
                 if shard is not None and held + len(ids) > shard_bytes:
                     yield from in_slices(iter([(part, seq, *shard.close())]), MANIFEST)
                     shard, seq, held = None, seq + 1, 0
@@ -232,7 +232,7 @@ def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]], with_id
                 for path, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     for doc_id, ids in Reader(path).scan():
                         n = len(ids) // 4
-                        yield (doc_id, at, n, zlib.crc32(ids), *([array("I", ids).tolist()] if with_ids else []))
+                        yield (doc_id, at, n, zlib.crc32(ids), *([np.frombuffer(ids, "<u4").tolist()] if with_ids else []))
                         at += n
 
         yield from in_slices(one(), schema)

@@ -7,45 +7,120 @@ white space outside space, tab, line feed and carriage return go to the library
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
 
 PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+#: Unicode white space, and separators that some libraries count as such, by code point.
+RARE = (11, 12, *range(28, 32), 133, 160, 5760, 6158, *range(8192, 8204), 8232, 8233, 8239, 8287, 12288, 65279)
+RARE_SPACE = re.compile("[" + "".join(map(chr, RARE)) + "]")
+#: Beyond these Latin letters, lower-casing and composing a text need not be the library's, letter by letter.
+NOT_PLAIN = re.compile("[^{}-{}{}-{}]".format(*map(chr, (0, 303, 305, 383))))
 #: Most pieces a worker remembers (about 200 bytes each), and the longest.
-MEMO_PIECES, MEMO_CHARS = 500_000, 64
+MEMO_PIECES, MEMO_CHARS = 1_000_000, 64
+
+#: Texts whose unknown pieces are encoded together.
+BATCH_TEXTS = 256
 
 _loaded: dict[str, "MemoEncoder"] = {}
 
 
-class MemoEncoder(dict):
-    """piece -> ids as little-endian uint32 bytes."""
+class MemoEncoder:
+    """Encodes texts to ids as little-endian uint32 bytes.
+
+    Unknown pieces of some hundred texts are joined, encoded in one call and told apart again by the
+    bytes that each id stands for.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kinds = re.findall(r'"type": *"(\w+)"', json.dumps(spec.get("normalizer")))
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.drops_space = ids(" a\nb ") == ids("a") + ids("b")
+        self.lowers = self.drops_space and "Lowercase" in kinds and {*kinds} <= {"Sequence", "NFC", "Replace", "Lowercase"}
+        end = spec["model"].get("end_of_word_suffix") or ""
+        vocab = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.n_bytes[i] = len(token) - len(end) * bool(end and token.endswith(end))
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece)
-        if len(self) < MEMO_PIECES and len(piece) <= MEMO_CHARS:
-            self[piece] = ids
-        return ids
+    def _pieces(self, text: str) -> list[str]:
+        if not self.drops_space:
+            return PIECE.findall(text)
+        if self.lowers and not NOT_PLAIN.search(text):
+            text = text.lower()
+        return text.split()
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of different pieces. Joined pieces must keep their borders, so one without white space before it goes alone."""
+        if self.drops_space:
+            alone, joint, text = [p for p in pieces if NOT_PLAIN.search(p)], [p for p in pieces if not NOT_PLAIN.search(p)], " "
+        else:
+            alone, joint, text = [p for p in pieces if p[0] not in " \n\t\r"], [p for p in pieces if p[0] in " \n\t\r" and p[-1] not in " \n\t\r"], ""
+            alone += [p for p in pieces if p[0] in " \n\t\r" and p[-1] in " \n\t\r"]
+        found = {p: self.whole(p) for p in alone}
+        if joint:
+            [e] = self.tokenizer.encode_batch_fast([text.join(joint)], add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum(np.fromiter((len(p.encode()) for p in joint), np.int64, len(joint)))
+            at = np.cumsum(self.n_bytes[ids])
+            cut = np.searchsorted(at, ends)
+            if len(ids) and at[-1] == ends[-1] and (at[cut] == ends).all():
+                raw, cut = ids.tobytes(), (4 * (cut + 1)).tolist()
+                found.update(zip(joint, (raw[a:b] for a, b in zip([0, *cut], cut))))
+            else:
+                found.update((p, self.whole(p)) for p in joint)
+        return found
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text; none for null. Holds those of ``BATCH_TEXTS`` at a time."""
+        for at in range(0, len(texts), BATCH_TEXTS):
+            yield from self._encode_some(texts[at : at + BATCH_TEXTS])
+
+    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
+        get, unknown, rows = self.known.get, {}, []
+        for text in texts:
+            if not text:
+                rows.append(b"")
+            elif RARE_SPACE.search(text):
+                rows.append(self.whole(text))
+            else:
+                pieces = self._pieces(text)
+                ids = [get(p) for p in pieces]
+                holes = [i for i, x in enumerate(ids) if x is None]
+                unknown.update((pieces[i], None) for i in holes)
+                rows.append((ids, [(i, pieces[i]) for i in holes]))
+        if unknown:
+            unknown = self._encode_pieces(list(unknown))
+            if len(self.known) < MEMO_PIECES:
+                self.known.update((p, x) for p, x in unknown.items() if len(p) <= MEMO_CHARS)
+        out = []
+        for row in rows:
+            if not isinstance(row, bytes):
+                ids, holes = row
+                for i, p in holes:
+                    ids[i] = unknown[p]
+                row = b"".join(ids)
+            out.append(row)
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian uint32 bytes; none for null."""
-        if not text:
-            return b""
-        if RARE_SPACE.search(text):
-            return self.whole(text)
-        return b"".join([self[p] for p in PIECE.findall(text)])
+        return self._encode_some([text])[0]
 
 
 def encoder(path: str) -> MemoEncoder:
