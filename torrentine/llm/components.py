@@ -1,6 +1,6 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Nothing but two totals comes to the driver. Each round is written to the shared folder, so lineage
+Nothing but two totals comes to the driver. Each round is checkpointed in the shared folder, so lineage
 stays short and a lost executor costs no earlier round.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from torrentine.llm.common import materialize
+from torrentine.llm.common import shared_dir
 
 
 def _stars(near: DataFrame, keep) -> DataFrame:
@@ -25,8 +25,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     ``edges`` has two long columns u and v, in either direction, repeats allowed; loops and nulls are
     dropped. An empty table gives an empty result.
     """
+    shared_dir(edges.sparkSession)
     e = edges.where("u is not null and v is not null and u <> v")
-    e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -36,7 +37,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        e = materialize(small.distinct(), "links")
+        e = small.distinct().checkpoint()
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
