@@ -32,8 +32,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents"), width=35)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from torrentine.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from torrentine.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from torrentine.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op6_best_fit_packing, op9_token_id_sstable, op10_substring_dedup)}
+    found = (op1_decontamination, op2_simhash_near_dedup, op5_quality_rules, op6_best_fit_packing, op7_secret_scan, op9_token_id_sstable, op10_substring_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
