@@ -1,13 +1,60 @@
-"""A training-data pipeline over ``documents`` (filled in stage by stage)."""
+"""A training-data pipeline over ``documents``: what a stage decides is what the next one gets.
+
+quality rules (rejected documents go), SimHash near-dedup (one document of each group stays),
+benchmark decontamination (documents that hold an item go), secret scans (secrets are replaced), best-fit
+packing (the last: one row a piece). All stages but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from torrentine.llm.common import materialize, table
+from torrentine.llm.decontam import decontaminated
+from torrentine.llm.packing import pack
+from torrentine.llm.quality import keep_good
+from torrentine.llm.secrets import redacted
+from torrentine.llm.simhash import keep_one
+from torrentine.llm.tokens import vocabulary
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets; ``n_chars`` follows the text."""
+    clean = redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("packing", packing),
+]
+
+#: SQL can't express fingerprints, edit distance, zstandard or the tokenizer; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -50,8 +50,37 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from torrentine.llm.warc import archived_pages
+
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from torrentine.llm.html_cut import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from torrentine.llm.separators import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=50256)
+
+
 def queries() -> dict:
-    found = (op1_decontamination, op2_simhash_near_dedup, op5_quality_rules, op6_best_fit_packing, op7_secret_scan, op9_token_id_sstable, op10_substring_dedup)
+    found = (
+        op1_decontamination,
+        op2_simhash_near_dedup,
+        op3_warc_chunks,
+        op4_html_min_cut,
+        op5_quality_rules,
+        op6_best_fit_packing,
+        op7_secret_scan,
+        op8_token_counts,
+        op9_token_id_sstable,
+        op10_substring_dedup,
+    )
     return {f.__name__: f for f in found}
 
 

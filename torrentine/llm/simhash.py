@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from torrentine.llm.common import id_text, materialize, texts
@@ -108,3 +108,19 @@ def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 3, seed: int = 4
     least = member.groupBy("top").agg(F.min("lead").alias("component_id"))
     member = member.join(least, "top").select(F.col("fp").alias("point"), "component_id")
     return fps.join(member, fps.fp == member.point).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, bits: int = 3, seed: int = 42) -> DataFrame:
+    """The row of each near-duplicate group with the least doc_id; columns as they were.
+
+    Of repeated rows with that identifier the first by text stays. Rows with a null doc_id can't stand
+    for a group and pass unjudged.
+    """
+    names = docs.columns
+    groups = simhash_groups(docs.where("doc_id is not null"), width, bits, seed)
+    leads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("lead")).distinct()
+    kept = docs.join(leads, docs.doc_id.cast("long") == leads.lead, "left_semi")
+    rest = [c for c, t in docs.dtypes if c != "doc_id" and not t.startswith(("map", "variant"))]
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in rest if c != "text"]))
+    kept = kept.select(F.struct("*").alias("row"), rank.alias("rank")).where("rank = 1").select("row.*")
+    return kept.select(*names).unionByName(docs.where("doc_id is null"))
