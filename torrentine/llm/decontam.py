@@ -43,7 +43,7 @@ def myers(pattern: str, text: str, k: int) -> tuple[int, int] | None:
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << m - 1
-    plus, minus, score, best = full, 0, m, None
+    plus, minus, score, best = full, 0, m, (m, 0) if m <= k else None
     for j, c in enumerate(text):
         eq = masks.get(c, 0)
         zero = (((eq & plus) + plus) ^ plus) | eq | minus
