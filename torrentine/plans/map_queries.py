@@ -9,7 +9,7 @@ from torrentine.operators import filters, joins, windows
 from torrentine.plans.fixtures import WITH, contracts, table, waters
 from torrentine.plans.registry import query
 
-KM = "2 * 6371.0 * asin(least(1.0, sqrt(sin(radians({lat2} - {lat1}) / 2) * sin(radians({lat2} - {lat1}) / 2) + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians({lon2} - {lon1}) / 2) * sin(radians({lon2} - {lon1}) / 2))))"
+KM = "2 * 6371.0 * asin(least(1.0, sqrt(sin(radians({lat2} - {lat1}) / 2) * sin(radians({lat2} - {lat1}) / 2) + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians({lon2} - {lon1}) / 2) * sin(radians({lon2} - {lon1}) / 2))) + 0 * ({lat2} - {lat1}))"
 
 
 def km_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
