@@ -349,8 +349,9 @@ def evidence_label(kind: Column, target: Column, county: Column) -> Column:
 def ngrams(c: Column, most: int = 4) -> Column:
     """Word n-grams of a folded text, longest first, then leftmost, as struct(neg_n, at, gram)."""
     t = F.filter(F.split(fold(c), " "), lambda x: x != "")
-    parts = []
-    for n in range(most, 0, -1):
+
+    def of(n: int) -> Column:
         at = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, lambda i, n=n: F.struct(F.lit(-n).alias("neg_n"), i.alias("at"), F.array_join(F.slice(t, i + 1, n), " ").alias("gram"))))
-    return F.concat(*parts)
+        return F.transform(at, lambda i: F.struct(F.lit(-n).alias("neg_n"), i.alias("at"), F.array_join(F.slice(t, i + 1, n), " ").alias("gram")))
+
+    return F.concat(*[of(n) for n in range(most, 0, -1)])

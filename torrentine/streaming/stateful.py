@@ -37,7 +37,7 @@ def rate_limited(events: DataFrame, key: str, ts: str, event: str, window_s: flo
 
 
 def rate_limited_stream(events: DataFrame, key: str, ts: str, event: str, window_s: float = 600.0, most: int = 5) -> DataFrame:
-    """The same over a stream: the accepted times of a key are its state, dropped after a window without events."""
+    """The same over a stream: the accepted times of a key are its state, which goes once the watermark is a window past the last."""
     kinds = dict(events.dtypes)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,12 +51,12 @@ def rate_limited_stream(events: DataFrame, key: str, ts: str, event: str, window
             live, ok, wait = decide(live, t, window_s, most)
             out.append((ok, wait))
         state.update((live,))
-        state.setTimeoutDuration(int(window_s * 1000))
+        state.setTimeoutTimestamp(max(int((live[-1] + window_s) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: rows[key].values, event: rows[event].values, "allowed": [o for o, _ in out], "retry_after": [w for _, w in out]})
 
-    rows = events.select(key, event, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
+    rows = events.withWatermark(ts, f"{int(window_s)} seconds").select(key, event, ts, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
     schema = f"`{key}` {kinds[key]}, `{event}` {kinds[event]}, allowed boolean, retry_after int"
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "live array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "live array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ttl_deduped(events: DataFrame, key: str, ts: str, event: str, ok: Column, ttl_s: float = 60.0) -> DataFrame:
