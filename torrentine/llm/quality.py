@@ -18,7 +18,7 @@ from torrentine.llm.common import id_text, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Rows on which costs and rejections are estimated; they decide the order of rules alone.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
 
 #: A rule is true of what it rejects. Sizes are of whole texts that have passed the base rules.
 RULES: dict[str, Callable[[], Column]] = {
@@ -81,11 +81,16 @@ def measure(docs: DataFrame, keep_row: bool = False) -> DataFrame:
     )
 
 
-def order_rules(measured: DataFrame, rules: dict[str, Callable[[], Column]], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of the rules, most rejections per second first, from a sample of at most ``sample_rows`` rows."""
-    kept = measured.limit(sample_rows).persist()
+def order_rules(docs: DataFrame, rules: dict[str, Callable[[], Column]], sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Names of the rules, most rejections per second first, on the first ``sample_rows`` rows that a take() finds.
+
+    take() reads one partition and goes on only if it must, so the sample costs the same at any size.
+    """
+    spark = docs.sparkSession
+    rows = id_text(docs).take(sample_rows)
+    kept = judged(measure(spark.createDataFrame(rows, "doc_id long, text string"))).persist()
     try:
-        sample = kept.where("not base_failed")  # a filter ahead of the limit would compute all measures within it
+        sample = kept.where("not base_failed")
         sample.count()
         worth = {}
         for name, rule in rules.items():
@@ -97,15 +102,18 @@ def order_rules(measured: DataFrame, rules: dict[str, Callable[[], Column]], sam
         kept.unpersist()
 
 
+def judged(measured: DataFrame) -> DataFrame:
+    """With the verdict of the base rules."""
+    return measured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+
 def judge(docs: DataFrame, rules: dict[str, Callable[[], Column]] | None = None, sample_rows: int = SAMPLE_ROWS, keep_row: bool = False) -> DataFrame:
     """All measures, base_failed and kept of each row."""
     rules = RULES if rules is None else rules
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = measure(docs, keep_row).withColumn("base_failed", base)
     verdict = F.when(F.col("base_failed"), F.lit(False))
-    for name in order_rules(judged, rules, sample_rows) if rules else []:
+    for name in order_rules(docs, rules, sample_rows) if rules else []:
         verdict = verdict.when(F.coalesce(rules[name](), F.lit(False)), F.lit(False))
-    return judged.withColumn("kept", verdict.otherwise(F.lit(True)))
+    return judged(measure(docs, keep_row)).withColumn("kept", verdict.otherwise(F.lit(True)))
 
 
 def quality(docs: DataFrame, rules: dict[str, Callable[[], Column]] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -124,5 +132,5 @@ def keep_good(docs: DataFrame, rules: dict[str, Callable[[], Column]] | None = N
     The verdict becomes rows by a generator, not by a filter, which would be moved below the measures and
     compute each of them once for every use.
     """
-    judged = judge(docs, rules, sample_rows, keep_row=True)
-    return judged.select("row", F.explode(F.when(F.col("kept"), F.array(F.lit(1))))).select("row.*")
+    rows = judge(docs, rules, sample_rows, keep_row=True)
+    return rows.select("row", F.explode(F.when(F.col("kept"), F.array(F.lit(1))))).select("row.*")
