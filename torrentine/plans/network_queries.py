@@ -185,3 +185,74 @@ def report_outcomes(spark, sf_dir):
 def page_titles(spark, sf_dir):
     """Label-keyed reading of pages, over all of them."""
     return readers.html_records(table(spark, sf_dir, "pages"), "html", {"phone": ["telefon", "tel"], "address": ["adresa"]}, ["page_id"])
+
+
+@query(WITH + """, p AS (SELECT w.slug, b.slug AS cand, greatest(b.max_lon - b.min_lon, b.max_lat - b.min_lat) >= 0.003 AS big, greatest(0, least(w.max_lon, b.max_lon) - greatest(w.min_lon, b.min_lon)) * greatest(0, least(w.max_lat, b.max_lat) - greatest(w.min_lat, b.min_lat)) AS o,
+ sqrt(pow(greatest(0, greatest(w.min_lon, b.min_lon) - least(w.max_lon, b.max_lon)), 2) + pow(greatest(0, greatest(w.min_lat, b.min_lat) - least(w.max_lat, b.max_lat)), 2)) * 111.0 AS gap, (b.max_lon - b.min_lon) * (b.max_lat - b.min_lat) AS ar
+ FROM waters w JOIN waters b ON w.river_group = b.river_group AND w.slug <> b.slug WHERE w.min_lon IS NOT NULL AND b.min_lon IS NOT NULL) SELECT slug, arg_max(cand, (big, o > 0, o, -gap, ar, cand)) AS cand FROM p GROUP BY slug""")
+def pick_by_box(spark, sf_dir):
+    from torrentine.operators.repairs import BOX, pick_by_box
+
+    w = waters(spark, sf_dir).where("min_lon is not null")
+    b = w.select(F.col("slug").alias("cand"), F.col("river_group").alias("g"), *[F.col(c).alias(f"b_{c}") for c in BOX])
+    return pick_by_box(w.join(b, (F.col("river_group") == F.col("g")) & (F.col("slug") != F.col("cand"))), "slug", "cand")
+
+
+@query(WITH + "SELECT river_group, arg_max(slug, (1000 * (ord % 4) + CASE WHEN kind = 'lake' THEN 100 ELSE 0 END + CASE WHEN contracted THEN 10 ELSE 0 END - (ord % 13), slug)) AS slug FROM waters WHERE ord % 4 > 0 GROUP BY river_group")
+def pick_by_hits(spark, sf_dir):
+    from torrentine.operators.repairs import pick_by_hits
+
+    w = waters(spark, sf_dir).select("river_group", "slug", (F.col("ord") % 4).alias("hits"), (F.col("kind") == "lake").alias("is_lake"), F.col("contracted").alias("is_majority"), (F.col("ord") % 13).alias("seat_km"))
+    return pick_by_hits(w, "river_group", "slug", True).select("river_group", "slug")
+
+
+@query(WITH + "SELECT slug, CASE WHEN ord % 2 = 0 AND min_lon IS NOT NULL THEN 'clip' WHEN locality IS NOT NULL THEN 'geometry' ELSE 'text' END AS how FROM waters")
+def assigned_localities(spark, sf_dir):
+    from torrentine.operators.repairs import assign_locality
+
+    w = waters(spark, sf_dir)
+    clip = w.where("ord % 2 = 0 and min_lon is not null").select("slug", F.lit("c").alias("locality"))
+    return assign_locality([("clip", clip), ("geometry", w.select("slug", "locality"))], w.select("slug", F.lit("t").alias("locality")), "slug").select("slug", "how")
+
+
+@query(WITH + "SELECT a.slug, b.slug AS other FROM waters a JOIN waters b ON a.kind = b.kind AND a.judet = b.judet AND a.slug < b.slug WHERE greatest(0, least(a.max_lon, b.max_lon) - greatest(a.min_lon, b.min_lon)) * greatest(0, least(a.max_lat, b.max_lat) - greatest(a.min_lat, b.min_lat)) >= 0.1 * least((a.max_lon - a.min_lon) * (a.max_lat - a.min_lat), (b.max_lon - b.min_lon) * (b.max_lat - b.min_lat)) AND least((a.max_lon - a.min_lon) * (a.max_lat - a.min_lat), (b.max_lon - b.min_lon) * (b.max_lat - b.min_lat)) > 0")
+def same_body(spark, sf_dir):
+    from torrentine.operators.repairs import same_body
+
+    return same_body(waters(spark, sf_dir).withColumn("name", F.col("kind")), "slug", least=0.1)
+
+
+@query(WITH + "SELECT slug, CASE WHEN ord % 3 = 0 AND min_lon IS NOT NULL THEN 'present' WHEN ord % 3 = 0 AND locality IS NOT NULL THEN 'bbox' WHEN ord % 3 = 0 THEN 'hidden' WHEN contracted THEN 'source_missing' ELSE 'uncontracted' END AS region_class FROM waters")
+def region_classes(spark, sf_dir):
+    from torrentine.operators.repairs import region_class
+
+    w = waters(spark, sf_dir).select("slug", (F.col("ord") % 3 == 0).alias("matched"), F.col("min_lon").isNotNull().alias("has_geometry"), F.col("locality").isNotNull().alias("has_box"), F.col("contracted").alias("in_source"))
+    return region_class(w).select("slug", "region_class")
+
+
+@query()
+def polygon_join(spark, sf_dir):
+    """Waters in hexagonal counties with a hole, by exact rings."""
+    from torrentine.operators.repairs import polygon_join
+
+    ring = lambda r: F.array(*[F.struct((F.col("cx") + r * x).alias("lon"), (F.col("cy") + r * y).alias("lat")) for x, y in ((1.0, 0.0), (0.5, 0.8), (-0.5, 0.8), (-1.0, 0.0), (-0.5, -0.8), (0.5, -0.8))])
+    n = table(spark, sf_dir, "nation").select("n_name", (20.5 + F.col("n_nationkey") % 5 * 2.0).alias("cx"), (44.0 + F.floor(F.col("n_nationkey") / 5) * 0.9).alias("cy"))
+    areas = n.select(F.col("n_name").alias("area"), F.array(ring(1.0), ring(0.2)).alias("rings"), (F.col("cx") - 1).alias("min_lon"), (F.col("cx") + 1).alias("max_lon"), (F.col("cy") - 0.8).alias("min_lat"), (F.col("cy") + 0.8).alias("max_lat"))
+    return polygon_join(waters(spark, sf_dir), areas, "slug", "area")
+
+
+@query()
+def lake_matches(spark, sf_dir):
+    from torrentine.operators.repairs import match_lakes
+
+    w = waters(spark, sf_dir).withColumn("name_key", text.fold(F.col("name")))
+    lakes = w.select(F.col("slug").alias("lake"), "name_key", (F.col("lon") + 0.01).alias("lon"), "lat", (F.col("ord") % 9 == 0).alias("is_dam"), F.coalesce("area_ha", F.lit(0.0)).alias("area_ha"))
+    return match_lakes(w, lakes, "slug", "lake")
+
+
+@query()
+def near_duplicate_lines(spark, sf_dir):
+    from torrentine.operators.repairs import near_duplicates
+
+    d = user_lines(spark, sf_dir).withColumn("e", geo.extent(F.array("part"))).select("user_id", "part", "e.*")
+    return near_duplicates(d, d.withColumnRenamed("user_id", "other_id"), "user_id", "other_id", cell_deg=5.0)
