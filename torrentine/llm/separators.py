@@ -100,4 +100,5 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int = 50256, path: str
     listing = materialize(write_flat(docs, tokenizer, end_id, path or scratch_path(spark, "flat")), "listing")
     files = [(r.part, r.file, r.width) for r in listing.select("part", "file", "width").distinct().collect()]  # one a task
     counted = scan_flat(spark, files, end_id, block_bytes)
-    return listing.join(counted, ["part", "ordinal"]).select("doc_id", "n_tokens")
+    # both sides grow with the corpus and compress far below what they hold, so neither is broadcast
+    return listing.join(counted.hint("merge"), ["part", "ordinal"]).select("doc_id", "n_tokens")
