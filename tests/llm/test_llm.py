@@ -131,6 +131,9 @@ def test_html_text():
     <article><h1>A &lt;title&gt;</h1><p>First   para,&nbsp;with words.<br>And &amp;amp; more <b>of</b> it.<p>Second.<div class="ad">Buy now, cheap stuff. Really cheap.</div><ul><li>one<li>two items</ul><script>if (a < b) "</p>"</script></article>
     <section class="comments"><p>I loved this article, thanks. It was great, really.</p></section></div><form><label>Mail</label><button>Go</button></form><footer>Copyright 2024</footer></body></html>"""
     assert html_cut.main_text(page).split("\n") == ["A <title>", "First para, with words. And &amp; more of it.", "Second.", "one", "two items"]
+    other = """<body><div class="header"><h1>Site name</h1></div><div class="post-content"><div class="post-header"><h1>The title</h1></div><p class="ad">Buy it now, it is cheap. Really.</p><p>A paragraph, long enough to be read as prose. Yes.</p>
+    <div id="comments"><h3>Comments</h3><p>What a great text, thank you. I liked it.</p></div></div><div role="alert">Our terms change, please read them. Thanks.</div><ul class="menu"><li>Home</ul></body>"""
+    assert html_cut.main_text(other) == "The title\nA paragraph, long enough to be read as prose. Yes."
     assert html_cut.main_text(None) == html_cut.main_text("") == html_cut.main_text("<nav>x</nav>") == ""
     assert html_cut.main_text("<article><p>" + "long text here. " * 50000).count("long") == 50000
 

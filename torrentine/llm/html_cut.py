@@ -46,18 +46,21 @@ NEAR, STEP, FAR, WITHIN = 1.2, 0.5, 0.15, 0.6
 
 
 class Node:
-    __slots__ = ("tag", "evidence", "parent", "depth", "article")
+    """An open element; ``article`` says that it is in an article or main element, ``body`` that it is in one named as such at least."""
 
-    def __init__(self, tag: str, evidence: float, parent: "Node | None", article: bool):
-        self.tag, self.evidence, self.parent, self.article = tag, evidence, parent, article
-        self.depth = 0 if parent is None else parent.depth + 1
+    __slots__ = ("tag", "evidence", "parent", "article", "body")
 
+    def __init__(self, tag: str, evidence: float, parent: "Node | None"):
+        self.tag, self.evidence, self.parent = tag, evidence, parent
+        self.article = tag in ("article", "main") or parent is not None and parent.article
+        self.body = self.article or evidence > 0 or parent is not None and parent.body
 
-def _evidence(tag: str, attrs: str, inside: bool) -> float:
+
+def _evidence(tag: str, attrs: str, parent: Node) -> float:
     """What an element says of the text in it; the strongest sign counts."""
     e = BY_TAG.get(tag, 0)
     if tag == "header":
-        e = 0 if inside else -9
+        e = 0 if parent.article else -9
     if not attrs:
         return e
     for m in ATTR.finditer(attrs):
@@ -70,7 +73,7 @@ def _evidence(tag: str, attrs: str, inside: bool) -> float:
             words = set(WORD.findall(CAMEL.sub("-", value).lower()))
             if tag in ("body", "html"):
                 continue
-            if words & BAD_WORDS or not inside and words & HEADER_WORDS:
+            if words & BAD_WORDS or not parent.body and words & HEADER_WORDS:
                 e = min(e, -8)
             elif words & GOOD_WORDS and e >= 0:
                 e = max(e, 2)
@@ -100,7 +103,7 @@ class Block:
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page, in order."""
-    root = Node("", 0.0, None, False)
+    root = Node("", 0.0, None)
     node, parts, found, at = root, [], [], 0
     links = anchor = 0
 
@@ -127,8 +130,6 @@ def blocks(page: str) -> list[Block]:
                 parts.append(" ")
             elif tag == "a":
                 anchor = max(0, anchor + (-1 if m[1] else 1))
-            if tag in ("a", "span", "small") and not m[1] and m[3] and _evidence(tag, m[3], True) <= -12:
-                parts.append("")
             continue
         if m[1]:
             n = node
@@ -159,8 +160,7 @@ def blocks(page: str) -> list[Block]:
             n = n.parent
         if n.tag in shut:
             node = n.parent
-        inside = node.article
-        node = Node(tag, _evidence(tag, m[3], inside), node, inside or tag in ("article", "main"))
+        node = Node(tag, _evidence(tag, m[3], node), node)
         if m[3].endswith("/") and tag not in ("p", "div"):
             node = node.parent
     if at < len(page):
