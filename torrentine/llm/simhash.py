@@ -53,8 +53,10 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, width, seed) for t in texts(batch, 1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found)], schema=schema)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = np.array([fingerprint(t, width, seed) for t in texts(part, 1)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found)], schema=schema)
 
     return id_text(docs).mapInArrow(run, "doc_id long, fp long")
 
@@ -116,11 +118,13 @@ def keep_one(docs: DataFrame, width: int = 3, bits: int = 3, seed: int = 42) ->
     Of repeated rows with that identifier the first by text stays. Rows with a null doc_id can't stand
     for a group and pass unjudged.
     """
-    names = docs.columns
-    groups = simhash_groups(docs.where("doc_id is not null"), width, bits, seed)
-    leads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("lead")).distinct()
-    kept = docs.join(leads, docs.doc_id.cast("long") == leads.lead, "left_semi")
-    rest = [c for c, t in docs.dtypes if c != "doc_id" and not t.startswith(("map", "variant"))]
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in rest if c != "text"]))
-    kept = kept.select(F.struct("*").alias("row"), rank.alias("rank")).where("rank = 1").select("row.*")
-    return kept.select(*names).unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    groups = simhash_groups(named, width, bits, seed)
+    leads = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("lead")).agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = named.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    kept = rows.join(leads.hint("shuffle_hash"), F.col("id") == F.col("lead"))  # whole texts are dealt out once and never sorted
+    plain = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith(("map", "variant"))]
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("row.text", *[f"row.`{c}`" for c in plain]))
+    repeated = kept.where("n_rows > 1").withColumn("rank", rank).where("rank = 1")
+    kept = kept.where("n_rows = 1").select("row").unionByName(repeated.select("row"))
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
