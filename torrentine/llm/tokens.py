@@ -22,7 +22,7 @@ RARE_SPACE = re.compile("[" + "".join(map(chr, RARE)) + "]")
 #: Beyond these Latin letters, lower-casing and composing a text need not be the library's, letter by letter.
 NOT_PLAIN = re.compile("[^{}-{}{}-{}]".format(*map(chr, (0, 303, 305, 383))))
 #: Most pieces a worker remembers (about 200 bytes each), and the longest.
-MEMO_PIECES, MEMO_CHARS = 1_000_000, 64
+MEMO_PIECES, MEMO_CHARS = 300_000, 64
 
 #: Texts whose unknown pieces are encoded together.
 BATCH_TEXTS = 256
