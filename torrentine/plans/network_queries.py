@@ -254,5 +254,6 @@ def lake_matches(spark, sf_dir):
 def near_duplicate_lines(spark, sf_dir):
     from torrentine.operators.repairs import near_duplicates
 
-    d = user_lines(spark, sf_dir).withColumn("e", geo.extent(F.array("part"))).select("user_id", "part", "e.*")
-    return near_duplicates(d, d.withColumnRenamed("user_id", "other_id"), "user_id", "other_id", cell_deg=5.0)
+    small = lambda p: F.struct((20.26 + F.col("user_id") % 300 * 0.03 + (p["lon"] - 20.26) / 500).alias("lon"), (44.0 + (p["lat"] - 43.62) / 500).alias("lat"))
+    d = user_lines(spark, sf_dir).select("user_id", F.transform("part", small).alias("part")).withColumn("e", geo.extent(F.array("part"))).select("user_id", "part", "e.*")
+    return near_duplicates(d, d.withColumnRenamed("user_id", "other_id"), "user_id", "other_id")
