@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
+import threading
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,14 +89,50 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Called now and then in a Python worker to give back what it no longer needs.
+on_idle: list[Callable[[], None]] = []
+_tidy: list[threading.Thread] = []
+
+
+def keep_tidy(every_s: float = 3.0) -> None:
+    """Within a task, starts a thread of the worker that returns free memory to the system.
+
+    Workers outlive their tasks, and what a stage leaves in them counts against the stages after it.
+    """
+    if _tidy or TaskContext.get() is None:
+        return
+
+    def run():
+        while True:
+            time.sleep(every_s)
+            for f in on_idle:
+                f()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    _tidy.append(threading.Thread(target=run, daemon=True))
+    _tidy[0].start()
+
+
 def texts(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
+    keep_tidy()
     col = batch.column(i)
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
+def sliced(batches, n: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``n`` rows, so that few rows at a time become Python objects."""
+    keep_tidy()
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def in_slices(rows: Iterator[tuple], schema: pa.Schema, n: int = 4096) -> Iterator[pa.RecordBatch]:
     """Rows to record batches of at most ``n`` rows."""
+    keep_tidy()
     buf: list[tuple] = []
     for row in rows:
         buf.append(row)

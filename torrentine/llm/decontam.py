@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from torrentine.llm.common import id_text, in_slices
+from torrentine.llm.common import id_text, in_slices, sliced
 
 #: Items held by a task at once: their characters, in blocks; each further block is one more pass over the texts.
 BLOCK_CHARS = 2_000_000
@@ -149,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
             matcher = _matcher(key, block, error_rate, piece_chars)
 
             def one():
-                for batch in batches:
+                for batch in sliced(batches):
                     for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                         for match in matcher.find(normal(text)) if text else ():
                             yield (doc_id, *match)
@@ -169,7 +169,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
         def run(batches, key=key, block=block):
             matcher = _matcher(key, block, error_rate, piece_chars)
-            for batch in batches:
+            for batch in sliced(batches):
                 keep = pa.array([not (t and matcher.find(normal(t))) for t in batch.column(at).to_pylist()], pa.bool_())
                 yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(keep)
 

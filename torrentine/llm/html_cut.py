@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from torrentine.llm.common import in_slices
+from torrentine.llm.common import in_slices, sliced
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -244,7 +244,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         def one():
-            for batch in batches:
+            for batch in sliced(batches):
                 for page_id, url, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
                     text = main_text(page)
                     yield page_id, url, text, len(text)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from torrentine.llm.common import id_text, in_slices, materialize
+from torrentine.llm.common import id_text, in_slices, materialize, sliced
 from torrentine.llm.tokens import encoder
 
 #: Pieces of one length that are ranked in one task, about; and the most salts.
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
         enc = encoder(tokenizer)
 
         def one():
-            for batch in batches:
+            for batch in sliced(batches):
                 for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist())):
                     ids += end
                     for i, at in enumerate(range(0, len(ids), 4 * capacity)):

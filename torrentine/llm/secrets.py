@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from torrentine.llm.common import id_text, in_slices
+from torrentine.llm.common import id_text, in_slices, sliced
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -105,7 +105,7 @@ def scan(docs: DataFrame, threshold: float = NOVEL) -> DataFrame:
 
     def run(batches):
         def one():
-            for batch in batches:
+            for batch in sliced(batches):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     base, spans = find_spans(text, threshold)
                     n = [0, 0, 0]
@@ -135,7 +135,7 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", th
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             cols = list(batch.columns)
             cols[at] = pa.array([redact(t, mark, threshold) for t in cols[at].to_pylist()], cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from torrentine.llm.common import AtomicFile, id_text, in_slices, materialize, open_fs, scratch_path
+from torrentine.llm.common import AtomicFile, id_text, in_slices, materialize, open_fs, scratch_path, sliced
 from torrentine.llm.tokens import encoder
 
 #: Bytes of a block.
@@ -32,7 +32,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> DataF
 
         def one():
             nonlocal file, n
-            for batch in batches:
+            for batch in sliced(batches):
                 for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist())):
                     file = file or AtomicFile(uri)
                     file.write(np.frombuffer(ids, "<u4").astype(kind).tobytes() + end)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from torrentine.llm.common import id_text, materialize, texts
+from torrentine.llm.common import id_text, materialize, sliced, texts
 from torrentine.llm.components import components
 
 EVEN = 0x5555555555555555
@@ -52,11 +52,9 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = np.array([fingerprint(t, width, seed) for t in texts(part, 1)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found)], schema=schema)
+        for part in sliced(batches):
+            found = np.array([fingerprint(t, width, seed) for t in texts(part, 1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found)], schema=schema)
 
     return id_text(docs).mapInArrow(run, "doc_id long, fp long")
 

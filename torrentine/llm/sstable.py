@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torrentine.llm.common import AtomicFile, id_text, in_slices, open_fs, scratch_path
+from torrentine.llm.common import AtomicFile, id_text, in_slices, open_fs, scratch_path, sliced
 from torrentine.llm.tokens import encoder
 
 MAGIC = b"TORRSST1"
@@ -198,7 +198,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
 
     def write(batches):
         part, enc, shard, seq, held = TaskContext.get().partitionId(), encoder(tokenizer), None, 0, 0
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist())):
                 ids += end
                 if shard is not None and held + len(ids) > shard_bytes:

@@ -10,11 +10,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import time
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
+from torrentine.llm.common import on_idle
+
 PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Unicode white space, and separators that some libraries count as such, by code point.
 RARE = (11, 12, *range(28, 32), 133, 160, 5760, 6158, *range(8192, 8204), 8232, 8233, 8239, 8287, 12288, 65279)
@@ -27,6 +30,9 @@ MEMO_PIECES, MEMO_CHARS = 300_000, 64
 #: Texts whose unknown pieces are encoded together.
 BATCH_TEXTS = 256
 
+#: Seconds without a text after which a worker forgets its pieces.
+IDLE_S = 8.0
+
 _loaded: dict[str, "MemoEncoder"] = {}
 
 
@@ -42,6 +48,7 @@ class MemoEncoder:
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}
+        self.used = time.monotonic()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
@@ -93,6 +100,7 @@ class MemoEncoder:
             yield from self._encode_some(texts[at : at + BATCH_TEXTS])
 
     def _encode_some(self, texts: list[str | None]) -> list[bytes]:
+        self.used = time.monotonic()
         get, unknown, rows = self.known.get, {}, []
         for text in texts:
             if not text:
@@ -123,6 +131,16 @@ class MemoEncoder:
         return self._encode_some([text])[0]
 
 
+def forget() -> None:
+    """Drops the pieces of encoders that are idle; they are encoded again when they come."""
+    for e in list(_loaded.values()):
+        if time.monotonic() - e.used > IDLE_S:
+            e.known.clear()
+
+
+on_idle.append(forget)
+
+
 def encoder(path: str) -> MemoEncoder:
     """One encoder for each vocabulary file and Python worker."""
     if path not in _loaded:
