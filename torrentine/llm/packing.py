@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from torrentine.llm.common import id_text, in_slices, materialize, sliced
 from torrentine.llm.tokens import encoder
 
+#: Pieces of text a worker remembers: fewer than elsewhere, as packing is a late stage whose workers share memory with what came before.
+MEMO_PIECES = 300_000
 #: Pieces of one length that are ranked in one task, about; and the most salts.
 RANK_ROWS, MOST_SALTS = 10_000, 1024
 
@@ -92,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     schema = PIECES.append(pa.field("ids", pa.list_(pa.int64()))) if with_ids else PIECES
 
     def cut(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, MEMO_PIECES)
 
         def one():
             for batch in sliced(batches):

@@ -25,7 +25,7 @@ RARE_SPACE = re.compile("[" + "".join(map(chr, RARE)) + "]")
 #: Beyond these Latin letters, lower-casing and composing a text need not be the library's, letter by letter.
 NOT_PLAIN = re.compile("[^{}-{}{}-{}]".format(*map(chr, (0, 303, 305, 383))))
 #: Most pieces a worker remembers (about 200 bytes each), and the longest.
-MEMO_PIECES, MEMO_CHARS = 300_000, 64
+MEMO_PIECES, MEMO_CHARS = 1_000_000, 64
 
 #: Texts whose unknown pieces are encoded together.
 BATCH_TEXTS = 256
@@ -43,11 +43,12 @@ class MemoEncoder:
     bytes that each id stands for.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}
+        self.most = most
         self.used = time.monotonic()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -115,7 +116,7 @@ class MemoEncoder:
                 rows.append((ids, [(i, pieces[i]) for i in holes]))
         if unknown:
             unknown = self._encode_pieces(list(unknown))
-            if len(self.known) < MEMO_PIECES:
+            if len(self.known) < self.most:
                 self.known.update((p, x) for p, x in unknown.items() if len(p) <= MEMO_CHARS)
         out = []
         for row in rows:
@@ -141,10 +142,11 @@ def forget() -> None:
 on_idle.append(forget)
 
 
-def encoder(path: str) -> MemoEncoder:
-    """One encoder for each vocabulary file and Python worker."""
+def encoder(path: str, most: int = MEMO_PIECES) -> MemoEncoder:
+    """One encoder for each vocabulary file and Python worker, which remembers ``most`` pieces."""
     if path not in _loaded:
         _loaded[path] = MemoEncoder(path)
+    _loaded[path].most = most
     return _loaded[path]
 
 
