@@ -265,6 +265,24 @@ def test_secrets(spark):
     assert got[4].spans == "novel:7:27" and got[5].spans == "" and got[6].spans == ""
 
 
+def test_secrets_that_stand_twice_or_have_few_characters():
+    r = random.Random(5)
+    key = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    spans = lambda t: [(a, b) for a, k, b in secrets.find_spans(t)[1] if k == 3]
+    for _ in range(20):
+        s = key(upper + lower + digits, 40)
+        assert spans(f"bearer {s} ok\nbearer {s}\n") == [(7, 47), (58, 98)]
+        assert spans(f"session {s}\nsession //x/{s}\n") == [(8, 48), (57, 101)]
+        far = f"bearer {s}\n" + "a line. " * 126 + f"bearer {s}\n"  # the edge of the primer cuts the copy
+        assert len(spans(far)) == 2
+    for chars, n in ((upper + lower, 40), (lower, 40), (digits[:6] + "ABCDEF", 96), (digits[:6] + "ABCDEF", 300), (upper + "234567", 512)):
+        hits = sum(spans("bearer " + s + "\n") == [(7, 7 + n)] for s in (key(chars, n) for _ in range(20)))
+        assert hits >= 19
+    for w in ("internationalization", "Geschwindigkeitsbegrenzung", "getAuthorizationHeader", "authentication-service-configuration", "=" * 20, "AB" * 12, "0123456789ABCDEF" * 6):
+        assert spans(f"the session {w} x\nand session {w} y") == []
+
+
 def test_redaction():
     clean = secrets.redact(SECRETS)
     assert "abcdefABCDEF123" not in clean and "AKIA" not in clean and clean.startswith("x = 1\n[SECRET]") and secrets.redact(None) is None

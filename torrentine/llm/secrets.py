@@ -3,12 +3,17 @@
 A candidate is a long string near a word such as ``token`` or ``passwd``. zstandard is primed with a
 dictionary of common identifiers and the text around the candidate; the bytes that the candidate then adds
 are its novelty. Names, paths and repeated text cost few; a random string costs nearly its length.
+
+Three kinds of secret need more than that. A secret that stands twice must not be primed by its copy, one without
+digits is told from a word by its letter pairs, and a long one of few characters costs the entropy of its alphabet only.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -40,6 +45,55 @@ IDENTIFIERS = (
     "your-secret-key-here changeme example placeholder REPLACE_ME process.env os.environ getenv config.get"
 )
 
+#: Letter pairs that make up most of English, German, French and Spanish words.
+PAIRS = set(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur "
+    "ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh "
+    "ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke ui ei au ck sc da do du qu ue eu ag ap av bi bo br cr cl cu dr ef "
+    "eg ep fr gr gu hr if ju ki mm nn nk ok od og oo pp rd rm rr sp tt up um va vo ze zu".split()
+)
+
+
+def wordy(candidate: str) -> bool:
+    """Whether letters make up most of a candidate and three fifths of their pairs or more are pairs of words; in random letters a quarter are."""
+    low = candidate.lower()
+    pairs = [low[i : i + 2] for i in range(len(low) - 1) if low[i].isalpha() and low[i + 1].isalpha()]
+    return len(pairs) * 2 >= len(low) and sum(p in PAIRS for p in pairs) * 5 >= len(pairs) * 3
+
+
+def even_bytes(candidate: str) -> float:
+    """Bytes of zero-order entropy of a candidate that spreads evenly over the letters and digits it uses (chi-square within five deviations); else infinite.
+
+    Shorter ones are not judged: zstandard codes so few literals at their full length.
+    """
+    core = [c for c in candidate if c.isalnum()]
+    n, counts = len(core), Counter(core)
+    size = len(counts)
+    if n < 48 or size < 2 or sum(c * c for c in counts.values()) * size / n - n > size - 1 + 5 * math.sqrt(2 * (size - 1)):
+        return math.inf
+    return sum(c * math.log2(n / c) for c in counts.values()) / 8
+
+
+def _without(candidate: str, text: str, start: int, end: int) -> str:
+    """The text around a candidate without its other occurrences, whole or as the longer parts of it; those that reach over the edge too."""
+    k = end - start
+    before, after = text[max(0, start - AROUND - k) : start], text[end : end + AROUND + k]
+    for part in [candidate, *sorted(set(re.findall("[A-Za-z0-9]{16,}", candidate)), key=len, reverse=True)]:
+        before, after = before.replace(part, "\n"), after.replace(part, "\n")
+    return before[-AROUND:] + "\n" + after[:AROUND]
+
+
+def is_novel(text: str, start: int, end: int, threshold: float) -> bool:
+    """Whether the candidate text[start:end] is novel."""
+    s = text[start:end]
+    around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
+    if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and novelty(s, around) >= threshold * len(s):
+        return True
+    if wordy(s):
+        return False
+    new = novelty(s, _without(s, text, start, end))
+    return new >= threshold * len(s) or new >= 0.9 * even_bytes(s)
+
 
 def novelty(candidate: str, around: str) -> int:
     """Bytes that the candidate adds to a frame primed with the identifiers and the text around it."""
@@ -70,11 +124,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], threshold: float =
             while end < len(text) and CANDIDATE.fullmatch(text, end - 15, end + 1):  # past the window
                 end += 1
             after = end
-            s = text[start:end]
-            if any(a < end and start < b for a, _, b in taken) or not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
-                continue
-            around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
-            if novelty(s, around) >= threshold * len(s):
+            if not any(a < end and start < b for a, _, b in taken) and is_novel(text, start, end, threshold):
                 found.append((start, 3, end))
     return found
 
