@@ -126,6 +126,15 @@ def test_same_point_takes_the_next_candidate(spark):
     assert (r.m_from, r.m_to) == (100, 900) and "second_best:to" in r.reasons
 
 
+def test_the_next_candidate_is_sought_among_all(spark):
+    near = [(1, "to", 100.0 + i / 100, 0.9, "b", f"y{i:04}") for i in range(1500)]
+    c = spark.createDataFrame([(1, "from", 100.0, 0.95, "a", "x"), *near, (1, "to", 900.0, 0.5, "c", "z"), (2, "from", 100.0, 0.9, "a", "x"), (2, "to", 100.0, 0.8, "b", "y")], "sector_id int, role string, m double, confidence double, method string, anchor string")
+    s = spark.createDataFrame([(i, 0.8, False) for i in (1, 2, 3)], "sector_id int, contract_km double, includes_tributaries boolean")
+    got = {r.sector_id: r for r in sectors.resolve(s, c).collect()}
+    assert (got[1].m_from, got[1].m_to) == (100, 900) and "second_best:to" in got[1].reasons
+    assert (got[2].status, got[3].status) == ("unresolved", "unresolved")
+
+
 def test_best_try_and_invariants(spark):
     t = spark.createDataFrame([(1, 0, "review", "low"), (1, 1, "resolved", "medium"), (1, 2, "resolved", "medium")], "sector_id int, try int, status string, confidence string")
     assert sectors.best_of(t).first()["try"] == 1
