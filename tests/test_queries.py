@@ -3,6 +3,8 @@
 import decimal
 import glob
 import os
+import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -50,5 +52,31 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
 
 
+def stripped(t):
+    """Lower case without the marks of Latin letters that decompose to one ASCII letter, and without loose marks."""
+    out = []
+    for c in t.lower():
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        latin = 0xC0 <= ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00
+        out.append(plain if latin and len(plain) == 1 and plain.isascii() else "" if unicodedata.category(c).startswith("M") else c)
+    return "".join(out)
+
+
+def test_texts_are_folded_whole(spark, tmp_path):
+    texts = ["Straße für Übung, größer", "El niño comió", "ÉCOLE « où »", "x " * 60 + "Ende_ÄÖÜ - fin", None, "", "\u0219coal\u0103 a\u0301", "Über\nab", "uber", "niño y", "NINO"]
+    lang = ["de", "es", "fr", "de", "en", "de", "ro", "de", "en", "es", None]
+    spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, lang))], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.folded, r.slug) for r in QUERIES["folded_texts_whole"](spark, str(tmp_path)).collect()}
+    fold = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s-]|_", " ", stripped(t))).strip()
+    slug = lambda t: re.sub("[^a-z0-9]+", "-", stripped(t)).strip("-")
+    assert got == {i: (fold(t or ""), slug(t or "")) for i, t in enumerate(texts)} and got[3][0].endswith("ende aou - fin")
+    first = {}
+    for t in texts:
+        w = (t or "").split(" ")[0].split("\n")[0]
+        if stripped(w.strip(" ")):
+            first.setdefault(stripped(w.strip(" ")), w)
+    assert {r.key: r.w for r in QUERIES["first_spelling_whole"](spark, str(tmp_path)).collect()} == first and {"uber", "nino"} <= set(first)
+
+
 def test_entry(spark):
     assert registry.entry(spark).count() > 0

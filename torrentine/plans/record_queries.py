@@ -162,6 +162,13 @@ def first_spelling(spark, sf_dir):
     return aggregates.first_spelling(d, text.locality_key(F.col("w")), "w", "doc_id")
 
 
+@query()
+def first_spelling_whole(spark, sf_dir):
+    """:func:`first_spelling` over the rows of every language; DuckDB's strip_accents differs on some of them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index(F.substring_index("text", " ", 1), "\n", 1).alias("w"))
+    return aggregates.first_spelling(d, text.locality_key(F.col("w")), "w", "doc_id")
+
+
 @query(WITH + "SELECT lower(locality) AS key, count(*) AS n FROM waters WHERE judet IN ('NATION_1', 'NATION_2') AND locality IS NOT NULL GROUP BY 1")
 def locality_counts(spark, sf_dir):
     return aggregates.counts_where(waters(spark, sf_dir), text.locality_key(F.col("locality")), F.col("judet").isin("NATION_1", "NATION_2"))
@@ -300,6 +307,12 @@ def folded_texts(spark, sf_dir):
     return d.select("doc_id", text.fold(F.left("text", F.lit(80))).alias("folded"), text.slugify(F.left("text", F.lit(40))).alias("slug"))
 
 
+@query()
+def folded_texts_whole(spark, sf_dir):
+    """:func:`folded_texts` over the whole texts of every language; DuckDB's strip_accents differs on some of them."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"), text.slugify(F.col("text")).alias("slug"))
+
+
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS value, CASE WHEN p_partkey % 2 = 0 THEN 'km' ELSE 'ha' END AS unit, p_size + 0.5 AS half FROM part")
 def parse_sizes(spark, sf_dir):
     p = table(spark, sf_dir, "part")
