@@ -9,6 +9,7 @@ import unicodedata
 import duckdb
 import pytest
 
+from torrentine.operators import network
 from torrentine.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -78,5 +79,28 @@ def test_texts_are_folded_whole(spark, tmp_path):
     assert {r.key: r.w for r in QUERIES["first_spelling_whole"](spark, str(tmp_path)).collect()} == first and {"uber", "nino"} <= set(first)
 
 
+def test_components_of_every_edge(spark, tmp_path):
+    keys = [*range(1, 61), *range(70, 75), 7, 7, 200, None]
+    spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for k in filter(None, keys):
+        for v in (k + 1, k * 7 % 100 + 20000):
+            a, b = find(k), find(v)
+            top[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in QUERIES["connected_components_whole"](spark, str(tmp_path)).collect()}
+    assert got == {x: find(x) for x in top} and got[61] == 1
+
+
+def test_components_of_a_long_chain(spark):
+    edges = [(i, i + 1) for i in range(2000)]
+    assert dict(map(tuple, network.components(spark.createDataFrame(edges, "u long, v long")).collect())) == dict.fromkeys(range(2001), 0)
+
+
 def test_entry(spark):
     assert registry.entry(spark).count() > 0

@@ -23,6 +23,12 @@ def connected_components(spark, sf_dir):
     return network.components(e)
 
 
+@query()
+def connected_components_whole(spark, sf_dir):
+    """Components over the edges of every order; the chain of consecutive keys is long, too long for recursive SQL."""
+    return network.components(table(spark, sf_dir, "orders").select("o_custkey", F.explode(F.expr("array(o_custkey + 1, o_custkey * 7 % 100 + 20000)")).alias("v")), "o_custkey", "v")
+
+
 def event_points(spark, sf_dir):
     e = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "user_id * 100000 + event_id % 400 AS node", "20.26D + CAST((event_id % 400) * 7919 % 9430 AS DOUBLE) / 1000 AS lon", "43.62D + CAST((event_id % 400) * 104729 % 4650 AS DOUBLE) / 1000 AS lat")
     return e.withColumn("way_id", F.col("user_id") * 100 + F.expr("event_id div 1000"))
