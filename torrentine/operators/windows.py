@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from torrentine.functions.geo import bbox_distance_km, haversine_m
 from torrentine.functions.text import course_rank
+from torrentine.sources.scratch import checkpointed
 
 
 def positions(rows: DataFrame, group: str, order: str) -> DataFrame:
@@ -157,6 +158,19 @@ def render_order(rows: DataFrame, is_precut: Column, km: str, order: str) -> Dat
     return rows.orderBy(*keys)
 
 
+def render_positions(rows: DataFrame, is_precut: Column, km: str, order: str) -> DataFrame:
+    """``rows`` with z, the place in :func:`render_order` from 1 on; ``order`` breaks all ties.
+
+    Ranges of rows are sorted each by itself and cut off from how they came about, so that their sizes, which place the next ranges, stay true.
+    """
+    w = Window.orderBy("_r")
+    dealt = render_order(rows, is_precut, km, order).withColumn("_r", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    dealt = checkpointed(dealt)
+    sizes = dealt.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_r", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))  # one row a range
+    return dealt.join(F.broadcast(before), "_r").withColumn("z", F.col("_before") + F.col("_i") + 1).drop("_r", "_i", "_before")
+
+
 def top_reasons(rows: DataFrame, reasons: Column, limit: int = 15) -> DataFrame:
     return rows.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(limit)
 

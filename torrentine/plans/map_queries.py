@@ -215,6 +215,12 @@ def boxes_meet(spark, sf_dir):
     return joins.boxes_meet(w, w.where("ord % 5 = 0").withColumnRenamed("slug", "other"), "slug", "other", 0.25)
 
 
+@query(WITH + """, b AS (SELECT * FROM waters WHERE min_lon IS NOT NULL) SELECT w.slug, b.slug AS other FROM waters w JOIN b ON w.min_lon <= b.max_lon AND b.min_lon <= w.max_lon AND w.min_lat <= b.max_lat AND b.min_lat <= w.max_lat""")
+def boxes_meet_whole(spark, sf_dir):
+    w = waters(spark, sf_dir)
+    return joins.boxes_meet(w, w.withColumnRenamed("slug", "other"), "slug", "other", 0.25)
+
+
 @query(WITH + """, s AS (SELECT s_suppkey, 20.26 + CAST(s_suppkey * 6151 % 9430 AS DOUBLE) / 1000 AS lon, 43.62 + CAST(s_suppkey * 32749 % 4650 AS DOUBLE) / 1000 AS lat FROM supplier),
  b AS (SELECT judet, min(lon) + 2 AS x0, max(lon) - 3 AS x1, min(lat) + 1 AS y0, max(lat) - 1.5 AS y1 FROM waters GROUP BY judet),
  h AS (SELECT s_suppkey % 10 AS grp, judet, count(*) AS n FROM s JOIN b ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 GROUP BY ALL) SELECT grp, arg_max(judet, (n, judet)) AS judet, max(n) AS n FROM h GROUP BY grp""")
@@ -281,6 +287,11 @@ def render_order(spark, sf_dir):
     return rows.select("slug", F.row_number().over(w).alias("z"))
 
 
+@query(WITH + "SELECT slug, row_number() OVER (ORDER BY CAST(ord % 3 = 0 AS INT), CASE WHEN ord % 3 = 0 THEN length_km END DESC NULLS LAST, ord) AS z FROM waters")
+def render_order_whole(spark, sf_dir):
+    return windows.render_positions(waters(spark, sf_dir), F.col("ord") % 3 == 0, "length_km", "ord").select("slug", "z")
+
+
 @query(WITH + "SELECT slug, round(111412.84 * cos(radians(lat)) - 93.5 * cos(3 * radians(lat)) + 0.118 * cos(5 * radians(lat)), 3) AS m_lon, round(111132.92 - 559.82 * cos(2 * radians(lat)) + 1.175 * cos(4 * radians(lat)) - 0.0023 * cos(6 * radians(lat)), 3) AS m_lat FROM waters")
 def metres_per_degree(spark, sf_dir):
     return waters(spark, sf_dir).select("slug", geo.metres_per_degree(F.col("lat")).alias("m")).select("slug", F.round("m.lon", 3).alias("m_lon"), F.round("m.lat", 3).alias("m_lat"))
