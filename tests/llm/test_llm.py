@@ -290,14 +290,17 @@ def test_redaction():
 
 
 def test_token_encoding_is_the_library_s(docs):
-    odd = ["  a  b\n\n c d", "x\n y", "İstanbul ΣΟΣ été", "a\x1cb  c", "don't  they're .,!\n", " ", "日本語 テキスト。 \U0001f600", "<|endoftext|> a\r\n\tq", "A.B,C ...  ,,, 12 34", "é ſs K", "a  b   c"]
+    odd = ["  a  b\n\n c d", "x\n y", "İstanbul ΣΟΣ été", "a\x1cb  c", "don't  they're .,!\n", " ", "日本語 テキスト。 \U0001f600", "<|endoftext|> a\r\n\tq", "A.B,C ...  ,,, 12 34", "é ſs K", "a  b   c"]
+    odd += ["a <|endoftext|> b", "x<|startoftext|>y <|STARTOFTEXT|>", "<|endoftext|>", "a <|endof text|> b"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        e = encoder(vocabulary(name))
-        t = Tokenizer.from_file(vocabulary(name))
-        t.encode_special_tokens = True
-        texts = [*odd, *(r[1] or "" for r in corpus())]
-        for text, ids in zip(texts, e.encode_all(texts)):
-            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == t.encode(text, add_special_tokens=False).ids
+        for plain in (False, True):
+            e = encoder(vocabulary(name), plain_specials=plain)
+            t = Tokenizer.from_file(vocabulary(name))
+            if plain:
+                t.encode_special_tokens = True
+            texts = [*odd, *(r[1] or "" for r in corpus())]
+            for text, ids in zip(texts, e.encode_all(texts)):
+                assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == t.encode(text, add_special_tokens=False).ids
 
 
 def test_token_counts(docs, empty):

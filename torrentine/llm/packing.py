@@ -24,8 +24,8 @@ from torrentine.llm.tokens import encoder
 
 #: Pieces of text a worker remembers: fewer than elsewhere, as packing is a late stage whose workers share memory with what came before.
 MEMO_PIECES = 300_000
-#: Pieces of one length that are ranked in one task, about; and the most salts.
-RANK_ROWS, MOST_SALTS = 10_000, 1024
+#: Pieces of one length that are ranked in one task, about, however many there are.
+RANK_ROWS = 10_000
 
 
 def fullest(room: int, counts: list[tuple[int, int]]) -> dict[int, int]:
@@ -113,18 +113,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids on demand): one row a piece.
 
     Null and empty texts hold ``end_id`` alone. Repeated rows and rows with a null doc_id are
-    documents of their own. Pieces of one length are alike to the search; ties go by doc_id, piece and checksum. An empty table
-    gives no rows. Other columns are not read.
+    documents of their own. Pieces of one length are alike to the search, so which of them takes which place is
+    left to their order in the table of pieces. An empty table gives no rows. Other columns are not read.
     """
-    cut = materialize(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
+    # the row number is written with the pieces, so it stays what it is and deals out repeated rows like any others
+    cut = materialize(pieces(docs, tokenizer, capacity, end_id, with_ids).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
     where = places(bins(histogram, capacity))
-    salts = max(1, min(MOST_SALTS, -(-sum(histogram.values()) // RANK_ROWS)))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salts = max(1, -(-sum(histogram.values()) // RANK_ROWS))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = salted.groupBy("length", "salt").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("_row"))
     ranked = salted.withColumn("rank", rank - 1).join(groups, ["length", "salt"]).withColumn("rank", (F.col("rank") + F.col("before")).cast("long"))
+    cut = cut.drop("_row")
     names = cut.columns
     ranked = ranked.select(*names, "rank")
 

@@ -26,7 +26,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> DataF
     schema = pa.schema([("part", pa.int64()), ("file", pa.string()), ("width", pa.int32()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
 
     def write(batches):
-        part, enc, file, n = TaskContext.get().partitionId(), encoder(tokenizer), None, 0
+        part, enc, file, n = TaskContext.get().partitionId(), encoder(tokenizer, plain_specials=True), None, 0
         kind = "<u2" if max(len(enc.n_bytes) - 1, end_id) < 1 << 16 else "<u4"
         width, end, uri = int(kind[2]), np.array([end_id], kind).tobytes(), f"{path}/tokens-{part:06d}.bin"
 

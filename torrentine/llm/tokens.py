@@ -2,7 +2,8 @@
 
 A byte-level or word BPE never merges across the place where white space follows something else, so
 a text is cut there and each distinct piece is encoded by the library once per worker. Texts with
-white space outside space, tab, line feed and carriage return go to the library whole.
+white space outside space, tab, line feed and carriage return go to the library whole, and so do texts
+that name a special token, which the library encodes as that token.
 """
 
 from __future__ import annotations
@@ -33,17 +34,18 @@ BATCH_TEXTS = 256
 #: Seconds without a text after which a worker forgets its pieces.
 IDLE_S = 8.0
 
-_loaded: dict[str, "MemoEncoder"] = {}
+_loaded: dict[tuple[str, bool], "MemoEncoder"] = {}
 
 
 class MemoEncoder:
     """Encodes texts to ids as little-endian uint32 bytes.
 
     Unknown pieces of some hundred texts are joined, encoded in one call and told apart again by the
-    bytes that each id stands for.
+    bytes that each id stands for. With ``plain_specials`` the names of special tokens are text like any other, so
+    no text encodes to their ids.
     """
 
-    def __init__(self, path: str, most: int = MEMO_PIECES):
+    def __init__(self, path: str, most: int = MEMO_PIECES, plain_specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,9 +53,11 @@ class MemoEncoder:
         self.most = most
         self.used = time.monotonic()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or () if not (plain_specials and t["special"])]
+        self.names_added = re.compile("|".join(added), re.I).search if added else None
         kinds = re.findall(r'"type": *"(\w+)"', json.dumps(spec.get("normalizer")))
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.drops_space = ids(" a\nb ") == ids("a") + ids("b")
@@ -106,7 +110,7 @@ class MemoEncoder:
         for text in texts:
             if not text:
                 rows.append(b"")
-            elif RARE_SPACE.search(text):
+            elif RARE_SPACE.search(text) or self.names_added and self.names_added(text):
                 rows.append(self.whole(text))
             else:
                 pieces = self._pieces(text)
@@ -142,12 +146,13 @@ def forget() -> None:
 on_idle.append(forget)
 
 
-def encoder(path: str, most: int = MEMO_PIECES) -> MemoEncoder:
+def encoder(path: str, most: int = MEMO_PIECES, plain_specials: bool = False) -> MemoEncoder:
     """One encoder for each vocabulary file and Python worker, which remembers ``most`` pieces."""
-    if path not in _loaded:
-        _loaded[path] = MemoEncoder(path)
-    _loaded[path].most = most
-    return _loaded[path]
+    key = path, plain_specials
+    if key not in _loaded:
+        _loaded[key] = MemoEncoder(path, plain_specials=plain_specials)
+    _loaded[key].most = most
+    return _loaded[key]
 
 
 def vocabulary(name: str) -> str:
