@@ -416,6 +416,42 @@ def test_decontamination_misses_no_item_within_budget(spark):
         assert found and found[0][1] <= k
 
 
+def test_short_items_stand_as_words():
+    m = decontam.Matcher([(1, "a"), (2, "yes"), (3, "c++"), (4, "42 is the answer")], decontam.ERROR_RATE, decontam.PIECE_CHARS)
+    assert m.find("completely clean text, yesterday") == []
+    assert m.find("yesterday, yes! a") == [(1, 0, 16, 17), (2, 0, 11, 14)]
+    assert m.find("xc++ c++y")[0][0] == 3 and m.find("142 is the answer") == [] and m.find("so 42 is the answers") == []
+
+
+def test_decontamination_is_brute_force(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randint(1, 5)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 2, 5, 9, 14, 20, 20])]
+    items.append((7, items[3][1]))
+
+    def text(i):
+        parts = [word() for _ in range(r.randint(0, 60))]
+        s = list(r.choice(items)[1])
+        for _ in range(r.randint(0, 6)):
+            k = r.randrange(len(s))
+            s[k : k + 1] = r.choice([["x"], [], [s[k], "y"]])
+            s = s or ["q"]
+        parts.insert(r.randint(0, len(parts)), "".join(s))
+        return " ".join(parts)
+
+    rows = [(i, text(i)) for i in range(150)]
+    want = {}
+    for doc_id, t in rows:
+        t = decontam.normal(t)
+        for item_id, p in items:
+            k, d = decontam.budget(len(p)), edit_distance(p, t)
+            bare = re.search(r"(?<![^\W_])" + re.escape(p) + r"(?![^\W_])", t)
+            if d <= k and (k or bare):
+                want[doc_id, item_id] = (d, t.find(p) if k else bare.start()) if d == 0 else (d, None)
+    got = {(x.doc_id, x.item_id): (x.n_edits, x.start if x.n_edits == 0 else None) for x in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 80
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -15,8 +15,9 @@ from torrentine.llm.common import id_text, in_slices, sliced
 
 #: Items held by a task at once: their characters, in blocks; each further block is one more pass over the texts.
 BLOCK_CHARS = 2_000_000
-#: Least characters of a piece, which bounds the budget of short items; and the budget as a share of an item.
-PIECE_CHARS, ERROR_RATE = 14, 0.06
+#: Least characters of a piece, and the budget as a share of an item. At this share a piece has eight characters or
+#: more for every length, so the first binds only for larger shares.
+PIECE_CHARS, ERROR_RATE = 8, 0.06
 
 
 def normal(text: str | None) -> str:
@@ -59,8 +60,21 @@ def myers(pattern: str, text: str, k: int) -> tuple[int, int] | None:
     return best
 
 
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether a passage starts and ends where words do."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum()) and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
+
+def find_alone(text: str, pattern: str) -> int:
+    """First place of a pattern as words of its own, or -1."""
+    at = text.find(pattern)
+    while at >= 0 and not stands_alone(text, at, at + len(pattern)):
+        at = text.find(pattern, at + 1)
+    return at
+
+
 class Matcher:
-    """Items of one block and the automaton over their pieces."""
+    """Items of one block and the automaton over their pieces. An item too short for an edit must stand as words of its own."""
 
     def __init__(self, items: list[tuple[int | None, str]], error_rate: float, piece_chars: int):
         import ahocorasick
@@ -88,9 +102,10 @@ class Matcher:
         found = []
         for item, starts in sorted(hits.items()):
             item_id, pattern, k = self.items[item]
-            at = text.find(pattern)
+            at = text.find(pattern) if k else find_alone(text, pattern)
             if at >= 0:
                 found.append((item_id, 0, at, at + len(pattern)))
+            if at >= 0 or not k:
                 continue
             best, done = None, -1
             for start in sorted(starts):
@@ -136,8 +151,9 @@ FOUND_DDL = "doc_id long, item_id long, n_edits int, `start` long, `end` long"
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """doc_id, item_id, n_edits, start, end: the best match of each item in each row of docs that holds it.
 
-    Texts are compared in lower case with runs of blanks as one space; start and end count characters of
-    that form; an inexact match starts at the earliest place where it can. Items pass through the driver in blocks of
+    An item may differ in ``error_rate`` of its characters; one that is too short for a single edit must be there
+    exactly, as words of its own, so "a" is not found in "day". Texts are compared in lower case with runs of blanks
+    as one space; start and end count characters of that form; an inexact match starts at the earliest place where it can. Items pass through the driver in blocks of
     ``BLOCK_CHARS`` characters, each of which is matched with all texts. Null or blank texts and items match nothing; a null doc_id or
     item_id is carried; repeated rows match each for itself; an empty table gives no rows. Other columns are not read.
     """
@@ -162,7 +178,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", error_rate: float = ERROR_RATE, piece_chars: int = PIECE_CHARS) -> DataFrame:
-    """``docs`` without the rows whose text holds an item; columns as they were, rows with null texts stay."""
+    """``docs`` without the rows whose text holds an item (see :func:`contaminated`); columns as they were, whatever their names.
+
+    Rows with null or empty texts stay, as do rows with null identifiers that hold no item; repeated rows share one verdict. Without
+    items, or with none but null and blank ones, every row stays; an empty table stays empty.
+    """
     names, at = docs.columns, docs.columns.index(text_col)
     for block in _blocks(benchmark):
         key = hash((tuple(block), error_rate, piece_chars))
