@@ -1,252 +1,369 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes blocks of text. A classifier's evidence for content or boilerplate is a block's capacity
-to the source or the sink; blocks that follow each other, and blocks that follow each other within one
-container, are joined by smoothness edges, stronger the nearer they stand in the tree. The minimum cut
-is the labelling of least cost; blocks on the source's side are the text.
+A page becomes blocks of text. A small classifier gives each block its log-odds of being content, which is
+its capacity to the source or, below zero, to the sink; it sees the block and its nearest elements only. Blocks that
+follow each other, and blocks that follow each other within one container, are joined by smoothness edges, stronger the
+nearer they stand in the tree, and of the same order as the capacities, so neighbours outvote a block that looks
+odd by itself. The minimum cut is the labelling of least cost; blocks on the source's side are the text.
+
+The classifier is a logistic regression, fitted to ``html_samples.pages``: a bounded, seeded set of made-up pages whose labels are
+known. No single element or word can empty a page: a block's odds are clipped, and words in the class of an element that holds
+most of a page's text are features of their own.
 """
 
 from __future__ import annotations
 
+import functools
 import html as html_lib
 import re
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from torrentine.llm import html_samples
 from torrentine.llm.common import in_slices, sliced
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag. Quotes count as such only where a value starts; nothing is scanned twice.
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)*+>""")
+ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "title", "textarea", "xmp", "noembed", "noframes", "canvas", "audio", "video"}
-RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+SPACES = re.compile(r"\s+")
+#: Elements whose content is no markup, elements without content, and elements whose text is not shown.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes")}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPE = {"ul", "ol", "dl", "table", "select", "article", "section", "div", "body", "aside", "main", "td", "nav", "footer", "header", "form", "blockquote"}
-
-#: Evidence of an element for all text in it: above zero for content.
-BY_TAG = {"nav": -9, "footer": -9, "aside": -8, "form": -9, "button": -9, "select": -9, "menu": -9, "dialog": -9, "head": -30, "fieldset": -6, "label": -4, "article": 4, "main": 3}
-BY_ROLE = {"navigation": -9, "banner": -9, "contentinfo": -9, "complementary": -8, "search": -9, "dialog": -9, "alert": -8, "alertdialog": -9, "menu": -9, "form": -9, "main": 3, "article": 4}
-BAD_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising advertorial adsense banner banners breadcrumb breadcrumbs byline-share comment comments commentlist "
-    "consent cookie cookies copyright disclaimer disqus discussion dropdown footer footnav gdpr hero-ad masthead menu menus modal nav navbar navigation newsletter notice notices "
-    "notification overlay pager pagination paywall popup promo promoted promotion recommend recommended recommendations related replies reply respond rss "
-    "share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription tagcloud teaser toolbar topbar trending warning widget widgets".split()
-)
-HEADER_WORDS = {"header", "masthead", "heading", "head", "top"}
-GOOD_WORDS = set("article articlebody body content entry hentry main maincontent mainbody post postbody richtext story text".split())
-BY_BLOCK = {"p": 1.0, "h1": 1.2, "h2": 0.6, "h3": 0.6, "h4": 0.4, "h5": 0.3, "h6": 0.3, "pre": 1.0, "blockquote": 1.0, "figcaption": 0.4, "td": 0.2, "li": -0.2}
-#: Smoothness of neighbours: of one container, of containers one apart, of others; and along one container over a gap.
-NEAR, STEP, FAR, WITHIN = 1.2, 0.5, 0.15, 0.6
+UNSEEN = {"svg", "template", "canvas", "audio", "video", "datalist"}
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE |= set("math mi mo mn mrow msup msub mfrac msqrt mtext mroot mstyle msubsup munder mover semantics annotation".split())
+HEADINGS = {f"h{i}" for i in range(1, 7)}
+ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: An open paragraph ends where one of these begins; an open item is out of reach behind one of the lists.
+BLOCK = set("address article aside blockquote body center details dialog dir div dl fieldset figcaption figure footer form header hgroup hr main menu nav ol p pre section summary table ul".split()) | HEADINGS | set(ITEMS)
+LISTS = set("ul ol dl menu table select div section article aside main nav footer header form".split())
+
+#: Elements that roles stand for.
+ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "form": "form", "dialog": "dialog", "alertdialog": "dialog", "alert": "dialog", "menu": "menu", "main": "main", "article": "article"}
+#: Elements that say nothing of what stands two levels below.
+PLAIN = {"", "html", "body", "div", "section", "form"}
+CUES = {
+    "cookie": r"\bcookies?\b",
+    "rights": r"copyright|©|all rights reserved",
+    "join": r"\b(?:subscribe|sign (?:up|in)|log ?in|newsletter|register)\b",
+    "share": r"^\W*(?:share|tweet|follow|print|email)\b",
+    "more": r"^\W*(?:related|read (?:more|also)|see also|recommended|trending|more from|you may also)\b",
+    "advert": r"^\W*(?:advert|sponsored|promoted|ad\b)",
+    "reply": r"^\W*(?:reply|(?:\d+ )?comments?\b|leave a)",
+}
+CUE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in CUES.items()), re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+#: Most that a block's own odds can say; smoothness of neighbours of one name in one container, of others near by, and of the rest, and
+#: along one container over a gap. An element with more than this share of a page's text is a wrapper.
+CAP, NEAR, STEP, FAR, WITHIN, WRAPPER = 4.0, 2.0, 0.6, 0.1, 0.6, 0.6
 
 
 class Node:
-    """An open element; ``article`` says that it is in an article or main element, ``body`` that it is in one named as such at least."""
-
-    __slots__ = ("tag", "evidence", "parent", "article", "body")
-
-    def __init__(self, tag: str, evidence: float, parent: "Node | None"):
-        self.tag, self.evidence, self.parent = tag, evidence, parent
-        self.article = tag in ("article", "main") or parent is not None and parent.article
-        self.body = self.article or evidence > 0 or parent is not None and parent.body
-
-
-def _evidence(tag: str, attrs: str, parent: Node) -> float:
-    """What an element says of the text in it; the strongest sign counts."""
-    e = BY_TAG.get(tag, 0)
-    if tag == "header":
-        e = 0 if parent.article else -9
-    if not attrs:
-        return e
-    for m in ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return min(e, -12)
-        if name == "role":
-            e = min(e, BY_ROLE.get(value, 0)) if e < 0 or BY_ROLE.get(value, 0) < 0 else max(e, BY_ROLE.get(value, 0))
-        elif name in ("class", "id", "itemprop"):
-            words = set(WORD.findall(CAMEL.sub("-", value).lower()))
-            if tag in ("body", "html"):
-                continue
-            if words & BAD_WORDS or not parent.body and words & HEADER_WORDS:
-                e = min(e, -8)
-            elif words & GOOD_WORDS and e >= 0:
-                e = max(e, 2)
-    return e
+    """An open element. ``p`` and ``item`` are the paragraph and the list item or cell that a new one would end."""
+
+    __slots__ = ("tag", "names", "parent", "kind", "unseen", "hidden", "p", "item", "size")
+
+    def __init__(self, tag: str, parent: "Node | None", attrs: str = ""):
+        self.tag, self.kind, self.parent, self.names, self.size = tag, tag, parent, (), 0
+        self.unseen, self.hidden, self.p, self.item = (parent.unseen, parent.hidden, parent.p, parent.item) if parent else (False, False, None, None)
+        if attrs:
+            for m in ATTR.finditer(attrs):
+                name, value = m[1].lower(), (m[2] or "").strip("\"'")
+                if name in ("class", "id"):
+                    self.names += tuple(CAMEL.sub("-", value).lower().split())
+                elif name == "role":
+                    self.kind = ROLES.get(value.lower(), tag)
+                elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
+                    self.hidden = True
+        self.unseen = self.unseen or tag in UNSEEN
+        self.p = self if tag == "p" else None if tag in BLOCK else self.p
+        self.item = self if tag in ITEMS else None if tag in LISTS else self.item
 
 
 class Block:
-    __slots__ = ("text", "node", "links", "score")
+    __slots__ = ("text", "node", "links")
 
     def __init__(self, text: str, node: Node, links: int):
         self.text, self.node, self.links = text, node, links
-        self.score = self._score()
-
-    def _score(self) -> float:
-        best, worst, n = 0.0, 0.0, self.node
-        while n is not None:
-            best, worst = max(best, n.evidence), min(worst, n.evidence)
-            n = n.parent
-        size = len(self.text)
-        s = BY_BLOCK.get(self.node.tag, 0.0) + (-0.8 if size < 25 else 0.4 if size < 80 else 1.2)
-        s += 0.3 * min(3, self.text.count(". ") + self.text.count(", ")) + (0.3 if self.text[-1] in ".!?…”\"»" else 0)
-        s -= 4.0 * self.links / size if self.links * 2 > size else 0
-        if re.match(r"(?i)\W*(copyright|©|all rights reserved)", self.text):
-            s -= 3
-        return s + (worst if worst < 0 else best)
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of a page, in order."""
-    root = Node("", 0.0, None)
-    node, parts, found, at = root, [], [], 0
+    """Blocks of a page, in order; one pass, whatever the markup."""
+    root = Node("", None)
+    node, nodes, parts, found, at, n = root, [root], [], [], 0, len(page)
+    open_tags: dict[str, int] = {}
     links = anchor = 0
 
     def flush():
         nonlocal links
         if parts:
-            text = " ".join(html_lib.unescape("".join(parts)).split())
+            text = SPACES.sub(" ", html_lib.unescape("".join(parts))).strip()
             if text:
-                found.append(Block(text, node, min(links, len(text))))
+                home = node
+                while home.unseen:
+                    home = home.parent
+                found.append(Block(text, home, min(links, len(text))))
+                home.size += len(text)
             parts.clear()
         links = 0
 
-    for m in iter(lambda: TAG.search(page, at), None):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    def close(to: Node | None):
+        nonlocal node
+        while node is not to and node is not root:
+            open_tags[node.tag] -= 1
+            node = node.parent
+
+    def add(text: str):
+        nonlocal links
+        if text and not node.unseen:
+            parts.append(text)
             if anchor:
-                links += m.start() - at
-        at = m.end()
-        if m[2] is None:
+                links += len(text)
+
+    while at < n:
+        mark = page.find("<", at)
+        if mark < 0:
+            add(page[at:])
+            break
+        add(page[at:mark])
+        nxt = page[mark + 1 : mark + 2]
+        if nxt in ("!", "?") or nxt == "/" and not page[mark + 2 : mark + 3].isalpha():
+            if nxt == "/" and page[mark + 2 : mark + 3] != ">" and mark + 2 >= n:
+                add(page[mark:])
+            if page.startswith("<!--", mark) and not page.startswith((">", "->"), mark + 4):
+                at = page.find("-->", mark + 4)
+                at = n if at < 0 else at + 3
+            else:
+                at = page.find(">", mark)
+                at = n if at < 0 else at + 1
             continue
-        tag = m[2].lower()
+        ends = nxt == "/"
+        m = NAME.match(page, mark + 1 + ends)
+        if not m or not m[0].isascii() and not m[0][0].isascii():
+            add("<")
+            at = mark + 1
+            continue
+        rest = REST.match(page, m.end())
+        if not rest:  # the page ends within the tag
+            break
+        at, tag, attrs = rest.end(), m[0].lower(), page[m.end() : rest.end() - 1]
         if tag in INLINE:
-            if tag == "br":
-                parts.append(" ")
-            elif tag == "a":
-                anchor = max(0, anchor + (-1 if m[1] else 1))
+            if tag == "a":
+                anchor = 0 if ends else 1
             continue
-        if m[1]:
-            n = node
-            while n is not root and n.tag != tag:
-                n = n.parent
-            if n is not root:
+        if tag == "br" or tag in VOID:
+            if tag in ("br", "img", "wbr", "input", "embed"):
+                add(" " if tag == "br" else "")
+            elif tag == "hr":
                 flush()
-                node, anchor = n.parent, 0
-            elif tag == "p":
+            continue
+        if ends:
+            if open_tags.get(tag):
+                if tag not in UNSEEN:
+                    flush()
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                close(up.parent)
+                anchor = 0
+            elif tag in BLOCK:
                 flush()
             continue
-        flush()
-        anchor = 0
         if tag in RAW:
-            if not m[3].endswith("/"):
-                end = RAW_END[tag].search(page, at)
-                at = end.end() if end else len(page)
+            end = RAW[tag].search(page, at)
+            at = n if not end else page.find(">", end.end())
+            at = n if at < 0 else at + 1
             continue
-        if tag in VOID:
+        if tag in UNSEEN:
+            open_tags[tag] = open_tags.get(tag, 0) + (not attrs.endswith("/"))
+            if not attrs.endswith("/"):
+                node = Node(tag, node, "")
+                nodes.append(node)
             continue
-        if tag == "body":
-            while node is not root and node.tag != "html":
-                node = node.parent
-        shut, n = CLOSES.get(tag, set()), node
-        while n is not root and n.tag not in SCOPE:  # an open p, or an item of the same list, ends here
-            if n.tag == "p" or n.tag in shut or n.tag[0] == "h" and tag[0] == "h" and len(tag) == 2 and tag[1:].isdigit():
-                node = n.parent
-            n = n.parent
-        if n.tag in shut:
-            node = n.parent
-        node = Node(tag, _evidence(tag, m[3], node), node)
-        if m[3].endswith("/") and tag not in ("p", "div"):
-            node = node.parent
-    if at < len(page):
-        parts.append(page[at:])
+        if node.unseen and tag not in BLOCK:
+            continue
+        flush()
+        anchor = 0
+        while node.unseen:  # a block of the page ends a drawing that was left open
+            close(node.parent)
+        if tag in BLOCK:
+            if node.p is not None:
+                close(node.p.parent)
+            if node.item is not None and node.item.tag in ITEMS.get(tag, ()):
+                close(node.item.parent)
+                if tag == "tr" and node.item is not None and node.item.tag == "tr":
+                    close(node.item.parent)
+            if tag in HEADINGS and node.tag in HEADINGS:
+                close(node.parent)
+        node = Node(tag, node, attrs)
+        nodes.append(node)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
+    for x in reversed(nodes):
+        if x.parent is not None:
+            x.parent.size += x.size
+    root.size = max(root.size, 1)
     return found
 
 
+def features(found: list[Block]) -> list[list[str]]:
+    """What the classifier sees of each block: its text, its element and the nearest ones around it, with their names."""
+    if not found:
+        return []
+    root = found[0].node
+    while root.parent is not None:
+        root = root.parent
+    out = []
+    for b in found:
+        node, size = b.node, len(b.text)
+        f = ["bias", f"tag:{node.tag}", f"size:{min(7, (size // 12).bit_length())}", f"links:{4 * b.links // size}", f"stops:{min(4, sum(map(b.text.count, ('. ', ', ', '? ', '! '))))}", f"end:{b.text[-1] in '.!?…”\"»:'}"]
+        if node.kind != node.tag:
+            f.append(f"role:{node.kind}")
+        if node.hidden:
+            f.append("hidden")
+        if size < 300:
+            f += {f"cue:{m.lastgroup}" for m in CUE.finditer(b.text)}
+        up = node
+        for _ in range(4):
+            if up.parent is None:
+                break
+            if up.tag not in ("body", "html"):
+                kind = "whole" if up.size > WRAPPER * root.size and up is not node else "word"
+                f += {f"{kind}:{w}" for x in up.names for w in WORD.findall(x)}
+            up = up.parent
+        if node.parent is not None:
+            f.append(f"up:{node.parent.kind}")
+            if node.parent.parent is not None and node.parent.parent.kind not in PLAIN:
+                f.append(f"up2:{node.parent.parent.kind}")
+        out.append(f)
+    return out
+
+
+def fit(labelled, ridge: float = 1.0, rounds: int = 8) -> dict[str, float]:
+    """Weights of a logistic regression, by Newton's method, from pages as (html, content: a set of block texts)."""
+    rows, labels = [], []
+    for page, content in labelled:
+        found = blocks(page)
+        rows += features(found)
+        labels += [b.text in content for b in found]
+    names = {x: i for i, x in enumerate(sorted({x for r in rows for x in r}))}
+    x, y = np.zeros((len(rows), len(names))), np.array(labels, float)
+    for i, r in enumerate(rows):
+        x[i, [names[k] for k in r]] = 1
+    w = np.zeros(len(names))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w += np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
+    return {k: round(float(w[i]), 4) for k, i in names.items()}
+
+
+@functools.cache
+def fitted() -> dict[str, float]:
+    return fit(html_samples.pages())
+
+
+def scores(found: list[Block], model: dict[str, float]) -> list[float]:
+    """Log-odds of content, clipped."""
+    return [max(-CAP, min(CAP, sum(model.get(x, 0.0) for x in f))) for f in features(found)]
+
+
 def _container(n: Node) -> Node:
-    return n.parent if n.tag in BY_BLOCK and n.parent is not None else n
+    return n.parent if n.parent is not None and (n.tag in HEADINGS or n.tag in ITEMS or n.tag in ("p", "pre", "blockquote", "figcaption", "figure")) else n
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: neighbours in the page, and next of kin within one container."""
+    """Smoothness edges: neighbours in the page, next of kin within one container, and a new container with the one it stands in."""
     out, last = [], {}
     homes = [_container(b.node) for b in found]
     for i, home in enumerate(homes):
         if i:
             prev = homes[i - 1]
-            w = NEAR if prev is home else STEP if prev.parent is home or home.parent is prev else FAR
+            alike = found[i - 1].node.names == found[i].node.names
+            w = NEAR if prev is home and alike else STEP if prev is home or prev.parent is home or home.parent is prev else FAR
             out.append((i - 1, i, w))
         if (j := last.get(id(home), i - 1)) < i - 1:
             out.append((j, i, WITHIN))
+        elif id(home) not in last and (j := last.get(id(home.parent), i - 1)) < i - 1:
+            out.append((j, i, STEP))
         last[id(home)] = i
     return out
 
 
 def minimum_cut(scores: list[float], links: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes stay with the source; a score is the capacity to the source, below zero to the sink."""
-    excess = list(scores)
-    if not any(s < 0 for s in excess) or not any(s > 0 for s in excess):
-        return [s > 0 or not any(x < 0 for x in excess) and any(x > 0 for x in excess) for s in excess]
-    room: list[dict[int, float]] = [{} for _ in excess]
+    """Which nodes stay with the source; a score is the capacity to the source, below zero to the sink.
+
+    Augmenting paths go from one source at a time to the nearest sink. What a source reaches when no sink is left
+    to it stays with the source for good, so it is never searched again.
+    """
+    excess, n = list(scores), len(scores)
+    room: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, w in links:
         room[a][b] = room[a].get(b, 0) + w
         room[b][a] = room[b].get(a, 0) + w
-    while True:
-        came: dict[int, int] = {i: -1 for i, e in enumerate(excess) if e > 1e-9}
-        queue, end = deque(came), -1
-        while queue and end < 0:
-            a = queue.popleft()
-            for b, w in room[a].items():
-                if w > 1e-9 and b not in came:
-                    came[b] = a
-                    if excess[b] < -1e-9:
-                        end = b
-                        break
-                    queue.append(b)
-        if end < 0:
-            return [i in came for i in range(len(excess))]
-        path, b = [], end
-        while came[b] >= 0:
-            path.append((came[b], b))
-            b = came[b]
-        flow = min(excess[b], -excess[end], *(room[x][y] for x, y in path))
-        excess[b] -= flow
-        excess[end] += flow
-        for x, y in path:
-            room[x][y] -= flow
-            room[y][x] += flow
-
-
-def main_text(page: str | None) -> str:
+    kept = [False] * n
+    for source in range(n):
+        while excess[source] > 1e-9 and not kept[source]:
+            came, queue, end = {source: source}, deque([source]), -1
+            while queue and end < 0:
+                a = queue.popleft()
+                for b, w in room[a].items():
+                    if w > 1e-9 and b not in came and not kept[b]:
+                        came[b] = a
+                        if excess[b] < -1e-9:
+                            end = b
+                            break
+                        queue.append(b)
+            if end < 0:
+                for a in came:
+                    kept[a] = True
+                break
+            path, b = [], end
+            while b != source:
+                path.append((came[b], b))
+                b = came[b]
+            flow = min(excess[source], -excess[end], *(room[x][y] for x, y in path))
+            excess[source] -= flow
+            excess[end] += flow
+            for x, y in path:
+                room[x][y] -= flow
+                room[y][x] += flow
+    return kept
+
+
+def main_text(page: str | None, model: dict[str, float] | None = None) -> str:
     """The main text: its blocks joined by line feeds; empty for null and for pages without content."""
     if not page:
         return ""
     found = blocks(page)
-    keep = minimum_cut([b.score for b in found], edges(found))
+    keep = minimum_cut(scores(found, fitted() if model is None else model), edges(found))
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 
 OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: the main text of every row.
+def extract(pages: DataFrame, model: dict[str, float] | None = None) -> DataFrame:
+    """page_id, url, text, n_chars: the main text of every row. ``model`` holds the weights of :func:`fit`, by default of :func:`fitted`.
 
     A null or empty html gives an empty text. Null identifiers and addresses and repeated rows are kept;
     an empty table gives no rows; other columns are not read.
     """
+    model = fitted() if model is None else model  # a few hundred numbers, fitted once on the driver
 
     def run(batches):
         def one():
             for batch in sliced(batches):
                 for page_id, url, page in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    text = main_text(page)
+                    text = main_text(page, model)
                     yield page_id, url, text, len(text)
 
         yield from in_slices(one(), OUT, 1024)
