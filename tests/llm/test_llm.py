@@ -349,6 +349,72 @@ def test_secrets_that_stand_twice_or_have_few_characters():
         assert spans(f"the session {w} x\nand session {w} y") == []
 
 
+def planted_keys(r):
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for chars, least in ((lower + upper + digits, 12), (lower + upper, 13), (lower, 14), (upper + "234567", 14), (digits + "ABCDEF", 20), (lower + digits + "-_", 16)):
+        for n in (least, 20, 24, 32, 48, 80):
+            yield "x" + "".join(r.choice(chars) for _ in range(n - 2)) + "7"
+
+
+def test_novel_secrets_recall_and_false_alarms():
+    """Planted keys on both sides of a sensitive word, and the same texts with sensitive words strewn in but no key."""
+    r = random.Random(6)
+    found = n = alarms = looked = 0
+    for i in range(12):
+        for key in planted_keys(r):
+            a, b = prose(r.randint(20, 120), 1000 + n), prose(60, 5000 + n)
+            t = f"{a} bearer {key} {b}" if n % 2 else f"{a} {key} is the session {b}"
+            spans = [t[x:y] for x, k, y in secrets.find_spans(t)[1] if k == 3]
+            found, n = found + (spans == [key]), n + 1
+    words = "internationalization Geschwindigkeitsbegrenzung getAuthorizationHeader /usr/local/share/config.yaml www.example.com/path/index.html 2024-01-15T10.20.30 192.168.100.200 first_name_and_last_name ++++++++++++ constitutionally verantwortungsvoll +44-20-7946-0958".split()
+    for i in range(400):
+        t = prose(40, 9000 + i) + " session " + r.choice(words) + " token " + r.choice(words) + ", " + prose(40, 19000 + i)
+        looked += 1
+        alarms += bool(secrets.find_spans(t)[1])
+    assert found / n >= 0.95 and alarms / looked <= 0.01
+
+
+def test_novelty_reads_context_on_either_side():
+    spans = lambda t: [t[a:b] for a, k, b in secrets.find_spans(t)[1] if k == 3]
+    assert spans("q8Xk29LmZp47RtYw01Vb is my bearer credential") == ["q8Xk29LmZp47RtYw01Vb"]
+    assert spans("credential kQzXvBnMwPlRtYsDfGhJ") == ["kQzXvBnMwPlRtYsDfGhJ"]
+    assert spans("credential=q8Xk29LmZp47RtYw01Vb==") == ["q8Xk29LmZp47RtYw01Vb=="]
+    assert spans("q8Xk29LmZp47RtYw01Vb " + "x " * 40 + "credential") == []
+    hexed = "session 0123456789abcdef0/Qx7LmZp47RtYw01Vb"  # a base match is part of a longer key
+    assert spans(hexed) == [hexed[8:]]
+
+
+def test_novelty_takes_linear_time():
+    import time
+
+    r, took = random.Random(3), []
+    for n in (2000, 16000):
+        t = " ".join("session " + "".join(r.choice("abcdefghijkLMNOPQRSTUV0123456789") for _ in range(20)) for _ in range(n))
+        began = time.process_time()
+        assert len(secrets.find_spans(t)[1]) > 0.9 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]
+    began = time.process_time()
+    secrets.find_spans("token " + "ab.cd/" * 1_000_000 + " passwd " * 500_000)
+    assert time.process_time() - began < 60
+
+
+def test_identifier_dictionary(spark):
+    names = ["user_session_count", "open_session_now", "session_state", "lastSessionUsed", "close-session-x", "session.manager"]
+    texts = [*names, *[f"q_{x}" for x in names], None, "", "plain words only"] + ["Zqxkvjwpr_Zqxkvjwpr"] * 50
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert secrets.identifier_dictionary(df) == "session"  # a string that was copied fifty times is one identifier
+    assert secrets.identifier_dictionary(df, least_names=2, most_chars=20).endswith("session") and secrets.identifier_dictionary(df.limit(0)) == ""
+
+
+def test_redacted_rows(spark):
+    rows = [(1, SECRETS, "s"), (1, SECRETS, "s"), (None, SECRETS, None), (2, None, "x"), (3, "", "y"), (4, "clean text", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = secrets.redacted(df)
+    assert got.columns == df.columns and as_counter(got.collect()) == Counter((i, secrets.redact(t), s) for i, t, s in rows)
+    assert secrets.redacted(df.limit(0)).count() == 0 and secrets.scan(df.limit(0)).count() == 0
+
+
 def test_redaction():
     clean = secrets.redact(SECRETS)
     assert "abcdefABCDEF123" not in clean and "AKIA" not in clean and clean.startswith("x = 1\n[SECRET]") and secrets.redact(None) is None

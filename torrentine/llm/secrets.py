@@ -1,8 +1,12 @@
 """Secret scans: fixed patterns, and strings in sensitive context that a primed compressor finds new.
 
-A candidate is a long string near a word such as ``token`` or ``passwd``. zstandard is primed with a
-dictionary of common identifiers and the text around the candidate; the bytes that the candidate then adds
-are its novelty. Names, paths and repeated text cost few; a random string costs nearly its length.
+A candidate is a string of key characters with a word such as ``token`` or ``passwd`` near it, on either side or within.
+zstandard measures the bytes that it adds to a frame primed with a dictionary of identifiers, and to one primed with the text
+around it; the lesser is its novelty. Names, paths and repeated text cost few bytes, a random string nearly its length. A candidate is
+reported if its novelty is a large share of its length and amounts to enough bits for a key.
+
+The dictionary comes from the corpus itself: parts of the compound identifiers of all documents, counted by the number of
+different identifiers that hold them, so that a secret, however often it was copied, is no entry.
 
 Three kinds of secret need more than that. A secret that stands twice must not be primed by its copy, one without
 digits is told from a word by its letter pairs, and a long one of few characters costs the entropy of its alphabet only.
@@ -10,6 +14,8 @@ digits is told from a word by its letter pairs, and a long one of few characters
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import math
 import re
@@ -18,6 +24,7 @@ from collections import Counter
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from torrentine.llm.common import id_text, in_slices, sliced
 
@@ -28,10 +35,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api.?key|private.?key|access.?key|credential|bearer|authori[sz]|signature|session", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
-#: How far before a candidate the sensitive word may stand, how much text primes the compressor, and from which
-#: share of its length on a candidate's marginal bytes are novel.
-REACH, AROUND, NOVEL = 48, 1024, 0.7
+#: Shorter strings cannot reach ``KEY_BITS``. Signs of equality stand at the end only, as padding.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.~-]{11,}={0,2}")
+#: How far from a candidate a sensitive word may stand, how much text on each side primes the compressor, from which share of its
+#: length on a candidate's marginal bytes are novel (fitted in the tests on planted keys and on words), and how many bits make a key.
+REACH, AROUND, NOVEL, KEY_BITS = 64, 1024, 0.7, 60
+#: Compound identifiers, their parts, in how many of them a part must stand, and the most characters of the dictionary.
+COMPOUND = re.compile(r"[A-Za-z]{2,}(?:[_.-][A-Za-z]{2,})+|[a-z]{2,}(?:[A-Z][a-z]+)+")
+PART = re.compile(r"[A-Z]?[a-z]{3,15}|[A-Z]{4,15}")
+LEAST_NAMES, DICTIONARY_CHARS = 5, 1 << 15
 
 # Identifiers that code and configuration are full of.
 IDENTIFIERS = (
@@ -83,22 +95,38 @@ def _without(candidate: str, text: str, start: int, end: int) -> str:
     return before[-AROUND:] + "\n" + after[:AROUND]
 
 
-def is_novel(text: str, start: int, end: int, threshold: float) -> bool:
+def key_bits(candidate: str) -> float:
+    """Bits of a string drawn at random from the kinds of characters that the candidate has, in their shares; signs between them count nothing."""
+    digits, lower, upper = (re.findall(f"[{c}]", candidate) for c in ("0-9", "a-z", "A-Z"))
+    n, bits = len(digits) + len(lower) + len(upper), 0.0
+    for kind, few, size in ((digits, "0123456789", 10), (lower, "abcdef", 26), (upper, "ABCDEF", 26)):
+        if kind:
+            bits += len(kind) * (math.log2(len(few) if set(kind) <= set(few) else size) + math.log2(n / len(kind)))
+    return bits
+
+
+def is_novel(text: str, start: int, end: int, threshold: float, dictionary: str = "") -> bool:
     """Whether the candidate text[start:end] is novel."""
     s = text[start:end]
-    around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
-    if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and novelty(s, around) >= threshold * len(s):
-        return True
-    if wordy(s):
+    if key_bits(s) < KEY_BITS or wordy(s):
         return False
-    new = novelty(s, _without(s, text, start, end))
-    return new >= threshold * len(s) or new >= 0.9 * even_bytes(s)
+    least = min(threshold * len(s), 0.9 * even_bytes(s))
+    return novelty(s, dictionary) >= least and novelty(s, dictionary, _without(s, text, start, end)) >= least
+
+
+@functools.lru_cache(maxsize=4)
+def _primed(dictionary: str) -> zstandard.ZstdCompressor:
+    return _compressor(IDENTIFIERS + "\n" + dictionary)
 
 
-def novelty(candidate: str, around: str) -> int:
-    """Bytes that the candidate adds to a frame primed with the identifiers and the text around it."""
-    primer = zstandard.ZstdCompressionDict((IDENTIFIERS + "\n" + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    zip_ = zstandard.ZstdCompressor(level=19, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
+def _compressor(primer: str) -> zstandard.ZstdCompressor:
+    raw = zstandard.ZstdCompressionDict(primer.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=19, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def novelty(candidate: str, dictionary: str = "", around: str | None = None) -> int:
+    """Bytes that the candidate adds to a frame primed with identifiers or, if it is given, with the text around it."""
+    zip_ = _primed(dictionary) if around is None else _compressor(around + "\n" + IDENTIFIERS)
     return len(zip_.compress(candidate.encode())) - len(zip_.compress(b""))
 
 
@@ -113,31 +141,67 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], threshold: float = NOVEL) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of candidates in sensitive context that overlap no base match and are novel."""
-    found, after = [], -1
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), after), min(len(text), word.end() + REACH + 512)):
-            if m.start() > word.end() + REACH:
-                break
-            start, end = m.span()
-            while end < len(text) and CANDIDATE.fullmatch(text, end - 15, end + 1):  # past the window
-                end += 1
-            after = end
-            if not any(a < end and start < b for a, _, b in taken) and is_novel(text, start, end, threshold):
-                found.append((start, 3, end))
+def novel_spans(text: str, taken: list[tuple[int, int, int]], threshold: float = NOVEL, dictionary: str = "") -> list[tuple[int, int, int]]:
+    """(start, kind, end) of novel candidates in sensitive context that are no part of a base match."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+    farthest, top = [], -1  # of the base matches up to each, sorted by start, the last end
+    for _, _, b in taken:
+        farthest.append(top := max(top, b))
+    begins, found = [a for a, _, _ in taken], []
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        i = bisect.bisect_left(ends, start - REACH)  # the first sensitive word that does not end too far before
+        if i == len(words) or starts[i] > end + REACH:
+            continue
+        j = bisect.bisect_right(begins, start) - 1
+        if j >= 0 and farthest[j] >= end:
+            continue
+        if is_novel(text, start, end, threshold, dictionary):
+            found.append((start, 3, end))
     return found
 
 
-def find_spans(text: str | None, threshold: float = NOVEL) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find_spans(text: str | None, threshold: float = NOVEL, dictionary: str = "") -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans of a text, each sorted by start, then kind."""
     if not text:
         return [], []
     base = base_spans(text)
-    more = novel_spans(text, base, threshold)
+    more = novel_spans(text, base, threshold, dictionary)
     return base, sorted(base + more) if more else base
 
 
+def identifier_dictionary(docs: DataFrame, text_col: str = "text", least_names: int = LEAST_NAMES, most_chars: int = DICTIONARY_CHARS) -> str:
+    """Parts of compound identifiers of all texts that stand in ``least_names`` different identifiers or more, commonest last.
+
+    Where they come to more than ``most_chars`` characters the commonest stay. Nothing but these comes to the driver.
+    """
+    schema = pa.schema([("name", pa.string())])
+
+    def names(batches):
+        for batch in sliced(batches):
+            found = {n for t in batch.column(0).to_pylist() if t for n in COMPOUND.findall(t)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], schema=schema)
+
+    def parts(batches):
+        for batch in sliced(batches):
+            rows = [p.lower() for n in batch.column(0).to_pylist() for p in set(PART.findall(n))]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], schema=schema)
+
+    different = docs.select(F.col(text_col).cast("string")).mapInArrow(names, "name string").distinct()
+    counted = different.mapInArrow(parts, "name string").groupBy("name").count().where(F.col("count") >= least_names)
+    rows = counted.orderBy(F.desc("count"), "name").limit(most_chars // 4).collect()  # a part has three characters or more
+    kept, held = [], 0
+    for r in rows:
+        held += len(r.name) + 1
+        if held > most_chars:
+            break
+        kept.append(r.name)
+    return " ".join(reversed(kept))
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -152,12 +216,13 @@ def scan(docs: DataFrame, threshold: float = NOVEL) -> DataFrame:
     empty table gives no rows; columns other than doc_id and text are not read. Spans of different kinds
     may overlap; ties of start go by kind.
     """
+    dictionary = identifier_dictionary(docs)
 
     def run(batches):
         def one():
             for batch in sliced(batches):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    base, spans = find_spans(text, threshold)
+                    base, spans = find_spans(text, threshold, dictionary)
                     n = [0, 0, 0]
                     for _, k, _ in base:
                         n[k] += 1
@@ -168,12 +233,12 @@ def scan(docs: DataFrame, threshold: float = NOVEL) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact(text: str | None, mark: str = "[SECRET]", threshold: float = NOVEL) -> str | None:
+def redact(text: str | None, mark: str = "[SECRET]", threshold: float = NOVEL, dictionary: str = "") -> str | None:
     """The text with each run of spans that touch or overlap replaced by ``mark``; null stays null."""
     if not text:
         return text
     parts, at = [], 0
-    for a, _, b in find_spans(text, threshold)[1]:
+    for a, _, b in find_spans(text, threshold, dictionary)[1]:
         if a >= at or not parts:
             parts += [text[at:a], mark]
         at = max(at, b)
@@ -181,13 +246,17 @@ def redact(text: str | None, mark: str = "[SECRET]", threshold: float = NOVEL) -
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", threshold: float = NOVEL) -> DataFrame:
-    """``docs`` with secrets in ``text_col`` replaced by ``mark``; every row and every other column stays."""
+    """``docs`` with secrets in ``text_col`` replaced by ``mark``; every row and every other column stays, whatever its name.
+
+    Null and empty texts stay as they are, as do rows with null identifiers; repeated rows are redacted alike; an empty table stays empty.
+    """
     names, at = docs.columns, docs.columns.index(text_col)
+    dictionary = identifier_dictionary(docs, text_col)
 
     def run(batches):
         for batch in sliced(batches):
             cols = list(batch.columns)
-            cols[at] = pa.array([redact(t, mark, threshold) for t in cols[at].to_pylist()], cols[at].type)
+            cols[at] = pa.array([redact(t, mark, threshold, dictionary) for t in cols[at].to_pylist()], cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.mapInArrow(run, docs.schema)
