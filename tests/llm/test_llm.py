@@ -250,6 +250,44 @@ def test_rule_order_follows_worth(docs):
     assert quality.order_rules(docs, rules)[0] == "all" and quality.order_rules(docs.limit(0), rules) == ["all", "none"]
 
 
+def brute_kept(t):
+    """Verdict of the base rules and of the method's, from the text."""
+    t = t or ""
+    n, chars, symbols, dup, _, base = brute_quality(t)
+    lines = sum(bool(words(x)) for x in t.split("\n"))
+    rejected = base or symbols * 10 > n or chars < 3 * n or chars > 10 * n or dup * 2 > lines or sum(c.isupper() for c in t) * 2 > chars
+    return not (rejected or t.count("!") * 2 > n or sum(any(c.isalpha() for c in w) for w in words(t)) * 10 < 6 * n)
+
+
+def test_quality_verdicts_are_brute_force(spark):
+    r = random.Random(31)
+    texts = [None, "", " \n ", "a" * 100_000, prose(9000, 3)]
+    for i in range(60):
+        n = r.randint(40, 160)
+        parts = prose(n, 700 + i).split(" ")
+        for _ in range(r.choice([0, 0, 0, n // 8, n])):
+            k = r.randrange(len(parts))
+            parts[k] = r.choice([parts[k] + "!", parts[k].upper(), "##", "12345", "a" * 40, "%" + parts[k], parts[k]])
+        for _ in range(r.choice([0, 0, 2, 30])):
+            k, m = r.randrange(len(parts)), r.randint(1, 12)
+            parts[k:k] = parts[max(0, k - m) : k]
+        texts.append(" ".join(parts) if i % 4 else "\n".join(parts))
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, words long").repartition(3)
+    want = {i: brute_kept(t) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.kept for r in quality.quality(df).collect()} == want and 8 < sum(want.values()) < 55
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {i for i, k in want.items() if k}
+    assert quality.keep_good(df.limit(0)).count() == 0 and quality.keep_good(df).columns == df.columns
+
+
+def test_rule_order_is_stable(docs):
+    rules = quality.RULES | quality.BASE
+    order = quality.order_rules(docs, rules)
+    assert order[0] == "few_words" and all(quality.order_rules(docs, rules) == order for _ in range(3))
+    # a rule that rejects what an earlier one has rejected goes last, however cheap it is
+    some = {"a": lambda: quality.F.col("n_words") < 60, "b": lambda: quality.F.col("n_words") < 50, "z": lambda: quality.F.col("n_symbols") > 100}
+    assert quality.order_rules(docs, some) == ["a", "z", "b"]
+
+
 def test_packing(docs, empty, spark):
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     want = Counter()

@@ -1,14 +1,17 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Measures are array and string functions over one row, so no word is ever shuffled. The rules run as one
-CASE in an order found on a bounded sample: each rule's time and share of rejections there give its
-rejections per second, the best goes first, and a row that one rule rejects costs no more.
+CASE in an order found on a bounded sample: what each rule would read of each sampled row, weighted with the time that its kind of
+reading takes, is its cost there, and the rule with most rejections per cost among the rows that are left goes first. Costs are
+counted, not timed, so the order does not depend on how busy the machine is. A row that one rule rejects costs no more.
 The order changes the cost, never the verdict.
+
+Where nothing but the verdict is asked for (:func:`keep_good`), the base rules are rules of the cascade like the others, and the
+dear one, words in repeated windows, is only counted for rows that a bound on it does not decide.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +23,10 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Rows on which costs and rejections are estimated; they decide the order of rules alone.
 SAMPLE_ROWS = 1000
 
+Rules = dict[str, Callable[[], Column]]
+
 #: A rule is true of what it rejects. Sizes are of whole texts that have passed the base rules.
-RULES: dict[str, Callable[[], Column]] = {
+RULES: Rules = {
     "symbols": lambda: F.col("n_symbols") * 10 > F.col("n_words"),
     "word_length": lambda: (F.col("word_chars") < 3 * F.col("n_words")) | (F.col("word_chars") > 10 * F.col("n_words")),
     "repeated_lines": lambda: F.col("n_dup_lines") * 2 > F.col("n_lines"),
@@ -29,6 +34,17 @@ RULES: dict[str, Callable[[], Column]] = {
     "exclamations": lambda: (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))) * 2 > F.col("n_words"),
     "no_letters": lambda: F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))) * 10 < 6 * F.col("n_words"),
 }
+BASE: Rules = {
+    "few_words": lambda: F.col("n_words") < 50,
+    "repeated_words": lambda: mostly_repeated(F.col("words"), F.size("words")),
+}
+#: Cost of a rule on a row, in nanoseconds about: one for a rule that compares measures which are there anyway.
+WORK: Rules = {
+    "shouting": lambda: F.length("text") * 6,
+    "exclamations": lambda: F.length("text"),
+    "no_letters": lambda: F.size("words") * 100,
+    "repeated_words": lambda: F.size("words") * 400,
+}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,16 +52,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def repeated_window_words(words: Column, n: Column, width: int = 3) -> Column:
-    """Words that lie in a window of ``width`` words which comes twice or more in the array.
+def _window_hashes(words: Column, n: Column, width: int) -> Column:
+    return let(words, lambda w: F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)])))
 
-    Hashes of the windows tell whether any can repeat; only then are the windows themselves sorted with
-    their places, so equal ones stand together, and the places covered are added up.
-    """
-    starts = F.sequence(F.lit(0), n - width)
-    hashes = let(words, lambda w: F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)])))
+
+def _in_repeated_windows(words: Column, n: Column, width: int) -> Column:
+    """The exact count: the windows are sorted with their places, so equal ones stand together, and the places covered are added up."""
     gram = lambda w, i: F.struct(F.concat_ws(" ", *[F.get(w, i + k) for k in range(width)]).alias("g"), i.alias("i"))
-    grams = let(words, lambda w: F.sort_array(F.transform(starts, lambda i: gram(w, i))))
+    grams = let(words, lambda w: F.sort_array(F.transform(F.sequence(F.lit(0), n - width), lambda i: gram(w, i))))
 
     def places(s: Column) -> Column:
         same = lambda x, k: F.coalesce(F.get(s, k).getField("g") == x.getField("g"), F.lit(False))
@@ -55,9 +69,23 @@ def repeated_window_words(words: Column, n: Column, width: int = 3) -> Column:
         step = lambda x, k: F.least(F.coalesce(F.get(p, k + 1) - x, F.lit(width)), F.lit(width))
         return F.aggregate(F.transform(p, step), F.lit(0), lambda a, x: a + x)
 
-    exact = let(let(grams, places), covered)
-    repeats = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
-    return F.when(n < width, F.lit(0)).when(repeats, exact).otherwise(F.lit(0)).cast("long")
+    return let(let(grams, places), covered)
+
+
+def repeated_window_words(words: Column, n: Column, width: int = 3) -> Column:
+    """Words that lie in a window of ``width`` words which comes twice or more in the array; hashes tell whether any can."""
+    repeats = let(_window_hashes(words, n, width), lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    return F.when(n < width, F.lit(0)).when(repeats, _in_repeated_windows(words, n, width)).otherwise(F.lit(0)).cast("long")
+
+
+def mostly_repeated(words: Column, n: Column, width: int = 3) -> Column:
+    """Whether more than half of the words lie in such windows.
+
+    If d windows come again, at most 2d windows have an equal, which cover ``2 * width * d`` words at most; only where that is more than half
+    are they counted.
+    """
+    again = let(_window_hashes(words, n, width), lambda h: F.size(h) - F.size(F.array_distinct(h)))
+    return F.when(n < width, F.lit(False)).when(again * 4 * width <= n, F.lit(False)).otherwise(_in_repeated_windows(words, n, width) * 100 > n * 50)
 
 
 def measure(docs: DataFrame, keep_row: bool = False) -> DataFrame:
@@ -81,56 +109,64 @@ def measure(docs: DataFrame, keep_row: bool = False) -> DataFrame:
     )
 
 
-def order_rules(docs: DataFrame, rules: dict[str, Callable[[], Column]], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of the rules, most rejections per second first, on the first ``sample_rows`` rows that a take() finds.
+def order_rules(docs: DataFrame, rules: Rules, sample_rows: int = SAMPLE_ROWS, past: Column | None = None) -> list[str]:
+    """Names of the rules, most rejections per cost first, on the first ``sample_rows`` rows that a take() finds.
 
-    take() reads one partition and goes on only if it must, so the sample costs the same at any size.
+    take() reads one partition and goes on only if it must, so the sample costs the same at any size; what comes to the driver is a
+    verdict and a cost for each rule and row. Each rule is judged by the rows that those before it leave; rows of which ``past`` is true count
+    for none. Ties go to the cheaper rule, then by name.
     """
-    spark = docs.sparkSession
-    rows = id_text(docs).take(sample_rows)
-    kept = judged(measure(spark.createDataFrame(rows, "doc_id long, text string"))).persist()
-    try:
-        sample = kept.where("not base_failed")
-        sample.count()
-        worth = {}
-        for name, rule in rules.items():
-            began = time.perf_counter()
-            rejected = sample.agg(F.coalesce(F.avg(F.coalesce(rule(), F.lit(False)).cast("double")), F.lit(0.0))).first()[0]
-            worth[name] = rejected / max(1e-6, time.perf_counter() - began)
-        return sorted(rules, key=lambda x: (-worth[x], x))
-    finally:
-        kept.unpersist()
-
-
-def judged(measured: DataFrame) -> DataFrame:
-    """With the verdict of the base rules."""
-    return measured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-
-
-def judge(docs: DataFrame, rules: dict[str, Callable[[], Column]] | None = None, sample_rows: int = SAMPLE_ROWS, keep_row: bool = False) -> DataFrame:
-    """All measures, base_failed and kept of each row."""
-    rules = RULES if rules is None else rules
-    verdict = F.when(F.col("base_failed"), F.lit(False))
-    for name in order_rules(docs, rules, sample_rows) if rules else []:
+    names = sorted(rules)
+    verdicts = [F.coalesce(rules[x](), F.lit(False)).alias(f"r{i}") for i, x in enumerate(names)]
+    costs = [(WORK[x]() if x in WORK else F.lit(1)).cast("double").alias(f"c{i}") for i, x in enumerate(names)]
+    rows = measure(id_text(docs)).select((F.lit(False) if past is None else past).alias("past"), *verdicts, *costs).take(sample_rows)
+    left, order, waiting = [r for r in rows if not r.past], [], list(range(len(names)))
+    while waiting:
+
+        def worth(i: int) -> tuple[float, float, str]:
+            cost = sum(r[f"c{i}"] for r in left)
+            return -sum(r[f"r{i}"] for r in left) / max(cost, 1.0), cost, names[i]
+
+        best = min(waiting, key=worth)
+        waiting.remove(best)
+        order.append(names[best])
+        left = [r for r in left if not r[f"r{best}"]]
+    return order
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def cascade(rules: Rules, order: list[str]) -> Column:
+    """False as soon as one rule rejects."""
+    verdict = F.when(F.lit(False), F.lit(False))
+    for name in order:
         verdict = verdict.when(F.coalesce(rules[name](), F.lit(False)), F.lit(False))
-    return judged(measure(docs, keep_row)).withColumn("kept", verdict.otherwise(F.lit(True)))
+    return verdict.otherwise(F.lit(True))
 
 
-def quality(docs: DataFrame, rules: dict[str, Callable[[], Column]] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality(docs: DataFrame, rules: Rules | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept: one row for each input row.
 
     A null or empty text has no words and fails the base rules (fewer than 50 words, or more than half
     of them in repeated windows). Null identifiers and repeated rows are kept as they are; an empty table
     gives no rows; columns other than doc_id and text are not read.
     """
-    return judge(docs, rules, sample_rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rules = RULES if rules is None else rules
+    order = order_rules(docs, rules, sample_rows, base_failed()) if rules else []
+    measured = measure(docs).withColumn("base_failed", base_failed())
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(rules, order))
+    return measured.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, rules: dict[str, Callable[[], Column]] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality` keeps, all columns as they were.
+def keep_good(docs: DataFrame, rules: Rules | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality` keeps, all columns as they were, whatever their names.
 
+    Rows with null or empty texts go; null identifiers and repeated rows are judged by their text like any other; an empty table stays empty.
     The verdict becomes rows by a generator, not by a filter, which would be moved below the measures and
     compute each of them once for every use.
     """
-    rows = judge(docs, rules, sample_rows, keep_row=True)
-    return rows.select("row", F.explode(F.when(F.col("kept"), F.array(F.lit(1))))).select("row.*")
+    rules = (RULES if rules is None else rules) | BASE
+    kept = cascade(rules, order_rules(docs, rules, sample_rows))
+    return measure(docs, keep_row=True).select("row", F.explode(F.when(kept, F.array(F.lit(1))))).select("row.*")
