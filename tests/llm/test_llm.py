@@ -110,6 +110,27 @@ def test_warc(spark):
     assert warc.archived_pages(df.limit(0)).count() == 0
 
 
+def test_warc_records_are_what_the_chunks_hold(spark, tmp_path):
+    big = ("x" * 999 + "\n") * 1500  # six chunks
+    df = spark.createDataFrame([(1, "u", big), (2, "u", "small"), (3, "u", big)], "page_id long, url string, html string")
+    table = warc.read_archives(spark, warc.write_archives(df, str(tmp_path)), with_data=True).cache()
+    assert table.where("page_id = 1").count() == 6 and table.agg({"size": "max"}).first()[0] == len(big)
+    got = {r.page_id: tuple(r)[1:] for r in warc.records(table).collect()}
+    digest = hashlib.sha256(big.encode()).hexdigest()
+    assert got[1] == (len(big), digest, "response", None) and got[3] == (len(big), digest, "revisit", 1)
+    bad = table.withColumn("data", packing.F.when(packing.F.col("chunk") == 2, packing.F.lit(b"y" * (1 << 18))).otherwise(packing.F.col("data")))
+    for broken in (bad, table.where("chunk <> 1")):
+        with pytest.raises(Exception, match="is not the one written|out of place"):
+            warc.records(broken).collect()
+
+
+def test_warc_hot_payload(spark):
+    """A third of the records share one payload."""
+    rows = [(i, "u", "copy " * 40 if i % 3 == 0 else f"page {i} " * 20) for i in range(3000)]
+    got = warc.archived_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).groupBy("record_type", "refers_to").count().collect()
+    assert as_counter(got) == Counter([("revisit", 0, 999), ("response", None, 2001)])
+
+
 def test_warc_payload_round_trip(tmp_path):
     payload = bytes(range(256)) * 4000
     w = warc.ArchiveWriter(str(tmp_path / "a.warc.gz"))

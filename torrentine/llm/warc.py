@@ -2,7 +2,8 @@
 
 A record is a run of rows (record, chunk number, bytes, digest so far). The writer turns a payload into
 such rows as slices of the Arrow buffer and streams them into archives, one gzip member a record; the
-reader turns archives into such rows again, with one chunk in memory however long the record is.
+reader turns archives into such rows again, with one chunk in memory however long the record is. Records are
+read off the chunk table: their size and digest are those of the bytes in its rows.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torrentine.llm.common import AtomicFile, in_slices, open_fs, scratch_path
+from torrentine.llm.common import AtomicFile, in_slices, keep_tidy, materialize, open_fs, scratch_path, to_batch
 
 CHUNK = 1 << 18
+#: Most bytes of chunks in a batch, about.
+BATCH_BYTES = 4 << 20
 #: Payloads below this are never revisits.
 LEAST_REVISIT = 100
 NAMES = uuid.UUID("6f1c7a52-6b0e-5d0c-9c0e-3f5f8f1a7e11")
@@ -75,6 +78,8 @@ class ArchiveWriter:
         self.file.write(gz.compress(head.encode() + http))
         for row in () if revisit else chunks(me, payload):
             self.file.write(gz.compress(row.data))
+            if row.last and row.digest != digest:
+                raise ValueError(f"the payload of {me} is not the one planned")
         self.file.write(gz.compress(b"\r\n\r\n") + gz.flush())
         self.n += 1
 
@@ -165,14 +170,17 @@ def read_archive(uri: str) -> Iterator[tuple[dict[str, str], Chunk]]:
 
 
 def plan(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, size, digest, refers_to: which record revisits which, before any is written."""
+    """page_id, url, payload, size, digest, refers_to: which record revisits which, before any is written.
+
+    The digests that come twice are a table of their own, without payloads. Spark broadcasts it where it is small, so payloads stay
+    where they were read; where it is not, both sides of the join are plain shuffles, of which adaptive execution splits a hot digest.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    known = rows.where(F.col("size") >= LEAST_REVISIT).select("page_id", "digest")
-    leads = known.groupBy("digest").agg(F.min("page_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1 and lead is not null")
-    revisits = known.join(leads.select("digest", "lead"), "digest").where("page_id is null or page_id > lead").distinct()
-    revisits = revisits.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("lead").alias("refers_to"))
-    return rows.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
+    known = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("lead"), F.count(F.lit(1)).alias("n"))
+    leads = materialize(known.where("n > 1 and lead is not null").select(F.col("digest").alias("d"), "lead"), "leads")
+    follows = (F.col("size") >= LEAST_REVISIT) & (F.col("page_id").isNull() | (F.col("page_id") > F.col("lead")))
+    return rows.join(leads, (F.col("digest") == F.col("d")) & follows, "left").withColumnRenamed("lead", "refers_to").drop("d")
 
 
 def write_archives(pages: DataFrame, path: str, archive_records: int = 100_000) -> list[str]:
@@ -199,6 +207,20 @@ def write_archives(pages: DataFrame, path: str, archive_records: int = 100_000)
     return sorted(r.path for r in plan(pages).mapInArrow(write, "path string, n long").collect())
 
 
+def by_bytes(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Chunk rows, whose last column is the data, to batches of about ``BATCH_BYTES``."""
+    keep_tidy()
+    buf, held = [], 0
+    for row in rows:
+        buf.append(row)
+        held += len(row[-1]) + 512
+        if held >= BATCH_BYTES:
+            yield to_batch(buf, schema)
+            buf, held = [], 0
+    if buf:
+        yield to_batch(buf, schema)
+
+
 def read_archives(spark: SparkSession, paths: list[str], with_data: bool = False) -> DataFrame:
     """The chunked record table of archives: record_id, page_id, url, record_type, refers_to, chunk, digest, size, last, and data on demand."""
     kinds = [("record_id", "string"), ("page_id", "long"), ("url", "string"), ("record_type", "string"), ("refers_to", "long"), ("chunk", "long"), ("digest", "string"), ("size", "long"), ("last", "boolean")]
@@ -215,12 +237,46 @@ def read_archives(spark: SparkSession, paths: list[str], with_data: bool = False
                         row = c.record_id, number(info.get("x-page-id")), info.get("warc-target-uri"), info["warc-type"], number(info.get("x-refers-to-page")), c.chunk, c.digest, c.size, c.last
                         yield (*row, c.data) if with_data else row
 
-        yield from in_slices(one(), schema, 16 if with_data else 4096)
+        yield from by_bytes(one(), schema) if with_data else in_slices(one(), schema)
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 10_000)))
     return listed.mapInArrow(read, ", ".join(f"`{n}` {t}" for n, t in kinds))
 
 
+RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+
+
+def records(chunk_table: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record of a chunk table with data, as :func:`read_archives` gives it.
+
+    Size and digest are those of the bytes in the record's rows, which follow each other in one partition; of a revisit, those that it
+    states. A row that is out of place, or whose digest so far is not that of the bytes so far, is an error.
+    """
+    names = ("record_id", "page_id", "record_type", "refers_to", "chunk", "digest", "size", "last")
+
+    def fold(batches):
+        def one():
+            me, sha, size, n = None, None, 0, 0
+            for batch in batches:
+                data = batch.column("data")
+                for i, (rid, page_id, kind, refers, chunk, digest, total, last) in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
+                    if chunk == 0:
+                        me, sha, size, n = rid, hashlib.sha256(), 0, 0
+                    if rid != me or chunk != n:
+                        raise ValueError(f"chunk {chunk} of {rid} is out of place")
+                    part = data[i].as_buffer()
+                    sha.update(part)
+                    size, n = size + part.size, n + 1
+                    if kind != "revisit" and (size != total or sha.hexdigest() != digest):
+                        raise ValueError(f"chunk {chunk} of {rid} is not the one written")
+                    if last:
+                        yield page_id, total, digest, kind, refers
+
+        yield from in_slices(one(), RECORDS)
+
+    return chunk_table.mapInArrow(fold, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
 def archived_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each row of ``pages``, from archives written and read back.
 
@@ -229,5 +285,4 @@ def archived_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     with a null page_id never lead a group. An empty table gives no rows; other columns are not read.
     """
     spark = pages.sparkSession
-    rows = read_archives(spark, write_archives(pages, path or scratch_path(spark, "warc"))).where("last")
-    return rows.select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    return records(read_archives(spark, write_archives(pages, path or scratch_path(spark, "warc")), with_data=True))
