@@ -553,6 +553,21 @@ def test_substring(docs, empty, width, group_bytes):
     assert substring.drop_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("first_bits", [1, 8])
+def test_substring_survives_collisions(docs, first_bits):
+    """A first hash of a few bits marks nearly every window; the second tells which are equal."""
+    got = substring.drop_repeats(docs, 5, group_bytes=2000, first_bits=first_bits).collect()
+    assert as_counter(got) == brute_repeats(corpus(), 5)
+
+
+def test_substring_hot_rows(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "same words again and again here" if i % 3 < 2 else prose(12, i)) for i in range(4500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    assert as_counter(substring.drop_repeats(df, 5, group_bytes=4000).collect()) == brute_repeats(rows, 5)
+    groups = substring._dealt(df, 40).groupBy("g").count()
+    assert groups.count() == 40 and groups.agg({"count": "max"}).first()[0] < 300
+
+
 def test_substring_intervals(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "x b c d y")], "doc_id long, text string")
     got = {r.doc_id: (r.kept_text, r.removed) for r in substring.drop_repeats(df, 2, with_text=True).collect()}
