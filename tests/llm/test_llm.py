@@ -72,15 +72,26 @@ def test_simhash(docs):
     assert as_counter(simhash.simhash_groups(docs).collect()) == want
 
 
-def test_simhash_links_find_all_within_three_bits(spark):
+@pytest.mark.parametrize(("bits", "blocks"), [(3, None), (3, 6), (3, 8), (3, 10), (2, None), (5, 8), (0, None)])
+def test_simhash_links_find_all(spark, bits, blocks):
     r = random.Random(3)
-    points = {r.getrandbits(64) for _ in range(40)}
+    points = {r.getrandbits(64) for _ in range(40)} | {0, (1 << 64) - 1}
     for p in list(points):
         for _ in range(6):
-            points.add(p ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))))
+            points.add(p ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 7))))
     signed = {p - (1 << 64) if p >> 63 else p for p in points}
-    got = {frozenset(x) for x in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()}
-    assert got == {frozenset((a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    got = {frozenset(x) for x in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), bits, blocks).collect()}
+    assert got == {frozenset((a, b)) for a in signed for b in signed if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= bits}
+
+
+def test_simhash_empty_and_long(spark, empty):
+    assert simhash.simhash_groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    long = prose(60_000, 77)
+    df = spark.createDataFrame([(2, long), (1, long.replace(" ", "\t")), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_groups(df).collect()}
+    fp = f"{brute_fingerprint(long):016x}"
+    assert got == {1: (fp, 1), 2: (fp, 1), 3: ("0" * 16, 3), 4: ("0" * 16, 3)}
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [1, 3]
 
 
 def test_components(spark):

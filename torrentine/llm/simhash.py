@@ -2,11 +2,11 @@
 
 A fingerprint of 64 bits is cut into 32 segments of two bits; the counts of set bits in them are a
 point of a 32-dimensional grid. A changed bit moves one coordinate by at most one, so the Manhattan
-distance of two points is never above the Hamming distance of their fingerprints. Two points within
-Manhattan distance 3 are within 1 on one half of the coordinates; so each point lives in one cell per
-half (its sixteen coordinates), asks that cell and the cells one step up in one coordinate, and the
-partner one step down asks likewise. Candidates pass the Manhattan bound over all coordinates, then the exact
-Hamming distance, inside the join; nothing but true links leaves it.
+distance of two points is never above the Hamming distance of their fingerprints. The coordinates are dealt into blocks; points within
+Manhattan distance k differ in at most k blocks, so they share a cell of the grid over all other blocks. Each point lives in one
+cell for each choice of those blocks. Candidates of a cell pass the Manhattan bound over all coordinates, then the exact
+Hamming distance, inside the join; nothing but true links leaves it. More points get more blocks, so cells get finer and
+candidates grow little faster than the points.
 
 Exact copies have one fingerprint and meet before the join, so a group of copies is one point however
 large it is, and the links of a point are bounded by the points within three bits of it.
@@ -14,6 +14,8 @@ large it is, and the links of a point are bounded by the points within three bit
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -65,32 +67,32 @@ def embedding(fp: Column) -> Column:
     return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def _cell(half: int, coords: Column) -> Column:
-    return coords.bitwiseOR(F.lit(half << 32))
+#: Blocks of the grid for up to so many points at three bits: about 16, 20 and 22 coordinates of a cell must be equal.
+BLOCKS = ((3e6, 6), (1e9, 8), (float("inf"), 10))
+
+
+def cell_masks(blocks: int, bits: int) -> list[int]:
+    """Masks of an embedding for each choice of ``blocks - bits`` blocks, as signed longs."""
+    edges = [32 * i // blocks for i in range(blocks + 1)]
+    parts = [sum(3 << 2 * j for j in range(a, b)) for a, b in zip(edges, edges[1:])]
+    whole = [sum(c) for c in combinations(parts, blocks - bits)]
+    return [m - (1 << 64) if m >> 63 else m for m in whole]
 
 
-def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
-    """(u, v): pairs of different fingerprints of column ``fp`` that differ in at most ``bits`` bits (3 or fewer)."""
-    if not 0 <= bits <= 3:
-        raise ValueError("the grid is laid out for up to 3 bits")
+def links(distinct: DataFrame, bits: int = 3, blocks: int | None = None) -> DataFrame:
+    """(u, v), u < v: pairs of different fingerprints of column ``fp`` that differ in at most ``bits`` bits; some come more than once.
+
+    ``blocks`` is by default taken from the number of points (see ``BLOCKS``); it changes the cost, never the pairs.
+    """
+    if blocks is None:
+        n = distinct.count()
+        blocks = next(b for most, b in BLOCKS if n <= most) - 3 + bits
     e = embedding(F.col("fp"))
-    halves = [F.shiftrightunsigned(e, 32 * h).bitwiseAND(F.lit(0xFFFFFFFF)) for h in (0, 1)]
-    homes = distinct.select("fp", F.explode(F.array(*[_cell(h, c) for h, c in enumerate(halves)])).alias("cell"))
-    asks = []
-    for h, c in enumerate(halves):
-        asks.append(F.struct(_cell(h, c).alias("cell"), F.lit(True).alias("home")))
-        for j in range(16):
-            field = F.shiftrightunsigned(c, 2 * j).bitwiseAND(F.lit(3))
-            up = c.bitwiseOR(F.when(field == 0, F.lit(1 << 2 * j)).otherwise(F.lit(2 << 2 * j)))
-            asks.append(F.when(field != 3, F.struct(_cell(h, up).alias("cell"), F.lit(False).alias("home"))))
-    asks = distinct.select("fp", F.explode(F.filter(F.array(*asks), lambda x: x.isNotNull())).alias("a")).select(F.col("fp").alias("u"), "a.cell", "a.home")
-    near = (
-        (F.bit_count(embedding(F.col("u")).bitwiseXOR(embedding(F.col("v")))) <= bits)
-        & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
-        & (~F.col("home") | (F.col("u") < F.col("v")))
-    )
-    homes = homes.select(F.col("fp").alias("v"), F.col("cell").alias("at"))
-    return asks.join(homes, (F.col("cell") == F.col("at")) & near).select("u", "v")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), e.bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(cell_masks(blocks, bits))])
+    points = distinct.select("fp", F.explode(cells).alias("at")).select("fp", "at.i", "at.cell")
+    left, right = points.select(F.col("fp").alias("u"), "i", "cell"), points.select(F.col("fp").alias("v"), "i", "cell")
+    near = (F.col("u") < F.col("v")) & (F.bit_count(embedding(F.col("u")).bitwiseXOR(embedding(F.col("v")))) <= bits) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
+    return left.join(right, ["i", "cell"]).where(near).select("u", "v")
 
 
 def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 3, seed: int = 42) -> DataFrame:
@@ -111,10 +113,10 @@ def simhash_groups(docs: DataFrame, width: int = 3, bits: int = 3, seed: int = 4
 
 
 def keep_one(docs: DataFrame, width: int = 3, bits: int = 3, seed: int = 42) -> DataFrame:
-    """The row of each near-duplicate group with the least doc_id; columns as they were.
+    """The row of each near-duplicate group with the least doc_id; columns as they were, whatever their names.
 
     Of repeated rows with that identifier the first by text stays. Rows with a null doc_id can't stand
-    for a group and pass unjudged.
+    for a group and pass unjudged. Null and empty texts are one group, whose fingerprint is zero; an empty table stays empty.
     """
     named = docs.where("doc_id is not null")
     groups = simhash_groups(named, width, bits, seed)
