@@ -22,7 +22,11 @@ BLOCK_BYTES = 8 << 20
 
 
 def write_flat(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> DataFrame:
-    """Encode whole texts into one flat file a task; returns (part, file, width, ordinal, doc_id) of each document."""
+    """Encode whole texts into one flat file a task; returns (part, file, width, ordinal, doc_id) of each document.
+
+    Null and empty texts are documents without ids before their end id; null identifiers and repeated rows are kept; tasks without rows
+    write no file; other columns are not read. Names of special tokens are plain text, so the end id stands for nothing else.
+    """
     schema = pa.schema([("part", pa.int64()), ("file", pa.string()), ("width", pa.int32()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
 
     def write(batches):
@@ -46,17 +50,37 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> DataF
     return id_text(docs).mapInArrow(write, "part long, file string, width int, ordinal long, doc_id long")
 
 
-def scan_flat(spark: SparkSession, files: list[tuple[int, str, int]], end_id: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(part, ordinal, start, n_tokens, ended) of each document in flat files, given as (part, file, id width).
+def _sized(files: DataFrame) -> DataFrame:
+    """Files with their sizes, asked for by the executors."""
+    schema = pa.schema([("part", pa.int64()), ("file", pa.string()), ("width", pa.int32()), ("size", pa.int64())])
+
+    def ask(batches):
+        def one():
+            for batch in batches:
+                for row in batch.to_pylist():
+                    fs, p = open_fs(row["file"])
+                    yield row["part"], row["file"], row["width"], fs.get_file_info(p).size
+
+        yield from in_slices(one(), schema)
+
+    return files.select("part", "file", "width").mapInArrow(ask, "part long, file string, width int, size long")
+
+
+def scan_flat(spark: SparkSession, files: DataFrame | list[tuple[int, str, int]], end_id: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(part, ordinal, start, n_tokens, ended) of each document in flat files, given as (part, file, id width), a table or a list.
 
     start counts ids before the document in its file; the end id is not counted in n_tokens. Ids after the last
-    separator are a document that has not ended.
+    separator are a document that has not ended. Empty files and an empty list give no rows. Blocks are listed in Spark, so
+    nothing but their number comes to the driver.
     """
-    blocks = []
-    for part, file, width in files:
-        fs, p = open_fs(file)
-        size = fs.get_file_info(p).size
-        blocks += [(part, file, width, i, at, min(block_bytes, size - at), at + block_bytes >= size) for i, at in enumerate(range(0, size, block_bytes))]
+    if not isinstance(files, DataFrame):
+        files = spark.createDataFrame(files, "part long, file string, width int")
+    sized = materialize(_sized(files), "sizes").where("size > 0")
+    n_blocks = sized.agg(F.sum(F.ceil(F.col("size") / block_bytes))).first()[0] or 0
+    at = F.col("block") * block_bytes
+    listed = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block_bytes))).alias("block"))
+    listed = listed.select("part", "file", "width", "block", at.alias("at"), F.least(F.lit(block_bytes).cast("long"), F.col("size") - at).alias("size"), (at + block_bytes >= F.col("size")).alias("final"))
+    listed = listed.repartition(max(1, min(n_blocks, 10_000)))
     schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("seps", pa.list_(pa.int64())), ("tail", pa.int64())])
 
     def scan(batches):
@@ -72,8 +96,6 @@ def scan_flat(spark: SparkSession, files: list[tuple[int, str, int]], end_id: in
 
         yield from in_slices(one(), schema, 1)
 
-    listed = spark.createDataFrame(blocks, "part long, file string, width int, block long, at long, size long, final boolean")
-    listed = listed.repartition(max(1, min(len(blocks), 10_000)))
     found = listed.mapInArrow(scan, "part long, block long, seps array<long>, tail long")
     before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = found.select(
@@ -98,7 +120,6 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int = 50256, path: str
     """
     spark = docs.sparkSession
     listing = materialize(write_flat(docs, tokenizer, end_id, path or scratch_path(spark, "flat")), "listing")
-    files = [(r.part, r.file, r.width) for r in listing.select("part", "file", "width").distinct().collect()]  # one a task
-    counted = scan_flat(spark, files, end_id, block_bytes)
+    counted = scan_flat(spark, listing.select("part", "file", "width").distinct(), end_id, block_bytes)
     # both sides grow with the corpus and compress far below what they hold, so neither is broadcast
     return listing.join(counted.hint("merge"), ["part", "ordinal"]).select("doc_id", "n_tokens")
