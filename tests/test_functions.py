@@ -95,6 +95,16 @@ def test_limit_parser_never_raises(t):
     ("cascada Bigăr - Valea Fetii", ("interval", "WATERFALL", "CONFLUENCE", "Valea Fetii")),
     ("drum forestier Valea Rea - granița cu Ucraina", ("interval", "ROAD", "BORDER", "Ucraina")),
     ("Judeţul Alba", ("whole_county", None, None, None)), ("toată lungimea", ("whole_course", None, None, None)),
+    ("Izvoare – vărsare lac Pădureni.", ("interval", "SOURCE", "LAKE_UPSTREAM", "Pădureni")),
+    ("Izvoare – vărsare în lacul Colibița", ("interval", "SOURCE", "LAKE_UPSTREAM", "Colibița")),
+    ("Izvoare – conf.cu Râul Olt", ("interval", "SOURCE", "CONFLUENCE", "Olt")), ("Izvoare – conf. cu valea Braia", ("interval", "SOURCE", "CONFLUENCE", "valea Braia")),
+    ("De la Barajul Vidraru până la ieșire din județ", ("interval", "DAM", "COUNTY_LIMIT", None)), ("Cetatea – Gherla", ("interval", "LOCALITY", "LOCALITY", "Gherla")),
+    ("De la valea Braia – până la conf. cu Jiul de est", ("interval", "CONFLUENCE", "CONFLUENCE", "Jiul de est")), ("Lac Hațeg – Lac Subcetate", ("interval", "LAKE_DOWNSTREAM", "LAKE_UPSTREAM", "Subcetate")),
+    ("limita cu jud. Covasna-până la conf. cu pârâul Sibiciu", ("interval", "COUNTY_LIMIT", "CONFLUENCE", "Sibiciu")),
+    ("Localitatea Ionești- Frontieră cu Ungaria cu afluenții", ("interval", "LOCALITY", "BORDER", "Ungaria")), ("aval lac Bicaz - amonte lac Izvorul", ("interval", "LAKE_DOWNSTREAM", "LAKE_UPSTREAM", "Izvorul")),
+    ("Limita județ Ilfov, zona satului Zurbaua – limită județ Ilfov, zona satului Cernica", ("interval", "COUNTY_LIMIT", "COUNTY_LIMIT", "Ilfov")),
+    ("între Bran și Zărnești", ("unparsed", None, None, None)), ("intrare în jud. Alba - ieșire din jud. Alba", ("whole_county", None, None, None)), ("Județ Brașov", ("whole_county", None, None, None)),
+    ("pe raza județului Bistrița-Năsăud", ("whole_county", None, None, None)), ("Artificial, județ Sibiu", ("unparsed", None, None, None)), ("Bacău", ("unparsed", None, None, None)),
     ("Sebeș, Alba, Petrești", ("locality_list", None, None, None)), ("-", ("empty", None, None, None)), ("xx 12 yy", ("unparsed", None, None, None)),
 ])
 def test_limits(t, want):
