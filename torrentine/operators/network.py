@@ -86,7 +86,7 @@ def build_courses(edges: DataFrame, group: str, bridge_m: float = 250.0, across_
             line, spans = chains.assemble([lines[i] for i in ids], [k for _, _, k in chain])
             keys = [k for i in ids for k in paths[i]["keys"]]
             nodes = [n for i in ids for n in paths[i]["nodes"]]
-            out.append((pdf[group].iloc[0], f"{pdf[group].iloc[0]}:{nodes[0]}", float(chains.measures(line)[-1]), nodes, keys, from_part(line), spans, sorted({q for i in ids for q in paths[i]["notes"]})))
+            out.append((pdf[group].iloc[0], f"{pdf[group].iloc[0]}:{nodes[0]}", float(chains.geodesic_measures(line)[-1]), nodes, keys, from_part(line), spans, sorted({q for i in ids for q in paths[i]["notes"]})))
         return pd.DataFrame(out, columns=["group_key", "course_id", "length_m", "nodes", "keys", "part", "synthetic", "qa"])
 
     return edges.select(group, "u", "v", "key", "part", "length_m").groupBy(group).applyInPandas(build, COURSE.format(kind=kind))
