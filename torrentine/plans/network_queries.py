@@ -171,17 +171,30 @@ def name_similarity(spark, sf_dir):
     return w.withColumn("other", other).where("other is not null").select("slug", F.round(text.char_similarity("name", "other"), 6).alias("ratio"), text.token_overlap(F.lower("name"), F.lower("other")).alias("overlap"), text.first_token_ok(F.lower("name"), F.lower("other")).alias("first_ok"))
 
 
-@query()
+#: A key's events one after the other: live holds the times of those that passed and are still in the window.
+LIMITER = """{name}(k, rn, id, live, passed, wait) AS (SELECT k, rn, id, [t], true, 0 FROM {events} WHERE rn = 1 UNION ALL
+ SELECT k, rn, id, CASE WHEN len(kept) < {most} THEN list_append(kept, t) ELSE kept END, len(kept) < {most}, CASE WHEN len(kept) < {most} THEN 0 ELSE greatest(1, CAST(ceil(kept[1] + {window} - t) AS INTEGER)) END
+ FROM (SELECT e.k, e.rn, e.id, e.t, list_filter(r.live, lambda x: x > e.t - {window}) AS kept FROM {name} r JOIN {events} e ON e.k = r.k AND e.rn = r.rn + 1))"""
+EVENTS = "e AS (SELECT user_id AS k, event_id AS id, event_type, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
+
+
+@query(f"WITH RECURSIVE {EVENTS}, {LIMITER.format(name='r', events='e', most=3, window=86400.0)} SELECT k AS user_id, id AS event_id, passed AS allowed, wait AS retry_after FROM r")
 def rate_limit(spark, sf_dir):
     return stateful.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 86400.0, 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS}, r(k, rn, id, done, outcome) AS (SELECT k, rn, id, CASE WHEN event_type <> 'error' THEN t END, CASE WHEN event_type <> 'error' THEN 'run' ELSE 'failed' END FROM e WHERE rn = 1 UNION ALL
+ SELECT k, rn, id, CASE WHEN live THEN done WHEN event_type <> 'error' THEN t END, CASE WHEN live THEN 'cached' WHEN event_type <> 'error' THEN 'run' ELSE 'failed' END
+ FROM (SELECT e.*, r.done, r.done IS NOT NULL AND e.t - r.done < 43200.0 AS live FROM r JOIN e ON e.k = r.k AND e.rn = r.rn + 1)) SELECT k AS user_id, id AS event_id, outcome FROM r""")
 def ttl_dedupe(spark, sf_dir):
     return stateful.ttl_deduped(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("event_type") != "error", 43200.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE v AS (SELECT event_id AS id, user_id, epoch_us(ts) / 1e6 AS t, concat_ws('|', user_id, props) AS digest, CASE WHEN length(trim(concat('report on ', event_type, ' ', props))) NOT BETWEEN 10 AND 2000 THEN 'invalid' WHEN event_id % 17 = 0 THEN 'bot' END AS state FROM events),
+ d AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY t, id) AS rn FROM v WHERE state IS NULL),
+ s(digest, rn, id, done, run) AS (SELECT digest, rn, id, t, true FROM d WHERE rn = 1 UNION ALL SELECT d.digest, d.rn, d.id, CASE WHEN d.t - s.done < 60.0 THEN s.done ELSE d.t END, NOT d.t - s.done < 60.0 FROM s JOIN d ON d.digest = s.digest AND d.rn = s.rn + 1),
+ f AS (SELECT user_id AS k, id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, id) AS rn FROM v WHERE id IN (SELECT id FROM s WHERE run)), {LIMITER.format(name='r', events='f', most=5, window=600.0)}
+ SELECT v.id AS event_id, coalesce(state, CASE WHEN passed THEN 'accepted' WHEN NOT passed THEN 'limited' END, 'duplicate') AS outcome FROM v LEFT JOIN r ON v.id = r.id""")
 def report_outcomes(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.concat(F.lit("report on "), F.col("event_type"), F.lit(" "), F.col("props")).alias("message"), F.when(F.col("event_id") % 17 == 0, "http://x").alias("website"), F.concat_ws("|", "user_id", "props").alias("digest"))
     return stateful.report_pipeline(e, "user_id", "ts", "event_id")
@@ -236,12 +249,18 @@ def region_classes(spark, sf_dir):
     return region_class(w).select("slug", "region_class")
 
 
-@query()
+HEXAGON = ((1.0, 0.0), (0.5, 0.8), (-0.5, 0.8), (-1.0, 0.0), (-0.5, -0.8), (0.5, -0.8))
+CORNERS = ", ".join(f"({i}, CAST({x} AS DOUBLE), CAST({y} AS DOUBLE), CAST({HEXAGON[(i + 1) % 6][0]} AS DOUBLE), CAST({HEXAGON[(i + 1) % 6][1]} AS DOUBLE))" for i, (x, y) in enumerate(HEXAGON))
+
+
+@query(WITH + f""", n AS (SELECT n_name, CAST(20.5 AS DOUBLE) + n_nationkey % 5 * CAST(2 AS DOUBLE) AS cx, CAST(44 AS DOUBLE) + (n_nationkey // 5) * CAST(0.9 AS DOUBLE) AS cy FROM nation),
+ seg AS (SELECT n_name, cx + r * x1 AS x1, cy + r * y1 AS y1, cx + r * x2 AS x2, cy + r * y2 AS y2 FROM n, (VALUES (CAST(1.0 AS DOUBLE)), (CAST(0.2 AS DOUBLE))) rings(r), (VALUES {CORNERS}) c(i, x1, y1, x2, y2)),
+ hit AS (SELECT slug, n_name, count(*) AS n FROM waters JOIN seg ON (y1 > lat) <> (y2 > lat) AND lon < (x1 - x2) * (lat - y2) / (y1 - y2) + x2 GROUP BY slug, n_name) SELECT slug, min(n_name) AS area FROM hit WHERE n % 2 = 1 GROUP BY slug""")
 def polygon_join(spark, sf_dir):
     """Waters in hexagonal counties with a hole, by exact rings."""
     from torrentine.operators.repairs import polygon_join
 
-    ring = lambda r: F.array(*[F.struct((F.col("cx") + r * x).alias("lon"), (F.col("cy") + r * y).alias("lat")) for x, y in ((1.0, 0.0), (0.5, 0.8), (-0.5, 0.8), (-1.0, 0.0), (-0.5, -0.8), (0.5, -0.8))])
+    ring = lambda r: F.array(*[F.struct((F.col("cx") + r * x).alias("lon"), (F.col("cy") + r * y).alias("lat")) for x, y in HEXAGON])
     n = table(spark, sf_dir, "nation").select("n_name", (20.5 + F.col("n_nationkey") % 5 * 2.0).alias("cx"), (44.0 + F.floor(F.col("n_nationkey") / 5) * 0.9).alias("cy"))
     areas = n.select(F.col("n_name").alias("area"), F.array(ring(1.0), ring(0.2)).alias("rings"), (F.col("cx") - 1).alias("min_lon"), (F.col("cx") + 1).alias("max_lon"), (F.col("cy") - 0.8).alias("min_lat"), (F.col("cy") + 0.8).alias("max_lat"))
     return polygon_join(waters(spark, sf_dir), areas, "slug", "area")
