@@ -669,6 +669,22 @@ def test_decontamination_is_brute_force(spark):
     assert got == want and len(want) > 80
 
 
+@pytest.mark.parametrize("name", ["op3_warc_chunks", "op5_quality_rules", "op10_substring_dedup", "secret_counts"])
+def test_oracle_sql(spark, name):
+    import duckdb
+
+    from torrentine.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = queries.queries()[name](spark, sf)
+    assert sorted(got.columns) == sorted(names) and as_counter(got.select(*names).collect()) == Counter(want.fetchall())
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

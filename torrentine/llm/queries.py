@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from torrentine.llm.common import table
+from torrentine.llm.oracles import SQL
 from torrentine.llm.tokens import vocabulary
 
 
@@ -50,6 +51,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op7's base patterns, which SQL can express."""
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from torrentine.llm.warc import archived_pages
 
@@ -80,9 +86,10 @@ def queries() -> dict:
         op8_token_counts,
         op9_token_id_sstable,
         op10_substring_dedup,
+        secret_counts,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
