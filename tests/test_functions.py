@@ -145,6 +145,7 @@ def test_text_helpers(spark):
     assert one(spark, text.phone_plausible(lit("0722 123 456")), text.phone_plausible(lit("12"))) == (True, False)
     assert [g["gram"] for g in one(spark, text.ngrams(lit("a b c"), 2))[0]] == ["a b", "b c", "a", "b", "c"]
     assert one(spark, text.road_ref_match(lit("DN 1"), lit("DN1A")), text.road_ref_match(lit("DN 1"), lit("DN12"))) == (True, False)
+    assert one(spark, text.road_ref_match(lit("DN1A"), lit("dn-1")), text.road_ref_match(lit(""), lit("A")), text.road_ref_match(lit(None).cast("string"), lit("A"))) == (True, False, False)
     assert one(spark, text.split_note(lit("Olt (aval)")))[0] == ("Olt", "aval") and one(spark, text.first_measure(lit("a 1.234,5 km b 3 km"), "km"))[0] == 3.0
     assert one(spark, text.token_core_match(lit("olt superior"), lit("olt")), text.token_core_match(lit("a b c"), lit("a b d"))) == (True, True)
     assert one(spark, text.contains_folded(lit("Păstrăv"), "pastr"))[0] and one(spark, text.name_flags(lit("Ştiuca Дунай")))[0] == ["legacy_orthography", "non_latin"]

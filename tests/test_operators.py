@@ -266,3 +266,23 @@ def test_partitions_do_not_matter(spark):
     rows = spark.range(500).select((F.col("id") % 9).alias("g"), F.col("id").alias("ord"), (F.col("id") * 37 % 100 / 100.0).alias("course_frac"), F.lit("n").alias("name"))
     a, b = (sorted(map(tuple, windows.voronoi(rows.repartition(n), "g", "ord").select("ord", "v_from", "v_to").collect())) for n in (1, 7))
     assert a == b
+
+
+def test_places_named(spark):
+    from torrentine.operators import sectors
+
+    wanted = [(1, "zarnesti"), (2, "zarnestii"), (3, "bran"), (4, "brann"), (5, ""), (6, None), (7, "rasnov"), (8, "xarnesti")]
+    places = [(10, "zarnesti"), (11, "bran"), (12, "rasnoava"), (13, "zarnestul"), (14, None), (15, "")]
+    w, p = spark.createDataFrame(wanted, "w long, core string"), spark.createDataFrame(places, "p long, core string")
+    got = {(r.w, r.p) for r in sectors.places_named(w, p, "w", "p", 0.85).collect()}
+    assert got == {(1, 10), (2, 10), (3, 11), (4, 11), (7, 12)}
+    assert sectors.places_named(w, p.limit(0), "w", "p").count() == 0
+
+
+def test_file_hashes(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.bin").write_bytes(b"abc" * 1000)
+    (tmp_path / "b.bin").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in readers.file_hashes(spark, str(tmp_path)).collect()}
+    assert got == {"a.bin": (3000, hashlib.sha256(b"abc" * 1000).hexdigest()), "b.bin": (0, hashlib.sha256(b"").hexdigest())}

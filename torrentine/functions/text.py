@@ -200,9 +200,10 @@ def token_core_match(a: Column, b: Column) -> Column:
 
 
 def road_ref_match(want: Column, have: Column) -> Column:
-    """Equal but for blanks and case, or longer by one letter at the end."""
-    x, y = (F.upper(F.regexp_replace(c, r"\s+", "")) for c in (want, have))
-    return (x == y) | (y.startswith(x) & (F.length(y) == F.length(x) + 1) & y.rlike("[A-Z]$"))
+    """Equal but for blanks, hyphens and case, or one of them longer by one letter at the end; an empty reference matches nothing."""
+    x, y = (F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s-]+", "")) for c in (want, have))
+    longer = lambda a, b: a.startswith(b) & (F.length(a) == F.length(b) + 1) & a.rlike("[A-Z]$")
+    return (x != "") & (y != "") & ((x == y) | longer(x, y) | longer(y, x))
 
 
 def number(c: Column) -> Column:

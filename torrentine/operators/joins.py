@@ -139,6 +139,14 @@ def county_penalty(distance_deg: Column) -> Column:
     return F.when(distance_deg <= 1, -0.02 * (1 - distance_deg)).when(distance_deg <= 2, F.lit(0.15)).otherwise(F.lit(0.3))
 
 
+def pick_cluster(targets: DataFrame, clusters: DataFrame, target_id: str, cluster_id: str, key: str, distance_deg: Column) -> DataFrame:
+    """(target_id, cluster_id, score): of the clusters of a target's name the one nearest to its county, by one less the penalty; of equals the least."""
+    score = F.round(1 - county_penalty(distance_deg), 9)
+    near = targets.join(clusters, key).select(target_id, cluster_id, score.alias("score"))
+    best = near.groupBy(target_id).agg(F.min(F.struct((-F.col("score")).alias("neg"), cluster_id)).alias("b"))
+    return best.select(target_id, F.col(f"b.{cluster_id}").alias(cluster_id), (-F.col("b.neg")).alias("score"))
+
+
 def interval_overlaps(rows: DataFrame, key: str, item: str, start: str, end: str, least: float) -> DataFrame:
     """(key, a, b, overlap, share): pairs of one key that overlap by more than ``least``; share of the shorter. a < b."""
     a = rows.select(key, F.col(item).alias("a"), F.col(start).alias("a0"), F.col(end).alias("a1"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from torrentine.functions import geo, identity, text
@@ -183,3 +184,87 @@ def nearest_place(spark, sf_dir):
 
     s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "20.26D + CAST(s_suppkey * 6151 % 9430 AS DOUBLE) / 1000 AS lon", "43.62D + CAST(s_suppkey * 32749 % 4650 AS DOUBLE) / 1000 AS lat")
     return nearest_within(s, waters(spark, sf_dir), "s_suppkey", "slug", 10.0, 0.2)
+
+
+@query(WITH + "SELECT slug, CASE WHEN ord % 3 = 0 THEN 'apa' ELSE river_group END AS grp, true AS same FROM waters")
+def group_keys(spark, sf_dir):
+    n, g = F.col("name"), F.when(F.col("ord") % 3 != 0, F.col("river_group")).otherwise("")
+    return waters(spark, sf_dir).select("slug", text.group_key(g, n).alias("grp"), text.same_river(n, F.lit("Râul Apa (x)")).alias("same"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'ajvps' WHEN 1 THEN 'romsilva' WHEN 2 THEN 'association' WHEN 3 THEN 'company' ELSE 'other' END AS kind FROM customer")
+def association_types(spark, sf_dir):
+    name = F.expr("concat(CASE c_custkey % 5 WHEN 0 THEN 'AJVPS ' WHEN 1 THEN 'Direcția Silvică ' WHEN 2 THEN 'Asociația ' WHEN 3 THEN 'Pescar SRL ' ELSE 'Primăria ' END, c_name)")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.association_type(name).alias("kind"))
+
+
+@query("SELECT p_partkey, concat('A b-', p_name, ' (x), /y') AS clean, concat('````', chr(10), 'a```b', chr(10), '````') AS fenced, concat('\\*', replace(p_brand, '#', '\\#'), '\\#') AS inline FROM part")
+def sanitized_texts(spark, sf_dir):
+    dirty = F.concat(F.lit("A\u0007  b-<"), F.col("p_name"), F.lit("> \n(x),\t/y;"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.sanitize_name(dirty).alias("clean"), text.fence(F.lit("a```b")).alias("fenced"), text.escape_inline(F.concat(F.lit("*"), F.col("p_brand"), F.lit("#"))).alias("inline"))
+
+
+@query(WITH + "SELECT slug, CASE ord % 4 WHEN 0 THEN 'source' WHEN 1 THEN concat('limit of county ', judet) WHEN 2 THEN concat('lake upstream ', name) ELSE 'bridge ?' END AS label FROM waters")
+def evidence_labels(spark, sf_dir):
+    k = F.col("ord") % 4
+    kind = F.when(k == 0, "SOURCE").when(k == 1, "COUNTY_LIMIT").when(k == 2, "LAKE_UPSTREAM").otherwise("BRIDGE")
+    return waters(spark, sf_dir).select("slug", text.evidence_label(kind, F.when(k == 2, F.col("name")), F.col("judet")).alias("label"))
+
+
+@query("SELECT event_id, sha256(concat('[\"', CAST(user_id AS VARCHAR), '\",\"', event_type, '\",\"\"]')) AS digest FROM events")
+def report_digests(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", identity.report_digest(F.col("user_id"), F.col("event_type"), F.lit(None)).alias("digest"))
+
+
+@query(WITH + """, b AS (SELECT slug, judet, min_lon, max_lon, min_lat, max_lat, lead(min_lon) OVER w AS n0, lead(max_lon) OVER w AS n1, lead(min_lat) OVER w AS n2, lead(max_lat) OVER w AS n3 FROM waters WHERE min_lon IS NOT NULL WINDOW w AS (PARTITION BY river_group ORDER BY ord))
+ SELECT slug, abs((min_lon + max_lon) / 2 - (n0 + n1) / 2) <= 0.5 AND abs((min_lat + max_lat) / 2 - (n2 + n3) / 2) <= 0.5 AS agree FROM b WHERE n0 IS NOT NULL""")
+def extent_agreement(spark, sf_dir):
+    w = Window.partitionBy("river_group").orderBy("ord")
+    corners = ("min_lon", "max_lon", "min_lat", "max_lat")
+    rows = waters(spark, sf_dir).where("min_lon is not null").withColumns({f"n_{c}": F.lead(c).over(w) for c in corners}).where("n_min_lon is not null")
+    return rows.select("slug", geo.extents_agree({c: F.col(c) for c in corners}, {c: F.col(f"n_{c}") for c in corners}, 0.5).alias("agree"))
+
+
+@query(WITH + "SELECT slug, ord % 2 = 0 AND ord % 3 <> 0 AS precut FROM waters")
+def precut_sectors(spark, sf_dir):
+    one = F.struct(F.col("lon"), F.col("lat"))
+    parts = F.when(F.col("ord") % 3 == 0, F.array(F.array(one))).otherwise(F.array(F.array(one), F.array(one, one)))
+    return waters(spark, sf_dir).select("slug", filters.precut(F.when(F.col("ord") % 2 == 0, "sector").otherwise("course"), parts).alias("precut"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def covered_orders(spark, sf_dir):
+    """Semi join: orders with a returned item."""
+    items = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
+    return table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query(WITH + "SELECT slug, list_sort(list_intersect(list_distinct([river_group, judet, kind]), ['g-3', 'g-7', 'NATION_4', 'lake', 'pond'])) AS shared FROM waters WHERE len(list_intersect([river_group, judet, kind], ['g-3', 'g-7', 'NATION_4', 'lake', 'pond'])) > 0")
+def shared_keys(spark, sf_dir):
+    wanted = F.array(*map(F.lit, ("g-3", "g-7", "NATION_4", "lake", "pond")))
+    keys = F.array("river_group", "judet", "kind")
+    return waters(spark, sf_dir).where(F.arrays_overlap(keys, wanted)).select("slug", F.array_sort(F.array_intersect(keys, wanted)).alias("shared"))
+
+
+@query(WITH + "SELECT river_group, slug FROM (SELECT river_group, slug, row_number() OVER (PARTITION BY river_group ORDER BY kind = 'lake' DESC, sqrt(pow(lon - 25.0, 2) + pow(lat - 45.5, 2)), slug) AS rn FROM waters) WHERE rn = 1")
+def best_per_group(spark, sf_dir):
+    """The member of each group that is exact (a lake) and nearest to a centre."""
+    d = F.sqrt(F.pow(F.col("lon") - 25.0, 2) + F.pow(F.col("lat") - 45.5, 2))
+    return joins.best_by(waters(spark, sf_dir), "river_group", "slug", (F.col("kind") == "lake").desc(), d.asc(), F.col("slug").asc())
+
+
+@query(WITH + """, c AS (SELECT river_group, slug AS cluster, lon AS c_lon, lat AS c_lat FROM waters WHERE kind = 'river'), p AS (SELECT w.slug, cluster, sqrt(pow(w.lon - c_lon, 2) + pow(w.lat - c_lat, 2)) AS d FROM waters w JOIN c ON w.river_group = c.river_group WHERE w.kind <> 'river'),
+ s AS (SELECT slug, cluster, round(1 - CASE WHEN d <= 1 THEN -0.02 * (1 - d) WHEN d <= 2 THEN 0.15 ELSE 0.3 END, 9) AS score FROM p) SELECT slug, cluster, score FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY score DESC, cluster) AS rn FROM s) WHERE rn = 1""")
+def nearest_cluster(spark, sf_dir):
+    w = waters(spark, sf_dir)
+    clusters = w.where("kind = 'river'").select("river_group", F.col("slug").alias("cluster"), F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"))
+    d = F.sqrt(F.pow(F.col("lon") - F.col("c_lon"), 2) + F.pow(F.col("lat") - F.col("c_lat"), 2))
+    return joins.pick_cluster(w.where("kind <> 'river'"), clusters, "slug", "cluster", "river_group", d)
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS sector_id, 'to' AS role, min(CAST(o_custkey % 50 * 20 AS DOUBLE)) AS m, 0.75 AS confidence, 'cadastre_outlet' AS method, CAST(o_custkey AS VARCHAR) AS anchor
+ FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 7 * 100 <= 300 AND l_linenumber % 3 = o_custkey % 3 GROUP BY l_orderkey, l_linenumber, o_custkey""")
+def cadastre_confluences(spark, sf_dir):
+    e = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS sector_id", "'to' AS role", "'CONFLUENCE' AS kind", "l_orderkey AS course_id", "array(concat('k', CAST(l_linenumber % 3 AS STRING)), 'none') AS keys")
+    outlets = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS course_id", "concat('k', CAST(o_custkey % 3 AS STRING)) AS key", "CAST(o_custkey AS STRING) AS code", "CAST(o_custkey % 50 * 20 AS DOUBLE) AS m", "CAST(o_custkey % 7 * 100 AS DOUBLE) AS dist_m")
+    return sectors.cadastre_outlets(e, outlets)

@@ -139,7 +139,7 @@ def fixed_width(spark: SparkSession, path: str, columns: dict[str, tuple[int, in
     Lines are numbered within a file as it is read whole by one task, since a place in a layout text only means something in order.
     """
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    cut = {n: F.trim(F.substring("value", a + 1, w if w else 1_000_000)) for n, (a, w) in columns.items()}
+    cut = {n: F.trim(F.expr(f"substring(value, {a + 1}{f', {w}' if w else ''})")) for n, (a, w) in columns.items()}
     return rows.select("file", "line", *[c.alias(n) for n, c in cut.items()])
 
 
@@ -192,6 +192,12 @@ def shapefile(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, number long, parts array<array<struct<lon:double,lat:double>>>")
 
 
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of each file, for manifests and their comparison."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def pages_by_skip(fetch: Callable[[int], tuple[list[dict], int | None]], key: str = "id", most: int = 100_000) -> list[dict]:
     """All records of a paged service: the next page starts after as many as came, repeats once; ends on an empty page, the total or a run-away."""
     seen: dict = {}
