@@ -193,7 +193,7 @@ def shapefile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of each file, for manifests and their comparison."""
+    """(path, length, sha256) of each file that is not empty, for manifests and their comparison; Spark passes over empty files."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
