@@ -716,3 +716,41 @@ def test_pipeline(spark, tmp_path):
     clean = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/3").collect()}
     assert all("hunter2" not in t for t in clean.values()) and all(clean[i] == texts[i] for i in clean if i != 15)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == sizes[4]
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Null identifiers, nulls in any column, repeated rows and columns with names that operators use; and an empty table."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, piece long, row string, g long, id long, spans string, `at` string"
+    a, b, key = prose(90, 401), prose(90, 402), " bearer q8Xk29LmZp47RtYw01Vb "
+    rows = [(None, a, None, None, None), (1, a, "en", None, None), (1, a, "en", None, None), (2, None, "en", "s", 0), (3, b + key, None, "s", None), (4, prose(30_000, 403), "en", "s", 1), (5, "", None, None, None)]
+    for n, name in ((len(rows), "some"), (0, "none")):
+        df = spark.createDataFrame([(*r, 7, "x", 8, 9, "y", "z") for r in rows[:n]], schema)
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, None), (None, "no such passage in any text of these")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, f"{tmp_path}/{name}")
+            assert docs.columns == df.columns
+        kept = docs.collect()
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert {(r.doc_id, r.piece) for r in got.collect()} >= {(r.doc_id, 0) for r in kept} and got.count() >= len(kept)
+        if n:
+            assert Counter(r.doc_id for r in kept) == Counter([None, 1, 3, 4])
+            assert all("q8Xk29" not in r.text for r in kept) and {r.doc_id: r.n_chars for r in kept}[1] == len(a)
+        else:
+            assert kept == [] and got.count() == 0
+
+
+def test_operators_on_odd_rows(spark, empty):
+    """Empty tables, repeated rows and long texts where no other test has them."""
+    assert secrets.scan(empty).count() == secrets.redacted(empty).count() == decontam.decontaminated(empty, empty.selectExpr("doc_id as item_id", "text")).count() == 0
+    pages = spark.createDataFrame([(1, "u", "<p>" + LONG + "</p>")] * 2 + [(2, "v", "<article>" + f"<p>{LONG}</p>" * 4000 + "</article>")], "page_id long, url string, html string")
+    got = Counter((r.page_id, r.n_chars) for r in html_cut.extract(pages).collect())
+    assert got == Counter({(1, len(LONG)): 2, (2, 4000 * (len(LONG) + 1) - 1): 1}) and html_cut.extract(pages.limit(0)).count() == 0
+    item, long = prose(40, 501), prose(40_000, 502)
+    docs = spark.createDataFrame([(1, item), (1, item), (2, long + " " + item + " " + long), (3, long), (None, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert Counter(r.doc_id for r in decontam.contaminated(docs, bench).collect()) == Counter({1: 2, 2: 1, None: 1})
+    assert [r.doc_id for r in decontam.decontaminated(docs, bench).collect()] == [3]

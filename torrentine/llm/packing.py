@@ -89,7 +89,10 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """Encode whole texts, append ``end_id`` and cut only what is longer than ``capacity``."""
+    """Encode whole texts, append ``end_id`` and cut only what is longer than ``capacity``.
+
+    Null and empty texts are ``end_id`` alone; null identifiers and repeated rows are kept; an empty table gives no rows; other columns are not read.
+    """
     end = struct.pack("<I", end_id)
     schema = PIECES.append(pa.field("ids", pa.list_(pa.int64()))) if with_ids else PIECES
 

@@ -210,7 +210,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
         if shard is not None:
             yield from in_slices(iter([(part, seq, *shard.close())]), MANIFEST)
 
-    ordered = id_text(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # by the start of the text too, so rows of one identifier, null above all, part where they are many
+    ordered = id_text(docs).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.left("text", F.lit(64))).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     rows = ordered.mapInArrow(write, "part long, seq long, path string, n_docs long, n_ids long").collect()
     return [(r.path, r.n_docs, r.n_ids) for r in sorted(rows, key=lambda r: (r.part, r.seq))]
 
@@ -219,7 +220,10 @@ READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 
 def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]], with_ids: bool = False) -> DataFrame:
-    """Read shards back: doc_id, start (ids before the document over all shards), n_tokens, ids_crc32, and the ids themselves on demand."""
+    """Read shards back: doc_id, start (ids before the document over all shards), n_tokens, ids_crc32, and the ids themselves on demand.
+
+    One row for each document in the files: null identifiers and repeated rows as they were written; a list without shards gives no rows.
+    """
     rows, start = [], 0
     for i, (path, _, n_ids) in enumerate(shards):
         rows.append((i, path, start))
