@@ -56,8 +56,11 @@ class MemoEncoder:
         self.tokenizer.encode_special_tokens = plain_specials
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or () if not (plain_specials and t["special"])]
-        self.names_added = re.compile("|".join(added), re.I).search if added else None
+        added = [t for t in spec.get("added_tokens") or () if not (plain_specials and t["special"])]
+        #: Names of added tokens as they stand, and those that the library looks for in the normalised text.
+        self.added = [t["content"] for t in added if not t["normalized"]]
+        loose = [re.escape(t["content"]) for t in added if t["normalized"]]
+        self.loose = re.compile("|".join(loose), re.I).search if loose else None
         kinds = re.findall(r'"type": *"(\w+)"', json.dumps(spec.get("normalizer")))
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.drops_space = ids(" a\nb ") == ids("a") + ids("b")
@@ -110,7 +113,7 @@ class MemoEncoder:
         for text in texts:
             if not text:
                 rows.append(b"")
-            elif RARE_SPACE.search(text) or self.names_added and self.names_added(text):
+            elif RARE_SPACE.search(text) or any(name in text for name in self.added) or self.loose and self.loose(text):
                 rows.append(self.whole(text))
             else:
                 pieces = self._pieces(text)
