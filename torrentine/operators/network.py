@@ -11,7 +11,7 @@ from torrentine.functions.kernels import from_part, to_part
 from torrentine.functions.geo import part_length_km
 from torrentine.functions.text import parent_code
 from torrentine.operators import chains
-from torrentine.sources.scratch import checkpointed
+from torrentine.sources.scratch import checkpointed, dealt
 
 
 def flow_edges(ways: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def build_courses(edges: DataFrame, group: str, bridge_m: float = 250.0, across_
             out.append((pdf[group].iloc[0], f"{pdf[group].iloc[0]}:{nodes[0]}", float(chains.geodesic_measures(line)[-1]), nodes, keys, from_part(line), spans, sorted({q for i in ids for q in paths[i]["notes"]})))
         return pd.DataFrame(out, columns=["group_key", "course_id", "length_m", "nodes", "keys", "part", "synthetic", "qa"])
 
-    return edges.select(group, "u", "v", "key", "part", "length_m").groupBy(group).applyInPandas(build, COURSE.format(kind=kind))
+    return dealt(edges.select(group, "u", "v", "key", "part", "length_m"), group).groupBy(group).applyInPandas(build, COURSE.format(kind=kind))
 
 
 def merge_partial(edges: DataFrame, name: str = "name_key", strong: str = "wikidata") -> DataFrame:
@@ -130,7 +130,7 @@ def per_group(rows: DataFrame, group: str, order: str, fn, schema: str) -> DataF
         out = [(pdf[group].iloc[0], *r) for r in fn([to_part(p) for p in pdf["part"]])]
         return pd.DataFrame(out, columns=[group, *[c.split()[0] for c in schema.split(", ")]])
 
-    return rows.select(group, order, "part").groupBy(group).applyInPandas(run, f"`{group}` {kind}, {schema}")
+    return dealt(rows.select(group, order, "part"), group).groupBy(group).applyInPandas(run, f"`{group}` {kind}, {schema}")
 
 
 PART = "part array<struct<lon:double,lat:double>>"

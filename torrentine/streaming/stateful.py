@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
+
+from torrentine.sources.scratch import dealt
 
 
 def decide(accepted: list[float], now: float, window_s: float, most: int) -> tuple[list[float], bool, int]:
@@ -21,19 +25,52 @@ def decide(accepted: list[float], now: float, window_s: float, most: int) -> tup
     return [*live, now], True, 0
 
 
-def rate_limited(events: DataFrame, key: str, ts: str, event: str, window_s: float = 600.0, most: int = 5) -> DataFrame:
-    """(key, event, allowed, retry_after) of each event, in the order of time and event."""
-    kinds = dict(events.dtypes)
+def in_turn(rows: DataFrame, key: str, event: str, gap_s: float, step, kinds: str) -> DataFrame:
+    """(key, event, ...) with what ``step(state, t, ok)`` returns after the new state, for the rows of a key in the order of t and event.
+
+    The state is None at first and where a key has been still for ``gap_s``, after which it must mean nothing to ``step``. So a key is
+    parted at its still times: slices of time without a row part it into runs, found from its distinct slices alone, and a hot key is as
+    many runs as it has. A run is sorted by Spark and read in batches, so no history is held whole. Rows without a time see no state
+    and leave none.
+    """
+    fields = StructType([StructField("k", rows.schema[key].dataType), StructField("e", rows.schema[event].dataType), *StructType.fromDDL(kinds).fields])
+    rows = rows.select(F.col(key).alias("k"), F.col(event).alias("e"), "t", "ok", F.floor(F.col("t") / gap_s).alias("slice"))
+    by_key = Window.partitionBy("k2").orderBy("slice2")
+    runs = rows.select(F.col("k").alias("k2"), F.col("slice").alias("slice2")).distinct()
+    runs = runs.withColumn("new", F.coalesce(F.col("slice2") - F.lag("slice2").over(by_key) > 1, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(runs, F.col("k").eqNullSafe(F.col("k2")) & F.col("slice").eqNullSafe(F.col("slice2"))).select("k", "e", "t", "ok", "run")
+    names = [f.name for f in fields[2:]]
+    types = [{"boolean": pa.bool_(), "int": pa.int32(), "string": pa.string()}[f.dataType.simpleString()] for f in fields[2:]]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, state = None, None
+        for b in batches:
+            out = []
+            for k, run, t, ok in zip(*(b.column(i).to_pylist() for i in (0, 4, 2, 3))):
+                if (k, run) != of:
+                    of, state = (k, run), None
+                if t is None:
+                    out.append(step(None, float("nan"), ok)[1:])
+                else:
+                    state, *told = step(state, t, ok)
+                    out.append(told)
+            told = [pa.array(c, kind) for c, kind in zip(zip(*out) if out else [()] * len(names), types)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *told], names=["k", "e", *names])
+
+    ordered = dealt(rows, "k", "run").sortWithinPartitions("k", "run", "t", F.asc_nulls_last("e"))
+    return ordered.mapInArrow(work, fields).withColumnsRenamed({"k": key, "e": event})
+
+
+def timed(events: DataFrame, key: str, ts: str, event: str, ok: Column) -> DataFrame:
+    return events.select(key, event, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, live, out = pdf.sort_values(["t", event]), [], []
-        for t in pdf["t"]:
-            live, ok, wait = decide(live, t, window_s, most)
-            out.append((ok, wait))
-        return pd.DataFrame({key: pdf[key].values, event: pdf[event].values, "allowed": [o for o, _ in out], "retry_after": [w for _, w in out]})
 
-    rows = events.select(key, event, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
-    return rows.groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{event}` {kinds[event]}, allowed boolean, retry_after int")
+def rate_limited(events: DataFrame, key: str, ts: str, event: str, window_s: float = 600.0, most: int = 5) -> DataFrame:
+    """(key, event, allowed, retry_after) of each event, in the order of time and event; one without a time passes."""
+    def step(live, t, _):
+        return decide(live or [], t, window_s, most)
+
+    return in_turn(timed(events, key, ts, event, F.lit(True)), key, event, window_s, step, "allowed boolean, retry_after int")
 
 
 def rate_limited_stream(events: DataFrame, key: str, ts: str, event: str, window_s: float = 600.0, most: int = 5) -> DataFrame:
@@ -61,20 +98,12 @@ def rate_limited_stream(events: DataFrame, key: str, ts: str, event: str, window
 
 def ttl_deduped(events: DataFrame, key: str, ts: str, event: str, ok: Column, ttl_s: float = 60.0) -> DataFrame:
     """(key, event, outcome): run, or cached within ``ttl_s`` of the last success; a failure is not remembered."""
-    kinds = dict(events.dtypes)
+    def step(done, t, good):
+        if done is not None and t - done < ttl_s:
+            return done, "cached"
+        return (t, "run") if good else (None, "failed")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, done, out = pdf.sort_values(["t", event]), None, []
-        for t, good in zip(pdf["t"], pdf["ok"]):
-            if done is not None and t - done < ttl_s:
-                out.append("cached")
-            else:
-                out.append("run" if good else "failed")
-                done = t if good else None
-        return pd.DataFrame({key: pdf[key].values, event: pdf[event].values, "outcome": out})
-
-    rows = events.select(key, event, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"), F.coalesce(ok, F.lit(False)).alias("ok"))
-    return rows.groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{event}` {kinds[event]}, outcome string")
+    return in_turn(timed(events, key, ts, event, ok), key, event, ttl_s, step, "outcome string")
 
 
 def deduped_stream(events: DataFrame, key: str, ts: str, ttl: str = "60 seconds") -> DataFrame:
