@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from torrentine.functions.kernels import from_part, to_part
+from torrentine.functions.kernels import from_part, geodesic_lengths, to_part
 from torrentine.functions.geo import part_length_km
 from torrentine.functions.text import parent_code
 from torrentine.operators import chains
@@ -52,7 +55,20 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int =
     raise RuntimeError("components did not settle")
 
 
-COURSE = "group_key {kind}, course_id string, length_m double, nodes array<bigint>, keys array<string>, part array<struct<lon:double,lat:double>>, synthetic array<struct<m_from:double,m_to:double,kind:string>>, qa array<string>"
+class Edge(NamedTuple):
+    u: int
+    v: int
+    key: str
+    part: list
+    length_m: float
+
+
+COURSE = "course_id string, length_m double, nodes array<bigint>, keys array<string>, part array<struct<lon:double,lat:double>>, synthetic array<struct<m_from:double,m_to:double,kind:string>>, qa array<string>"
+COURSE_ARROW = {
+    "course_id": pa.string(), "length_m": pa.float64(), "nodes": pa.list_(pa.int64()), "keys": pa.list_(pa.string()),
+    "part": pa.list_(pa.struct({"lon": pa.float64(), "lat": pa.float64()})),
+    "synthetic": pa.list_(pa.struct({"m_from": pa.float64(), "m_to": pa.float64(), "kind": pa.string()})), "qa": pa.list_(pa.string()),
+}
 
 
 def build_courses(edges: DataFrame, group: str, bridge_m: float = 250.0, across_m: float = 5000.0) -> DataFrame:
@@ -62,8 +78,9 @@ def build_courses(edges: DataFrame, group: str, bridge_m: float = 250.0, across_
     """
     kind = dict(edges.dtypes)[group]
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        edge = {r.key: r for r in pdf.itertuples()}
+    def build(t: pa.Table) -> pa.Table:
+        name = t.column(0)[0].as_py()
+        edge = {r["key"]: Edge(**r) for r in t.drop_columns(group).to_pylist()}
         top = {n: n for r in edge.values() for n in (r.u, r.v)}
 
         def find(x):
@@ -80,16 +97,18 @@ def build_courses(edges: DataFrame, group: str, bridge_m: float = 250.0, across_
             comps.setdefault(find(r.u), []).append((r.u, r.v, r.key, r.length_m))
         paths = [p for _, es in sorted(comps.items()) if (p := chains.longest_path(es))]
         lines = [chains.assemble([to_part(edge[k].part) for k in p["keys"]], [""] * len(p["keys"]))[0] for p in paths]
+        joined = chains.chain_gaps([(tuple(x[0]), tuple(x[-1])) for x in lines], bridge_m, across_m)
+        built = [chains.assemble([lines[i] for i, _, _ in c], [k for _, _, k in c]) for c in joined]
         out = []
-        for chain in chains.chain_gaps([(tuple(x[0]), tuple(x[-1])) for x in lines], bridge_m, across_m):
+        for chain, (line, spans), length in zip(joined, built, geodesic_lengths([x for x, _ in built])):
             ids = [i for i, _, _ in chain]
-            line, spans = chains.assemble([lines[i] for i in ids], [k for _, _, k in chain])
             keys = [k for i in ids for k in paths[i]["keys"]]
             nodes = [n for i in ids for n in paths[i]["nodes"]]
-            out.append((pdf[group].iloc[0], f"{pdf[group].iloc[0]}:{nodes[0]}", float(chains.geodesic_measures(line)[-1]), nodes, keys, from_part(line), spans, sorted({q for i in ids for q in paths[i]["notes"]})))
-        return pd.DataFrame(out, columns=["group_key", "course_id", "length_m", "nodes", "keys", "part", "synthetic", "qa"])
+            out.append((f"{name}:{nodes[0]}", float(length), nodes, keys, from_part(line), spans, sorted({q for i in ids for q in paths[i]["notes"]})))
+        cols = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(COURSE_ARROW), COURSE_ARROW.values())]
+        return pa.table([pa.array([name] * len(out), t.schema.field(0).type), *cols], names=["group_key", *COURSE_ARROW])
 
-    return dealt(edges.select(group, "u", "v", "key", "part", "length_m"), group).groupBy(group).applyInPandas(build, COURSE.format(kind=kind))
+    return dealt(edges.select(group, "u", "v", "key", "part", "length_m"), group).groupBy(group).applyInArrow(build, f"group_key {kind}, {COURSE}")
 
 
 def merge_partial(edges: DataFrame, name: str = "name_key", strong: str = "wikidata") -> DataFrame:
