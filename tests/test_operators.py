@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from torrentine.functions import kernels
 from torrentine.operators import chains, filters, joins, network, sectors, windows
 from torrentine.sources import readers, sinks
 from torrentine.streaming import stateful
@@ -286,3 +287,60 @@ def test_file_hashes(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"")
     got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in readers.file_hashes(spark, str(tmp_path)).collect()}
     assert got == {"a.bin": (3000, hashlib.sha256(b"abc" * 1000).hexdigest())}
+
+
+def test_interval_joins_of_a_hot_course(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        course, at = ("hot" if i % 4 else f"c{i % 12}"), rng.choice([rng.random() * 50, float(rng.randrange(50))])
+        rows.append((i, course, at, at + rng.choice([0.0, 0.5, 1.0, rng.random() * 3, -1.0, 45.0 if i % 50 == 1 else 2.0])))
+    rows += [(400, "hot", float("-inf"), 3.0), (401, "hot", 49.0, float("inf")), (402, "hot", None, 3.0), (403, None, 1.0, 2.0), (404, "lone", 1.0, 1.0)]
+    points = [(c, float(x) / 4) for c in ("hot", "c0", "lone", "none", None) for x in range(-8, 216, 3)]
+    d = spark.createDataFrame(rows, "item long, course string, s double, e double")
+    p = spark.createDataFrame(points, "course string, at double")
+    known = [r for r in rows if r[1] is not None and r[2] is not None]
+    pairs = {(c, x[0], y[0]) for x in known for y in known if (c := x[1]) == y[1] and x[0] < y[0] and x[2] < y[3] and y[2] < x[3] and min(x[3], y[3]) - max(x[2], y[2]) > 0.1}
+    got = joins.interval_overlaps(d, "course", "item", "s", "e", 0.1).collect()
+    assert len(got) == len(pairs) > 500 and {(r.course, r.a, r.b) for r in got} == pairs
+    shortest = {(c, x): min(((r[3] - r[2], r[0]) for r in known if r[1] == c and r[2] <= x < r[3]), default=(0, None))[1] for c, x in points}
+    got = joins.smallest_interval(p, d, "course", "at", "item", "s", "e").collect()
+    assert len(got) == len(shortest) and {(r.course, r.at): r.item for r in got} == shortest
+    empty = joins.interval_overlaps(d.where("false"), "course", "item", "s", "e", 0.1)
+    assert empty.count() == 0 and joins.smallest_interval(p, d.where("false"), "course", "at", "item", "s", "e").where("item is not null").count() == 0
+
+
+def test_limiter_parts_keys_at_still_times(spark):
+    rng = random.Random(7)
+    rows, t = [], 0.0
+    for i in range(600):
+        t += rng.choice([0.0, 1.0, 40.0, 120.0, 599.0, 600.0, 601.0, 1300.0])
+        rows.append((rng.choice(["hot", "hot", "a", None]), i, int(t), i % 3 > 0))
+    rows += [("hot", 600, None, True), (None, 601, None, False)]
+    e = spark.createDataFrame(rows, "k string, i long, s long, ok boolean").selectExpr("k", "i", "timestamp_seconds(s) AS ts", "ok")
+    want, cached = {}, {}
+    for key in ("hot", "a", None):
+        live, done = [], None
+        for _, i, s, ok in sorted((r for r in rows if r[0] == key and r[2] is not None), key=lambda r: (r[2], r[1])):
+            live, passed, wait = stateful.decide(live, float(s), 600.0, 2)
+            want[i] = passed, wait
+            if done is not None and s - done < 60:
+                cached[i] = "cached"
+            else:
+                cached[i], done = ("run", s) if ok else ("failed", None)
+    want |= {600: (True, 0), 601: (True, 0)}
+    cached |= {600: "run", 601: "failed"}
+    assert {r.i: (r.allowed, r.retry_after) for r in stateful.rate_limited(e, "k", "ts", "i", most=2).collect()} == want
+    assert {r.i: r.outcome for r in stateful.ttl_deduped(e, "k", "ts", "i", F.col("ok")).collect()} == cached
+
+
+def test_close_pairs_are_all_near_ones():
+    rng = np.random.default_rng(1)
+    for lat in (45.0, 88.9, -89.95):
+        left, right = (np.c_[rng.uniform(179.8, 180.2, n) if lat < 80 else rng.uniform(-180, 180, n), rng.uniform(lat, lat + 0.05, n)] for n in (150, 120))
+        right[:, 0] -= 360 * (right[:, 0] > 180)
+        for metres in (250.0, 5000.0):
+            want = set(map(tuple, np.argwhere(kernels.geodesic_m(left[:, :1], left[:, 1:], right[:, 0], right[:, 1]) <= metres).tolist()))
+            found = [(a, b) for i, j in chains.close_pairs(left, right, metres, block=100) for a, b in zip(i.tolist(), j.tolist())]
+            assert want <= set(found) and len(found) == len(set(found))
+    assert not list(chains.close_pairs(left[:0], right, 10.0))[0][0].size

@@ -147,13 +147,63 @@ def pick_cluster(targets: DataFrame, clusters: DataFrame, target_id: str, cluste
     return best.select(target_id, F.col(f"b.{cluster_id}").alias(cluster_id), (-F.col("b.neg")).alias("score"))
 
 
+#: So few intervals of a key share one cell: comparing them all costs less than dealing them out.
+FEW = 32
+
+
+def key_cells(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(_k, _lo, _hi, _w): per key the extent of its intervals and the width of its cells, their mean length.
+
+    An interval without a finite end is as long as the extent, so all intervals of a key cover at most three times as many cells
+    as there are intervals, whatever their lengths; one far longer than the rest makes the cells of its key coarser. A key with few
+    intervals has one cell.
+    """
+    s, e, inf = F.col(start).cast("double"), F.col(end).cast("double"), F.lit(float("inf"))
+    finite = lambda x: F.abs(x) < inf
+    lo, hi = F.min(F.when(finite(s), s).when(finite(e), e)), F.max(F.when(finite(e), e).when(finite(s), s))
+    whole = finite(s) & finite(e)
+    per = rows.where(F.col(start) <= F.col(end)).groupBy(F.col(key).alias("_k")).agg(
+        F.coalesce(lo, F.lit(0.0)).alias("_lo"), F.coalesce(hi, F.lit(0.0)).alias("_hi"), F.sum(F.when(whole, e - s).otherwise(0.0)).alias("_sum"), F.count_if(~whole).alias("_open"), F.count(F.lit(1)).alias("_n"))
+    width = (F.col("_sum") + F.col("_open") * (F.col("_hi") - F.col("_lo"))) / F.col("_n")
+    return per.select("_k", "_lo", "_hi", F.when((width > 0) & (F.col("_n") > FEW), width).otherwise(F.col("_hi") - F.col("_lo") + 1.0).alias("_w"))
+
+
+def cell_of(x: Column) -> Column:
+    """The cell of a place among those of :func:`key_cells`; places beyond the extent are in the outermost."""
+    return F.floor((F.least(F.greatest(x.cast("double"), F.col("_lo")), F.col("_hi")) - F.col("_lo")) / F.col("_w"))
+
+
+def in_cells(rows: DataFrame, grid: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """Rows once for each cell (_c) that their interval covers, with the grid of their key; those that end before they start have none."""
+    rows = rows.where(F.col(start) <= F.col(end)).join(grid, F.col(key) == F.col("_k"))
+    return rows.withColumn("_c", F.explode(F.sequence(cell_of(F.col(start)), cell_of(F.col(end)))))
+
+
+def holding(points: DataFrame, rows: DataFrame, key: str, point: str, rows_key: str, start: str, end: str) -> DataFrame:
+    """Points with each row of their key whose half-open interval holds them; points in none stay, with nulls.
+
+    A point meets only the intervals of its cell, so a key with many intervals is many keys. Of rows' columns none may be one of points'.
+    """
+    grid = key_cells(rows, rows_key, start, end)
+    dealt = in_cells(rows, grid, rows_key, start, end).drop("_k", "_lo", "_hi", "_w")
+    placed = points.join(grid, F.col(key) == F.col("_k"), "left").withColumn("_pc", cell_of(F.col(point))).drop("_k", "_lo", "_hi", "_w")
+    return placed.join(dealt, (F.col(key) == F.col(rows_key)) & (F.col("_pc") == F.col("_c")) & (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)), "left").drop("_pc", "_c")
+
+
 def interval_overlaps(rows: DataFrame, key: str, item: str, start: str, end: str, least: float) -> DataFrame:
-    """(key, a, b, overlap, share): pairs of one key that overlap by more than ``least``; share of the shorter. a < b."""
-    a = rows.select(key, F.col(item).alias("a"), F.col(start).alias("a0"), F.col(end).alias("a1"))
-    b = rows.select(key, F.col(item).alias("b"), F.col(start).alias("b0"), F.col(end).alias("b1"))
-    common = F.least("a1", "b1") - F.greatest("a0", "b0")
-    pairs = a.join(b, [a[key] == b[key], F.col("a") < F.col("b"), F.col("a0") < F.col("b1"), F.col("b0") < F.col("a1"), common > least])
-    return pairs.select(a[key], "a", "b", common.alias("overlap"), (common / F.least(F.col("a1") - F.col("a0"), F.col("b1") - F.col("b0"))).alias("share"))
+    """(key, a, b, overlap, share): pairs of one key that overlap by more than ``least``; share of the shorter. a < b.
+
+    Of a pair the one that starts later, of equal starts the one with the greater item, is sought by its start among those that
+    cover its cell. One that ends before it starts overlaps none.
+    """
+    grid = key_cells(rows, key, start, end)
+    rows = rows.select(key, item, start, end)
+    cover = in_cells(rows, grid, key, start, end).select(key, F.col(item).alias("i"), F.col(start).alias("i0"), F.col(end).alias("i1"), "_c")
+    later = rows.join(grid, F.col(key) == F.col("_k")).select("_k", F.col(item).alias("j"), F.col(start).alias("j0"), F.col(end).alias("j1"), cell_of(F.col(start)).alias("_jc"))
+    common = F.least("i1", "j1") - F.greatest("i0", "j0")
+    first = (F.col("i0") < F.col("j0")) | (F.col("i0") == F.col("j0")) & (F.col("i") < F.col("j"))
+    pairs = cover.join(later, [F.col(key) == F.col("_k"), F.col("_c") == F.col("_jc"), first, F.col("i") != F.col("j"), F.col("i0") < F.col("j1"), F.col("j0") < F.col("i1"), common > least])
+    return pairs.select(key, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), common.alias("overlap"), (common / F.least(F.col("i1") - F.col("i0"), F.col("j1") - F.col("j0"))).alias("share"))
 
 
 def demote_overlaps(rows: DataFrame, pairs: DataFrame, item: str, share: float = 0.5) -> DataFrame:
@@ -166,8 +216,9 @@ def demote_overlaps(rows: DataFrame, pairs: DataFrame, item: str, share: float =
 
 def smallest_interval(points: DataFrame, rows: DataFrame, key: str, point: str, item: str, start: str, end: str) -> DataFrame:
     """Each point's shortest half-open interval of its key that holds it, ties by item; points in none stay, with null."""
-    hit = points.join(rows.select(F.col(key).alias("k"), F.col(item), F.col(start).alias("s"), F.col(end).alias("e")), (F.col(key) == F.col("k")) & (F.col(point) >= F.col("s")) & (F.col(point) < F.col("e")), "left")
-    return hit.groupBy(*points.columns).agg(F.min(F.when(F.col("s").isNotNull(), F.struct((F.col("e") - F.col("s")).alias("len"), F.col(item)))).alias("b")).select(*points.columns, F.col(f"b.{item}").alias(item))
+    hit = holding(points, rows.select(F.col(key).alias("_rk"), F.col(item).alias("_i"), F.col(start).alias("_s"), F.col(end).alias("_e")), key, point, "_rk", "_s", "_e")
+    shortest = F.min(F.when(F.col("_s").isNotNull(), F.struct((F.col("_e") - F.col("_s")).alias("len"), "_i")))
+    return hit.groupBy(*points.columns).agg(shortest.alias("_b")).select(*points.columns, F.col("_b._i").alias(item))
 
 
 def nearest_value(points: DataFrame, rows: DataFrame, key: str, point: str, item: str, value: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from torrentine.functions.geo import bbox_distance_km, haversine_m
 from torrentine.functions.text import course_rank
+from torrentine.operators.joins import holding
 from torrentine.sources.scratch import checkpointed
 
 
@@ -38,12 +39,14 @@ def contract_intervals(rows: DataFrame, group: str, order: str) -> DataFrame:
 
 def contract_at(clicks: DataFrame, rows: DataFrame, group: str, order: str, item: str = "slug") -> DataFrame:
     """clicks (group, frac) with the contract there: the shortest stated interval that holds it, else the Voronoi owner; none in groups of one."""
-    v = voronoi(rows, group, order, open_ends=True).where("n_group > 1").select(F.col(group).alias("g"), F.col(item), F.col(order).alias("o"), "i_rank", "v_from", "v_to", "sector_start", "sector_end")
-    stated = F.when((F.col("frac") >= F.col("sector_start")) & (F.col("frac") < F.col("sector_end")), F.struct((F.col("sector_end") - F.col("sector_start")).alias("len"), "o", item))
-    owned = F.when((F.col("frac") >= F.col("v_from")) & (F.col("frac") < F.col("v_to")), F.struct("i_rank", "o", item))
-    hit = clicks.join(v, (F.col(group) == F.col("g")) & (F.coalesce(stated.isNotNull(), F.lit(False)) | F.coalesce(owned.isNotNull(), F.lit(False))), "left")
-    best = hit.groupBy(*clicks.columns).agg(F.min(stated).alias("s"), F.min(owned).alias("v"))
-    return best.select(*clicks.columns, F.coalesce(f"s.{item}", f"v.{item}").alias(item))
+    v = voronoi(rows, group, order, open_ends=True).where("n_group > 1").select(F.col(group).alias("_g"), F.col(item).alias("_i"), F.col(order).alias("_o"), "i_rank", "v_from", "v_to", F.col("sector_start").cast("double").alias("_s"), F.col("sector_end").cast("double").alias("_e"))
+    stated = v.select("_g", "_i", "_o", F.lit(None).cast("int").alias("_r"), F.col("_s").alias("_from"), F.col("_e").alias("_to"))
+    owned = v.select("_g", "_i", "_o", F.col("i_rank").alias("_r"), F.col("v_from").alias("_from"), F.col("v_to").alias("_to"))
+    hit = holding(clicks, stated.unionByName(owned), group, "frac", "_g", "_from", "_to")
+    by_stated = F.when(F.col("_g").isNotNull() & F.col("_r").isNull(), F.struct((F.col("_to") - F.col("_from")).alias("len"), "_o", "_i"))
+    by_owned = F.when(F.col("_r").isNotNull(), F.struct("_r", "_o", "_i"))
+    best = hit.groupBy(*clicks.columns).agg(F.min(by_stated).alias("_st"), F.min(by_owned).alias("_ow"))
+    return best.select(*clicks.columns, F.coalesce("_st._i", "_ow._i").alias(item))
 
 
 def running(rows: DataFrame, partition: list[str], order: list, value: Column, name: str) -> DataFrame:
