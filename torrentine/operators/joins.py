@@ -75,13 +75,15 @@ def trace(targets: DataFrame, source: DataFrame, strategies: list[tuple[str, lis
 def token_overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: Column, right_tokens: Column, least: float = 0.6, least_shared: int = 1) -> DataFrame:
     """(left_id, right_id, shared, score): the best right row of each left one by shared distinct tokens over the larger set.
 
-    Candidates share a token; the score of a pair is counted from the joined tokens alone. Ties go to the smaller right id.
+    Candidates share a token and have sizes that the score allows; it is counted from the joined tokens alone. Ties go to the smaller right id.
     """
     l = left.select(F.col(left_id).alias("l"), F.array_distinct(left_tokens).alias("lt"))  # noqa: E741
     r = right.select(F.col(right_id).alias("r"), F.array_distinct(right_tokens).alias("rt"))
     lx = l.select("l", F.size("lt").alias("ln"), F.explode("lt").alias("token"))
     rx = r.select("r", F.size("rt").alias("rn"), F.explode("rt").alias("token"))
-    pairs = lx.join(rx, "token").groupBy("l", "r", "ln", "rn").agg(F.count(F.lit(1)).alias("shared"))
+    smaller, larger = F.least("ln", "rn"), F.greatest("ln", "rn")
+    sizes = (smaller / larger >= least) & (smaller >= least_shared)
+    pairs = lx.join(rx, "token").where(sizes).groupBy("l", "r", "ln", "rn").agg(F.count(F.lit(1)).alias("shared"))
     scored = pairs.withColumn("score", F.col("shared") / F.greatest("ln", "rn")).where((F.col("score") >= least) & (F.col("shared") >= least_shared))
     best = scored.groupBy("l").agg(F.max(F.struct("score", (-F.col("r")).alias("neg"), "shared")).alias("b"))
     return best.select(F.col("l").alias(left_id), (-F.col("b.neg")).alias(right_id), F.col("b.shared").alias("shared"), F.col("b.score").alias("score"))
