@@ -74,6 +74,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=50256)
 
 
+def op11_concat_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from torrentine.llm.concat import concat_and_cut
+
+    return concat_and_cut(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from torrentine.llm.resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
 def queries() -> dict:
     found = (
         op1_decontamination,
@@ -86,6 +98,8 @@ def queries() -> dict:
         op8_token_counts,
         op9_token_id_sstable,
         op10_substring_dedup,
+        op11_concat_packing,
+        op13_importance_resampling,
         secret_counts,
     )
     return {f.__name__: f for f in found}
