@@ -80,6 +80,12 @@ def op11_concat_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concat_and_cut(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from torrentine.llm.repair import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from torrentine.llm.resample import resample
 
@@ -99,6 +105,7 @@ def queries() -> dict:
         op9_token_id_sstable,
         op10_substring_dedup,
         op11_concat_packing,
+        op12_conversation_repair,
         op13_importance_resampling,
         secret_counts,
     )
