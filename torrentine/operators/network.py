@@ -7,16 +7,23 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from torrentine.functions.kernels import from_part, geodesic_lengths, to_part
-from torrentine.functions.geo import part_length_km
 from torrentine.functions.text import parent_code
 from torrentine.operators import chains
+from torrentine.operators.linear import area_edges, ends_in_areas
 from torrentine.sources.scratch import checkpointed, dealt
 
 
+@F.pandas_udf(T.DoubleType())
+def line_m(part: pd.Series) -> pd.Series:
+    """Length on WGS84 in metres, the measure of courses, for a batch of lines at once."""
+    return pd.Series(geodesic_lengths([to_part(p) for p in part]), dtype="float64")
+
+
 def flow_edges(ways: DataFrame) -> DataFrame:
     """(way_id, seq, key, u, v, part, length_m): ways (way_id, nodes, part) cut at their ends and at nodes of two ways or more."""
     member = ways.select("way_id", F.explode(F.array_distinct("nodes")).alias("node"))
@@ -30,7 +37,7 @@ def flow_edges(ways: DataFrame) -> DataFrame:
     part = F.slice("part", F.col("a") + 1, b - F.col("a") + 1)
     key = F.concat_ws(":", F.col("way_id").cast("string"), F.col("seq").cast("string"))
     out = rows.select("way_id", "seq", key.alias("key"), F.get("nodes", F.col("a")).alias("u"), F.get("nodes", b).alias("v"), part.alias("part"))
-    return out.withColumn("length_m", F.round(1000 * part_length_km(F.col("part")), 3))
+    return out.withColumn("length_m", F.round(line_m("part"), 3))
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 40) -> DataFrame:
@@ -63,23 +70,30 @@ class Edge(NamedTuple):
     length_m: float
 
 
-COURSE = "course_id string, length_m double, nodes array<bigint>, keys array<string>, part array<struct<lon:double,lat:double>>, synthetic array<struct<m_from:double,m_to:double,kind:string>>, qa array<string>"
+POINTS = "array<struct<lon:double,lat:double>>"
+COURSE = f"course_id string, length_m double, nodes array<bigint>, keys array<string>, part {POINTS}, synthetic array<struct<m_from:double,m_to:double,kind:string>>, qa array<string>"
+PATH = f"path int, nodes array<bigint>, keys array<string>, part {POINTS}, notes array<string>"
+LINE_ARROW = pa.list_(pa.struct({"lon": pa.float64(), "lat": pa.float64()}))
 COURSE_ARROW = {
-    "course_id": pa.string(), "length_m": pa.float64(), "nodes": pa.list_(pa.int64()), "keys": pa.list_(pa.string()),
-    "part": pa.list_(pa.struct({"lon": pa.float64(), "lat": pa.float64()})),
+    "course_id": pa.string(), "length_m": pa.float64(), "nodes": pa.list_(pa.int64()), "keys": pa.list_(pa.string()), "part": LINE_ARROW,
     "synthetic": pa.list_(pa.struct({"m_from": pa.float64(), "m_to": pa.float64(), "kind": pa.string()})), "qa": pa.list_(pa.string()),
-}
+}
+PATH_ARROW = {"path": pa.int32(), "nodes": pa.list_(pa.int64()), "keys": pa.list_(pa.string()), "part": LINE_ARROW, "notes": pa.list_(pa.string())}
+
 
+def _rows(name, kind, rows: list[tuple], columns: dict) -> pa.Table:
+    cols = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(columns), columns.values())]
+    return pa.table([pa.array([name] * len(rows), kind), *cols], names=["group_key", *columns])
 
-def build_courses(edges: DataFrame, group: str, bridge_m: float = 250.0, across_m: float = 5000.0) -> DataFrame:
-    """Courses of each group of edges: the longest path of each component, chained over small gaps.
 
-    Groups are names of rivers, so one is small; it is built in one task.
+def component_paths(edges: DataFrame, group: str) -> DataFrame:
+    """(group_key, path, nodes, keys, part, notes): the longest path of each component of each group of edges, with its line.
+
+    Groups are names of rivers, so one is small; it is read in one task.
     """
     kind = dict(edges.dtypes)[group]
 
     def build(t: pa.Table) -> pa.Table:
-        name = t.column(0)[0].as_py()
         edge = {r["key"]: Edge(**r) for r in t.drop_columns(group).to_pylist()}
         top = {n: n for r in edge.values() for n in (r.u, r.v)}
 
@@ -97,18 +111,49 @@ def build_courses(edges: DataFrame, group: str, bridge_m: float = 250.0, across_
             comps.setdefault(find(r.u), []).append((r.u, r.v, r.key, r.length_m))
         paths = [p for _, es in sorted(comps.items()) if (p := chains.longest_path(es))]
         lines = [chains.assemble([to_part(edge[k].part) for k in p["keys"]], [""] * len(p["keys"]))[0] for p in paths]
-        joined = chains.chain_gaps([(tuple(x[0]), tuple(x[-1])) for x in lines], bridge_m, across_m)
+        rows = [(i, p["nodes"], p["keys"], from_part(line), sorted(p["notes"])) for i, (p, line) in enumerate(zip(paths, lines))]
+        return _rows(t.column(0)[0].as_py(), t.schema.field(0).type, rows, PATH_ARROW)
+
+    return dealt(edges.select(group, "u", "v", "key", "part", "length_m"), group).groupBy(group).applyInArrow(build, f"group_key {kind}, {PATH}")
+
+
+def reservoirs_at_ends(paths: DataFrame, reservoirs: DataFrame, near_m: float = 50.0) -> DataFrame:
+    """The paths with first_in and last_in, the reservoirs (area, rings) that hold their first and last points or lie within ``near_m`` of them."""
+    point = lambda end, i: F.struct(F.lit(end).alias("end"), F.element_at("part", i)["lon"].alias("lon"), F.element_at("part", i)["lat"].alias("lat"))
+    ends = paths.select("group_key", "path", F.explode(F.array(point("first", 1), point("last", -1))).alias("p")).select(F.struct("group_key", "path", "p.end").alias("id"), "p.lon", "p.lat")
+    held = ends_in_areas(ends, area_edges(reservoirs, "area"), near_m).select("id.*", "area")
+    for end in ("first", "last"):
+        of = held.where(F.col("end") == end).groupBy("group_key", "path").agg(F.array_sort(F.collect_set("area")).alias(f"{end}_in"))
+        paths = paths.join(of, ["group_key", "path"], "left")
+    return paths
+
+
+def build_courses(edges: DataFrame, group: str, bridge_m: float = 250.0, across_m: float = 5000.0, reservoirs: DataFrame | None = None) -> DataFrame:
+    """Courses of each group of edges: the longest path of each component, chained over gaps of up to ``bridge_m``.
+
+    A gap of up to ``across_m`` is closed where one of the ``reservoirs`` (area, rings) lies at both of its ends; without reservoirs
+    such gaps stay. The paths of a name are chained in one task.
+    """
+    kind = dict(edges.dtypes)[group]
+    paths, across = component_paths(edges, group), reservoirs is not None
+    if across:
+        paths = reservoirs_at_ends(checkpointed(paths), reservoirs)
+
+    def chain(t: pa.Table) -> pa.Table:
+        paths = sorted(t.to_pylist(), key=lambda r: r["path"])
+        lines = [to_part(p["part"]) for p in paths]
+        held = [(set(p.get("first_in") or ()), set(p.get("last_in") or ())) for p in paths]
+        shares = (lambda i, j: bool(held[i][1] & held[j][0])) if across else None
+        joined = chains.chain_gaps([(tuple(x[0]), tuple(x[-1])) for x in lines], bridge_m, across_m, shares)
         built = [chains.assemble([lines[i] for i, _, _ in c], [k for _, _, k in c]) for c in joined]
-        out = []
+        name, out = paths[0]["group_key"], []
         for chain, (line, spans), length in zip(joined, built, geodesic_lengths([x for x, _ in built])):
             ids = [i for i, _, _ in chain]
-            keys = [k for i in ids for k in paths[i]["keys"]]
-            nodes = [n for i in ids for n in paths[i]["nodes"]]
+            keys, nodes = [k for i in ids for k in paths[i]["keys"]], [n for i in ids for n in paths[i]["nodes"]]
             out.append((f"{name}:{nodes[0]}", float(length), nodes, keys, from_part(line), spans, sorted({q for i in ids for q in paths[i]["notes"]})))
-        cols = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * len(COURSE_ARROW), COURSE_ARROW.values())]
-        return pa.table([pa.array([name] * len(out), t.schema.field(0).type), *cols], names=["group_key", *COURSE_ARROW])
+        return _rows(name, t.schema.field(0).type, out, COURSE_ARROW)
 
-    return dealt(edges.select(group, "u", "v", "key", "part", "length_m"), group).groupBy(group).applyInArrow(build, f"group_key {kind}, {COURSE}")
+    return dealt(paths, "group_key").groupBy("group_key").applyInArrow(chain, f"group_key {kind}, {COURSE}")
 
 
 def merge_partial(edges: DataFrame, name: str = "name_key", strong: str = "wikidata") -> DataFrame:
