@@ -171,3 +171,26 @@ def test_identity(spark):
     small = one(spark, identity.shrink_to_fit([("a", lit("x")), ("b", lit("y" * 50))], 20), identity.shrink_to_fit([("a", lit("x"))], 3))
     assert small == ('{"a":"x"}', "{}")
     assert one(spark, identity.active_exception(lit("approved"), lit("2024-05-01T00"), F.to_date(lit("2024-05-01"))), identity.active_exception(lit("approved"), lit(None).cast("string"), F.to_date(lit("2024-05-01")))) == (True, False)
+
+
+def test_limits_are_read_in_time_that_grows_with_the_text():
+    """Long texts of one kind of token, nested words and notes: none raises, none takes long."""
+    import time
+
+    texts = ["-" * 100_000, "- " * 50_000, "a - " * 25_000, "aval " * 10_000 + "- y", "aval " * 10_000, "x-sat " * 16_000, "conf x-sat " * 9000, "(" * 50_000, "(a)" * 30_000, "(a-sat b) " * 10_000]
+    texts += ["pana la " * 12_000, "a, " * 30_000, "pod din " * 12_000, "cu afluenti " * 8000, "jud. " * 20_000, "(x-sat" * 16_000 + ")", "limita " * 14_000]
+    for t in texts:
+        began = time.perf_counter()
+        assert limits.parse(t)["scope"] in ("interval", "empty", "unparsed", "locality_list")
+        assert time.perf_counter() - began < 5, t[:20]
+    deep = limits.parse("aval amonte " * 400 + "Bran - Avrig")
+    assert (deep["from"]["kind"], deep["from"]["target"], deep["from"]["qualifier"]) == ("LOCALITY", "Bran", "downstream")
+
+
+@pytest.mark.parametrize(("t", "want"), [
+    ("Pod DN 7 (km 3) din loc. Avrig – baraj Olt", ("BRIDGE", None, "Avrig", "DN 7")), ("podul vechi de fier CFR de la Turda - vărsare", ("BRIDGE", None, "Turda", "CFR")), ("Pod Stefan de la Slatina - vărsare", ("BRIDGE", "Stefan", "Slatina", None)),
+    ("pod rutier DN 7 C - vărsare", ("BRIDGE", None, None, "DN 7C")), ("Pod - vărsare", ("BRIDGE", None, None, None)), ("pod la Avrig - vărsare", ("BRIDGE", None, "Avrig", None)), ("Pod Mare din sat Bran cu afluenții - vărsare", ("BRIDGE", None, "Bran", None)),
+])
+def test_bridges_of_limits(t, want):
+    f = limits.parse(t)["from"]
+    assert (f["kind"], f["target"], f["locality_hint"], f["road_ref"]) == want

@@ -67,7 +67,7 @@ def test_texts_are_folded_whole(spark, tmp_path):
     texts = ["Straße für Übung, größer", "El niño comió", "ÉCOLE « où »", "x " * 60 + "Ende_ÄÖÜ - fin", None, "", "\u0219coal\u0103 a\u0301", "Über\nab", "uber", "niño y", "NINO"]
     lang = ["de", "es", "fr", "de", "en", "de", "ro", "de", "en", "es", None]
     spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, lang))], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.folded, r.slug) for r in QUERIES["folded_texts_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.folded, r.slug) for r in QUERIES["folded_texts"](spark, str(tmp_path)).collect()}
     fold = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s-]|_", " ", stripped(t))).strip()
     slug = lambda t: re.sub("[^a-z0-9]+", "-", stripped(t)).strip("-")
     assert got == {i: (fold(t or ""), slug(t or "")) for i, t in enumerate(texts)} and got[3][0].endswith("ende aou - fin")
@@ -76,7 +76,7 @@ def test_texts_are_folded_whole(spark, tmp_path):
         w = (t or "").split(" ")[0].split("\n")[0]
         if stripped(w.strip(" ")):
             first.setdefault(stripped(w.strip(" ")), w)
-    assert {r.key: r.w for r in QUERIES["first_spelling_whole"](spark, str(tmp_path)).collect()} == first and {"uber", "nino"} <= set(first)
+    assert {r.key: r.w for r in QUERIES["first_spelling"](spark, str(tmp_path)).collect()} == first and {"uber", "nino"} <= set(first)
 
 
 def test_components_of_every_edge(spark, tmp_path):
@@ -93,7 +93,7 @@ def test_components_of_every_edge(spark, tmp_path):
         for v in (k + 1, k * 7 % 100 + 20000):
             a, b = find(k), find(v)
             top[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in QUERIES["connected_components_whole"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.component for r in QUERIES["connected_components"](spark, str(tmp_path)).collect()}
     assert got == {x: find(x) for x in top} and got[61] == 1
 
 

@@ -12,21 +12,41 @@ from torrentine.plans.registry import query
 from torrentine.sources import readers
 from torrentine.streaming import stateful
 
-LINKS = "SELECT o_custkey AS u, o_custkey + 1 AS v FROM orders WHERE o_custkey % 5 < 3 UNION ALL SELECT o_custkey, o_custkey * 7 % 100 + 20000 FROM orders WHERE o_orderkey % 40 = 0"
+LINKS = "SELECT DISTINCT unnest([o_custkey, o_custkey, o_custkey + 1, o_custkey * 7 % 100 + 20000]) AS u, unnest([o_custkey + 1, o_custkey * 7 % 100 + 20000, o_custkey, o_custkey]) AS v FROM orders"
 
 
-@query(f"""WITH RECURSIVE e AS ({LINKS}), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u AS node, u AS reach FROM b UNION SELECT r.node, b.v FROM r JOIN b ON r.reach = b.u)
- SELECT node, min(reach) AS component FROM r GROUP BY node""")
+@query(f"""WITH RECURSIVE e AS MATERIALIZED ({LINKS}), r AS (SELECT u AS node, least(u, min(v)) AS low FROM e GROUP BY u UNION SELECT e.v, min(r.low) FROM r JOIN e ON r.node = e.u WHERE r.low < e.v GROUP BY e.v)
+ SELECT node, min(low) AS component FROM r GROUP BY node""")
 def connected_components(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    e = o.where("o_custkey % 5 < 3").selectExpr("o_custkey AS u", "o_custkey + 1 AS v").unionByName(o.where("o_orderkey % 40 = 0").selectExpr("o_custkey AS u", "o_custkey * 7 % 100 + 20000 AS v"))
-    return network.components(e)
+    """Components over the edges of every order: a long chain of consecutive keys with shortcuts."""
+    return network.components(table(spark, sf_dir, "orders").select("o_custkey", F.explode(F.expr("array(o_custkey + 1, o_custkey * 7 % 100 + 20000)")).alias("v")), "o_custkey", "v")
 
 
-@query()
-def connected_components_whole(spark, sf_dir):
-    """Components over the edges of every order; the chain of consecutive keys is long, too long for recursive SQL."""
-    return network.components(table(spark, sf_dir, "orders").select("o_custkey", F.explode(F.expr("array(o_custkey + 1, o_custkey * 7 % 100 + 20000)")).alias("v")), "o_custkey", "v")
+#: Beginnings and ends of limits with what they are, by a customer's key; where a number stands for {n}.
+OPENS = (("Izvoare", "SOURCE", None), ("Baraj B{n}", "DAM", None), ("coada lacului L{n}", "LAKE_UPSTREAM", None), ("aval lac L{n}", "LAKE_DOWNSTREAM", None), ("Pod DN {n} din loc. Avrig", "BRIDGE", "DN {n}"), ("aval de loc. Bran", "LOCALITY", None),
+         ("Limita jud. HD", "COUNTY_LIMIT", None), ("cascada Bigăr", "WATERFALL", None), ("Cetatea", "LOCALITY", None), ("DN 67 D Baia", "ROAD", "DN 67D"), ("pod CFR de fier la Avrig", "BRIDGE", "CFR"), ("drum forestier Valea Rea", "ROAD", None))
+CLOSES = (("conf. râul Apa {n}", "CONFLUENCE", "Apa {n}"), ("vărsare", "MOUTH", None), ("vărsare în lacul Colibița", "LAKE_UPSTREAM", "Colibița"), ("Gherla", "LOCALITY", "Gherla"), ("granița cu Ucraina", "BORDER", "Ucraina"), ("ieșire din județ", "COUNTY_LIMIT", None),
+          ("amonte lac Izvorul", "LAKE_UPSTREAM", "Izvorul"), ("podul Stefan din loc. Slatina", "BRIDGE", "Stefan"), ("Valea Fetii", "CONFLUENCE", "Valea Fetii"), ("conf. cu valea Braia (sat Braia) și toți afluenții", "CONFLUENCE", "valea Braia"), ("baraj B{n}", "DAM", "B{n}"))
+JOINTS = (" – ", " - ", "- ", " –", " până la ")
+
+
+def _picked(options, i: int | None, by: str) -> str:
+    """CASE over a key for one column of the options."""
+    quote = lambda x: "NULL" if x is None else "'" + x + "'" if "{n}" not in x else "concat('" + x.replace("{n}", "', CAST(c_custkey AS STRING), '") + "')"
+    return f"CASE {by} " + " ".join(f"WHEN {k} THEN {quote(o if i is None else o[i])}" for k, o in enumerate(options)) + " END"
+
+
+BY = (f"c_custkey % {len(OPENS)}", f"(c_custkey * 7 + 3) % {len(CLOSES)}", f"(c_custkey * 13 + c_acctbal_cents) % {len(JOINTS)}")
+KEYED = "(SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) + 100000 AS c_acctbal_cents FROM customer)"
+
+
+@query(f"""SELECT c_custkey, {_picked(OPENS, 1, BY[0])} AS from_kind, {_picked(OPENS, 2, BY[0])} AS road, {_picked(CLOSES, 1, BY[1])} AS to_kind, {_picked(CLOSES, 2, BY[1])} AS target, {BY[1]} = 9 AS tributaries FROM {KEYED}""")
+def parsed_intervals(spark, sf_dir):
+    """Limits of all pairs of beginnings and ends with five separators, 660 forms."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.expr("CAST(round(c_acctbal * 100) AS BIGINT) + 100000").alias("c_acctbal_cents"))
+    text_ = F.concat(F.expr(_picked(OPENS, 0, BY[0])), F.expr(_picked(JOINTS, None, BY[2])), F.expr(_picked(CLOSES, 0, BY[1])))
+    p = c.select("c_custkey", limits.parse_limits(text_).alias("p"))
+    return p.select("c_custkey", F.col("p.from.kind").alias("from_kind"), F.col("p.from.road_ref").alias("road"), F.col("p.to.kind").alias("to_kind"), F.col("p.to.target").alias("target"), F.col("p.includes_tributaries").alias("tributaries"))
 
 
 def event_points(spark, sf_dir):

@@ -153,18 +153,12 @@ def distinct_counties(spark, sf_dir):
     return aggregates.distinct_sorted([w.where("contracted"), w.where("not contracted")], "judet")
 
 
-FIRST = "lower(strip_accents(trim(string_split(string_split(text, ' ')[1], chr(10))[1])))"
+#: The fold of texts as SQL: letters without marks by the same table, loose marks away, lower case.
+PLAIN_SQL = f"regexp_replace(translate(lower(translate({{0}}, '{text.LEGACY}', '{text.MODERN}')), '{text.MARKED}', '{text.PLAIN}'), '\\p{{{{M}}}}+', '', 'g')"
 
 
-@query(f"SELECT key, arg_min(w, doc_id) AS w FROM (SELECT doc_id, string_split(string_split(text, ' ')[1], chr(10))[1] AS w, {FIRST} AS key FROM documents WHERE lang IN ('en', 'fr')) WHERE key <> '' GROUP BY key")
+@query(f"SELECT key, arg_min(w, doc_id) AS w FROM (SELECT doc_id, w, {PLAIN_SQL.format('trim(w)')} AS key FROM (SELECT doc_id, string_split(string_split(text, ' ')[1], chr(10))[1] AS w FROM documents)) WHERE key <> '' GROUP BY key")
 def first_spelling(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang IN ('en', 'fr')").select("doc_id", F.substring_index(F.substring_index("text", " ", 1), "\n", 1).alias("w"))
-    return aggregates.first_spelling(d, text.locality_key(F.col("w")), "w", "doc_id")
-
-
-@query()
-def first_spelling_whole(spark, sf_dir):
-    """:func:`first_spelling` over the rows of every language; DuckDB's strip_accents differs on some of them."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index(F.substring_index("text", " ", 1), "\n", 1).alias("w"))
     return aggregates.first_spelling(d, text.locality_key(F.col("w")), "w", "doc_id")
 
@@ -301,15 +295,10 @@ def ordered_sets(spark, sf_dir):
     return o.select("o_orderkey", F.array_sort(q).alias("q"), both.alias("both"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(left(text, 80))), '[^a-z0-9_\\s-]|_', ' ', 'g'), '\\s+', ' ', 'g')) AS folded, regexp_replace(regexp_replace(strip_accents(lower(left(text, 40))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents WHERE lang <> 'de'")
+@query(f"""SELECT doc_id, trim(regexp_replace(regexp_replace(p, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS folded, regexp_replace(regexp_replace(p, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
+ FROM (SELECT doc_id, {PLAIN_SQL.format("coalesce(text, '')")} AS p FROM documents)""")
 def folded_texts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang <> 'de'")
-    return d.select("doc_id", text.fold(F.left("text", F.lit(80))).alias("folded"), text.slugify(F.left("text", F.lit(40))).alias("slug"))
-
-
-@query()
-def folded_texts_whole(spark, sf_dir):
-    """:func:`folded_texts` over the whole texts of every language; DuckDB's strip_accents differs on some of them."""
+    """Whole texts of every language, folded and as slugs."""
     return table(spark, sf_dir, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"), text.slugify(F.col("text")).alias("slug"))
 
 
