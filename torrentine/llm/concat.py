@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 from torrentine.llm.common import id_text, in_slices, materialize, sliced
 from torrentine.llm.tokens import encoder
 
-#: Pieces of text a worker remembers.
-MEMO_PIECES = 300_000
-
 ENCODED = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 RECORDS = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
@@ -35,11 +32,11 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     end = struct.pack("<I", end_id)
 
     def encode(batches):
-        enc, part = encoder(tokenizer, MEMO_PIECES), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
 
         def rows():
             before = 0
-            for batch in sliced(batches, 128):
+            for batch in sliced(batches):
                 for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist())):
                     ids += end
                     yield doc_id, part, before, len(ids) // 4, ids
