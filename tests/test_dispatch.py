@@ -6,6 +6,7 @@ import pytest
 from torrentine.functions import kernels
 from torrentine.operators import dispatch
 from torrentine.operators.dispatch import World
+from torrentine.operators.sectors import near_spellings as sectors_near
 
 P = "struct<lon:double,lat:double>"
 
@@ -86,3 +87,24 @@ def test_limits_become_sectors(spark, world):
 def test_limits_of_no_waters(spark, world):
     waters = spark.createDataFrame([], "sector_id long, limits string, size string, judet string, course_id string")
     assert dispatch.resolve_limits(waters, world).count() == 0
+
+
+@pytest.mark.parametrize(("least", "seed"), [(0.9, 1), (0.85, 2), (0.8, 3)])
+def test_near_spellings_are_all_found(spark, least, seed):
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(seed)
+    base = ["".join(r.choice("abcer") for _ in range(r.randint(2, 14))) for _ in range(60)] + ["aaaaaaaaaa", "aaaaaaaaab", "ababababab"]
+
+    def spoilt(t):
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(t))
+            t = r.choice([t[:i] + t[i + 1 :], t[:i] + r.choice("abcerx") + t[i:], t[:i] + r.choice("abcer") + t[i + 1 :]]) or "a"
+        return t
+
+    wanted, names = [spoilt(t) for t in base for _ in range(3)], [spoilt(t) for t in base for _ in range(3)] + ["", None]
+    d, p = spark.createDataFrame([(t,) for t in wanted], "core string"), spark.createDataFrame([(t,) for t in names], "name string")
+    got = {(x.core, x.name): x.score for x in sectors_near(d, p, least).collect()}
+    alike = lambda a, b: a and b and a != b and a[0] == b[0] and abs(len(a) - len(b)) <= 3 and SequenceMatcher(None, a, b).ratio() >= least
+    assert set(got) == {(a, b) for a in set(wanted) for b in set(names) if alike(a, b)} and len(got) > 30

@@ -194,3 +194,36 @@ def test_limits_are_read_in_time_that_grows_with_the_text():
 def test_bridges_of_limits(t, want):
     f = limits.parse(t)["from"]
     assert (f["kind"], f["target"], f["locality_hint"], f["road_ref"]) == want
+
+
+def test_kernels_over_columns(spark):
+    """Forms of kernels on columns: places on lines, midpoints, samples; null lines and lines without points."""
+    line = [(25.0, 45.0), (25.1, 45.0), (25.1, 45.1)]
+    rows = [(1, [line]), (2, [line[:2], line[1:]]), (3, None), (4, [])]
+    d = spark.createDataFrame(rows, "i int, g array<array<struct<lon:double,lat:double>>>")
+    p = F.get("g", F.lit(0))
+    got = d.select(
+        "i", kernels.point_at_udf("g", F.lit(0.5)).alias("at"), kernels.midpoint_udf("g").alias("mid"), kernels.resample_udf(p, F.lit(1000.0)).alias("dense"), kernels.km_fraction_udf("g", F.lit(1.0)).alias("km"),
+        kernels.fraction_udf("g", F.lit(25.1), F.lit(45.0)).alias("f"), geo.part_length_km(p).alias("long"),
+    ).collect()
+    parts = [np.array(line)]
+    for r in got[:2]:
+        assert np.allclose(r.at, kernels.point_at_fraction(parts, 0.5), atol=1e-6) and np.allclose(r.mid, kernels.midpoint(parts), atol=1e-6)
+        assert abs(r.f - 0.4145) < 0.001 and abs(r.km - 1 / 18.98) < 0.001
+    total = kernels.geodesic_measures(parts[0])[-1]
+    assert abs(kernels.locate(parts[0], *got[0].mid)[0] - total / 2) < 1
+    assert len(got[0].dense) == int(1000 * got[0].long // 1000) + 2 and got[2].mid is None and got[2].dense is None and got[3].mid is None and got[3].at is None
+    assert np.allclose(got[0].dense[0], line[0]) and np.allclose(got[0].dense[-1], line[-1])
+
+
+def test_nearest_place_of_a_line():
+    part = np.array([(25.0, 45.0), (25.1, 45.0), (25.1, 45.1)])
+    r = random.Random(4)
+    dense = kernels.resample(part, 1.0)
+    for _ in range(40):
+        x, y = 25 + r.uniform(-0.05, 0.15), 45 + r.uniform(-0.05, 0.15)
+        m, dist = kernels.locate(part, x, y)
+        far = kernels._pairwise_m(np.array([[x, y]]), dense)[0]
+        assert abs(dist - far.min()) < 0.01 * far.min() + 1 and abs(m - np.argmin(far)) < 40 + 0.02 * dist
+        d, along, share = kernels._project(part, x, y)
+        assert 0 <= share <= 1 and d <= np.hypot(*(part - [x, y]).T).min() + 1e-12

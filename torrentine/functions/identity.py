@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from torrentine.functions.geo import coordinate_count, extent
+from torrentine.functions.kernels import rowwise
 
 
 def geometry_token(value) -> str:
@@ -29,12 +29,9 @@ def geometry_token(value) -> str:
     return "[" + ",".join(geometry_token(v) for v in value) + "]"
 
 
-@F.pandas_udf(T.StringType())
-def geometry_token_udf(kind: pd.Series, parts: pd.Series) -> pd.Series:
-    rows = []
-    for k, g in zip(kind, parts):
-        rows.append(None if g is None else geometry_token({"type": k, "coordinates": [[[p["lon"], p["lat"]] for p in part] for part in g]}))
-    return pd.Series(rows, dtype=object)
+@rowwise(T.StringType())
+def geometry_token_udf(kind, parts):
+    return None if parts is None else geometry_token({"type": kind, "coordinates": [[[p["lon"], p["lat"]] for p in part] for part in parts]})
 
 
 def geometry_hash(kind: Column, parts: Column) -> Column:

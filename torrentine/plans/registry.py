@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from torrentine.plans import linear_queries, map_queries, network_queries, record_queries, scalar_queries  # noqa: F401
+    from torrentine.plans import linear_queries, map_queries, network_queries, overlay_queries, record_queries, scalar_queries  # noqa: F401
 
 
 def entry(spark: SparkSession) -> DataFrame:
