@@ -285,8 +285,20 @@ def test_file_hashes(spark, tmp_path):
 
     (tmp_path / "a.bin").write_bytes(b"abc" * 1000)
     (tmp_path / "b.bin").write_bytes(b"")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c d.bin").write_bytes(b"x")
+    (tmp_path / ".hidden").write_bytes(b"y")
+    with open(tmp_path / "large.bin", "wb") as f:  # more than a row may hold, without blocks on disk
+        f.seek((1 << 31) + 10)
+        f.write(b"end")
+    big = hashlib.sha256()
+    for _ in range(128):
+        big.update(bytes(1 << 24))
+    big.update(bytes(10) + b"end")
+    want = {"a.bin": (3000, hashlib.sha256(b"abc" * 1000).hexdigest()), "b.bin": (0, hashlib.sha256(b"").hexdigest()), "c d.bin": (1, hashlib.sha256(b"x").hexdigest()), "large.bin": ((1 << 31) + 13, big.hexdigest())}
     got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in readers.file_hashes(spark, str(tmp_path)).collect()}
-    assert got == {"a.bin": (3000, hashlib.sha256(b"abc" * 1000).hexdigest())}
+    assert got == want
+    assert [r.length for r in readers.file_hashes(spark, f"file://{tmp_path}/a.bin").collect()] == [3000] and readers.file_hashes(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_interval_joins_of_a_hot_course(spark):

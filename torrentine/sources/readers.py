@@ -5,12 +5,15 @@ Every reader has a schema; files that may be absent give an empty frame of it.
 
 from __future__ import annotations
 
+import hashlib
+import os
 import struct
 from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -192,10 +195,41 @@ def shapefile(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, number long, parts array<array<struct<lon:double,lat:double>>>")
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of each file that is not empty, for manifests and their comparison; Spark passes over empty files."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+HASHED = pa.schema([("path", pa.string()), ("length", pa.int64()), ("sha256", pa.string())])
+
+
+def file_hashes(spark: SparkSession, path: str, chunk: int = 8 << 20) -> DataFrame:
+    """(path, length, sha256) of each file below a folder, or of one file, for manifests and their comparison.
+
+    Empty files are listed too; names that begin with a dot or an underscore are not, as in Spark's own readers. The listing goes through the
+    driver, a row a file; executors read a file of any size in chunks. Both open the place with ``pyarrow.fs``. A missing place gives no rows.
+    """
+    uri = path if "://" in path or path.startswith("file:") else os.path.abspath(path)
+
+    def opened() -> tuple[pafs.FileSystem, str]:
+        return pafs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file:///") else "file://" + uri[5:])
+
+    fs, root = opened()
+    one = fs.get_file_info(root)
+    found = [one] if one.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
+    shown = lambda x: not any(part[0] in "._" for part in x.path[len(root) :].split("/") if part)
+    files = sorted((x.path, x.size) for x in found if x.type == pafs.FileType.File and shown(x))
+
+    def hashed(batches):
+        fs, _ = opened()
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                sha, n = hashlib.sha256(), 0
+                with fs.open_input_stream(name) as stream:
+                    while data := stream.read(chunk):
+                        sha.update(data)
+                        n += len(data)
+                out.append((name, n, sha.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else ((), (), ()), HASHED)], schema=HASHED)
+
+    listed = spark.createDataFrame(files, "path string, length long")
+    return listed.repartition(max(1, min(len(files), 10_000))).mapInArrow(hashed, "path string, length long, sha256 string")
 
 
 def pages_by_skip(fetch: Callable[[int], tuple[list[dict], int | None]], key: str = "id", most: int = 100_000) -> list[dict]:
