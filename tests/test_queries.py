@@ -2,6 +2,7 @@
 
 import decimal
 import glob
+import math
 import os
 import re
 import unicodedata
@@ -53,6 +54,27 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
 
 
+def test_distances_and_similarities_of_waters(spark):
+    """geodesics against the sphere, on which they differ by half a percent at most; name_similarity letter by letter."""
+    from difflib import SequenceMatcher
+
+    from torrentine.plans.fixtures import waters
+
+    w = {r.slug: r for r in waters(spark, SF).collect()}
+    far = QUERIES["geodesics"](spark, SF).collect()
+    assert len(far) == len(w)
+    for r in far:
+        lat1, lat2, dlon = math.radians(45), math.radians(w[r.slug].lat), math.radians(w[r.slug].lon - 25)
+        h = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin(dlon / 2) ** 2
+        assert abs(r.m - 2 * 6371000 * math.asin(math.sqrt(h))) <= 0.006 * r.m + 1
+    before, want = {}, {}
+    for r in sorted(w.values(), key=lambda r: r.ord):
+        if r.river_group in before:
+            want[r.slug] = round(SequenceMatcher(None, r.name, before[r.river_group]).ratio(), 6)
+        before[r.river_group] = r.name
+    assert {r.slug: r.ratio for r in QUERIES["name_similarity"](spark, SF).collect()} == want
+
+
 def stripped(t):
     """Lower case without the marks of Latin letters that decompose to one ASCII letter, and without loose marks."""
     out = []
