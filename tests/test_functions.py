@@ -207,9 +207,10 @@ def test_kernels_over_columns(spark):
         kernels.fraction_udf("g", F.lit(25.1), F.lit(45.0)).alias("f"), geo.part_length_km(p).alias("long"),
     ).collect()
     parts = [np.array(line)]
-    for r in got[:2]:
-        assert np.allclose(r.at, kernels.point_at_fraction(parts, 0.5), atol=1e-6) and np.allclose(r.mid, kernels.midpoint(parts), atol=1e-6)
-        assert abs(r.f - 0.4145) < 0.001 and abs(r.km - 1 / 18.98) < 0.001
+    for r, own in zip(got, (parts, [parts[0][:2], parts[0][1:]])):  # fractions go along the parts from the north, the midpoint along them as they come
+        assert np.allclose(r.at, kernels.point_at_fraction(own, 0.5), atol=1e-6) and np.allclose(r.mid, kernels.midpoint(parts), atol=1e-6)
+        assert abs(r.f - kernels.fraction_at_point(own, 25.1, 45.0)) < 1e-9 and abs(r.km - 1 / 18.98) < 0.001
+    assert abs(got[0].f - 0.4145) < 0.001
     total = kernels.geodesic_measures(parts[0])[-1]
     assert abs(kernels.locate(parts[0], *got[0].mid)[0] - total / 2) < 1
     assert len(got[0].dense) == int(1000 * got[0].long // 1000) + 2 and got[2].mid is None and got[2].dense is None and got[3].mid is None and got[3].at is None
