@@ -7,16 +7,20 @@ nearer they stand in the tree, and of the same order as the capacities, so neigh
 odd by itself. The minimum cut is the labelling of least cost; blocks on the source's side are the text.
 
 The classifier is a logistic regression, fitted to ``html_samples.pages``: a bounded, seeded set of made-up pages whose labels are
-known. No single element or word can empty a page: a block's odds are clipped, and words in the class of an element that holds
-most of a page's text are features of their own.
+known; its weights lie in ``html_weights.json``. No single element or word can empty a page: a block's odds are clipped, and words in
+the class of an element that holds most of a page's text are features of their own. Where neither elements nor names say what a block is,
+its length, its links and its share of the page's longest run of text are weighed by themselves.
 """
 
 from __future__ import annotations
 
 import functools
 import html as html_lib
+import json
 import re
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Container
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,8 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: The rest of a tag. Quotes count as such only where a value starts; nothing is scanned twice.
 REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)*+>""")
 ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-WORD = re.compile(r"[a-z]+")
+#: Words in names; a run of letters and digits is none. A name that holds one is made up by a tool, as are those with its marks in front.
+WORD, MADE_UP = re.compile(r"[a-z]+"), re.compile(r"[a-z]\d|\d[a-z]|^(?:css|sc|jsx)-")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACES = re.compile(r"\s+")
 #: Elements whose content is no markup, elements without content, and elements whose text is not shown.
@@ -49,6 +54,11 @@ LISTS = set("ul ol dl menu table select div section article aside main nav foote
 ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "form": "form", "dialog": "dialog", "alertdialog": "dialog", "alert": "dialog", "menu": "menu", "main": "main", "article": "article"}
 #: Elements that say nothing of what stands two levels below.
 PLAIN = {"", "html", "body", "div", "section", "form"}
+#: Elements that say what stands in them.
+TELLING = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "main", "article"}
+#: On how many pages of the sample a word in a name must stand to be known, and the runs of text that make other lengths relative.
+LEAST_PAGES, LONG_RUN = 10, 150
+WEIGHTS = Path(__file__).with_name("html_weights.json")
 CUES = {
     "cookie": r"\bcookies?\b",
     "rights": r"copyright|©|all rights reserved",
@@ -61,9 +71,9 @@ CUES = {
 CUE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in CUES.items()), re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-#: Most that a block's own odds can say; smoothness of neighbours of one name in one container, of others near by, and of the rest, and
+#: Most that a block's own odds can say, with and without elements or names that tell; smoothness of neighbours of one name in one container (both links or neither), of others near by, and of the rest, and
 #: along one container over a gap. An element with more than this share of a page's text is a wrapper.
-CAP, NEAR, STEP, FAR, WITHIN, WRAPPER = 4.0, 2.0, 0.6, 0.1, 0.6, 0.6
+CAP, PLAIN_CAP, NEAR, STEP, FAR, WITHIN, WRAPPER = 4.0, 2.0, 2.0, 0.6, 0.1, 1.2, 0.6
 
 
 class Node:
@@ -214,31 +224,45 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def features(found: list[Block]) -> list[list[str]]:
-    """What the classifier sees of each block: its text, its element and the nearest ones around it, with their names."""
+def features(found: list[Block], known: Container[str]) -> list[list[str]]:
+    """What the classifier sees of each block: its text, its element and the nearest ones around it, with those of their names that are ``known``."""
     if not found:
         return []
     root = found[0].node
     while root.parent is not None:
         root = root.parent
+    longest = max(len(b.text) - b.links for b in found)
     out = []
-    for b in found:
+    homes = [id(_container(b.node)) for b in found]
+    for i, b in enumerate(found):
         node, size = b.node, len(b.text)
-        f = ["bias", f"tag:{node.tag}", f"size:{min(7, (size // 12).bit_length())}", f"links:{4 * b.links // size}", f"stops:{min(4, sum(map(b.text.count, ('. ', ', ', '? ', '! '))))}", f"end:{b.text[-1] in '.!?…”\"»:'}"]
+        words = b.text.split()
+        text = [f"size:{min(7, (size // 12).bit_length())}", f"links:{4 * b.links // size}", f"stops:{min(4, sum(map(b.text.count, ('. ', ', ', '? ', '! '))))}", f"end:{b.text[-1] in '.!?…”\"»:'}"]
+        text.append(f"low:{4 * sum(w[0].islower() for w in words) // len(words)}")
+        if longest >= LONG_RUN:
+            text.append(f"run:{min(4, (8 * (size - b.links) // longest).bit_length())}")
+        if size < 300:
+            text += {f"cue:{m.lastgroup}" for m in CUE.finditer(b.text)}
+        if node.tag in HEADINGS:  # what it heads in its container
+            after = found[i + 1] if i + 1 < len(found) and homes[i + 1] == homes[i] else None
+            text.append("heads:" + ("nothing" if after is None else "heading" if after.node.tag in HEADINGS else str(min(4, ((len(after.text) - after.links) // 24).bit_length()))))
+        f = ["bias", f"tag:{node.tag}", *text]
         if node.kind != node.tag:
             f.append(f"role:{node.kind}")
         if node.hidden:
             f.append("hidden")
-        if size < 300:
-            f += {f"cue:{m.lastgroup}" for m in CUE.finditer(b.text)}
-        up = node
+        up, told = node, False
         for _ in range(4):
             if up.parent is None:
                 break
             if up.tag not in ("body", "html"):
                 kind = "whole" if up.size > WRAPPER * root.size and up is not node else "word"
-                f += {f"{kind}:{w}" for x in up.names for w in WORD.findall(x)}
+                names = {f"{kind}:{w}" for x in up.names if not MADE_UP.search(x) for w in WORD.findall(x)}
+                f += {x for x in names if x in known}
+                told = told or up.kind in TELLING or kind == "word" and any(x in known for x in names)
             up = up.parent
+        if not told:
+            f += [f"plain-{x}" for x in text]
         if node.parent is not None:
             f.append(f"up:{node.parent.kind}")
             if node.parent.parent is not None and node.parent.parent.kind not in PLAIN:
@@ -247,12 +271,25 @@ def features(found: list[Block]) -> list[list[str]]:
     return out
 
 
-def fit(labelled, ridge: float = 1.0, rounds: int = 8) -> dict[str, float]:
+def known_names(pages: list[list[Block]]) -> set[str]:
+    """Features of words in names that stand on ``LEAST_PAGES`` pages or more."""
+    seen = Counter()
+    for found in pages:
+        nodes, words = {b.node for b in found}, set()
+        while nodes:
+            words |= {w for n in nodes for x in n.names if not MADE_UP.search(x) for w in WORD.findall(x)}
+            nodes = {n.parent for n in nodes if n.parent is not None}
+        seen.update(words)
+    return {f"{kind}:{w}" for w, n in seen.items() if n >= LEAST_PAGES for kind in ("word", "whole")}
+
+
+def fit(labelled, ridge: float = 0.2, rounds: int = 8) -> dict[str, float]:
     """Weights of a logistic regression, by Newton's method, from pages as (html, content: a set of block texts)."""
+    labelled = [(blocks(page), content) for page, content in labelled]
+    known = known_names([found for found, _ in labelled])
     rows, labels = [], []
-    for page, content in labelled:
-        found = blocks(page)
-        rows += features(found)
+    for found, content in labelled:
+        rows += features(found, known)
         labels += [b.text in content for b in found]
     names = {x: i for i, x in enumerate(sorted({x for r in rows for x in r}))}
     x, y = np.zeros((len(rows), len(names))), np.array(labels, float)
@@ -268,12 +305,14 @@ def fit(labelled, ridge: float = 1.0, rounds: int = 8) -> dict[str, float]:
 
 @functools.cache
 def fitted() -> dict[str, float]:
-    return fit(html_samples.pages())
+    """The weights that :func:`fit` gives for ``html_samples.pages()``, as stored."""
+    return json.loads(WEIGHTS.read_text())
 
 
 def scores(found: list[Block], model: dict[str, float]) -> list[float]:
-    """Log-odds of content, clipped."""
-    return [max(-CAP, min(CAP, sum(model.get(x, 0.0) for x in f))) for f in features(found)]
+    """Log-odds of content, clipped; closer where nothing but its text tells of a block, so that its neighbours decide."""
+    caps = ((f, PLAIN_CAP if any(x.startswith("plain-") for x in f) else CAP) for f in features(found, model))
+    return [max(-cap, min(cap, sum(model.get(x, 0.0) for x in f))) for f, cap in caps]
 
 
 def _container(n: Node) -> Node:
@@ -284,10 +323,11 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours in the page, next of kin within one container, and a new container with the one it stands in."""
     out, last = [], {}
     homes = [_container(b.node) for b in found]
+    linked = [2 * b.links > len(b.text) for b in found]
     for i, home in enumerate(homes):
         if i:
             prev = homes[i - 1]
-            alike = found[i - 1].node.names == found[i].node.names
+            alike = found[i - 1].node.names == found[i].node.names and linked[i - 1] == linked[i]
             w = NEAR if prev is home and alike else STEP if prev is home or prev.parent is home or home.parent is prev else FAR
             out.append((i - 1, i, w))
         if (j := last.get(id(home), i - 1)) < i - 1:
@@ -357,7 +397,7 @@ def extract(pages: DataFrame, model: dict[str, float] | None = None) -> DataFram
     A null or empty html gives an empty text. Null identifiers and addresses and repeated rows are kept;
     an empty table gives no rows; other columns are not read.
     """
-    model = fitted() if model is None else model  # a few hundred numbers, fitted once on the driver
+    model = fitted() if model is None else model  # a few hundred numbers
 
     def run(batches):
         def one():
