@@ -449,7 +449,8 @@ def test_novelty_reads_context_on_either_side():
     assert spans("q8Xk29LmZp47RtYw01Vb is my bearer credential") == ["q8Xk29LmZp47RtYw01Vb"]
     assert spans("credential kQzXvBnMwPlRtYsDfGhJ") == ["kQzXvBnMwPlRtYsDfGhJ"]
     assert spans("credential=q8Xk29LmZp47RtYw01Vb==") == ["q8Xk29LmZp47RtYw01Vb=="]
-    assert spans("q8Xk29LmZp47RtYw01Vb " + "x " * 40 + "credential") == []
+    assert spans("q8Xk29LmZp47RtYw01Vb " + "x " * 40 + "credential") == ["q8Xk29LmZp47RtYw01Vb"]  # one paragraph is one context
+    assert spans("q8Xk29LmZp47RtYw01Vb \n\n" + "x " * 40 + "credential") == []
     hexed = "session 0123456789abcdef0/Qx7LmZp47RtYw01Vb"  # a base match is part of a longer key
     assert spans(hexed) == [hexed[8:]]
 

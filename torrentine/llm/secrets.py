@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and strings in sensitive context that a primed compressor finds new.
 
-A candidate is a string of key characters with a word such as ``token`` or ``passwd`` near it, on either side or within.
+A candidate is a string of key characters in the context of a word such as ``token`` or ``passwd``: in one paragraph with it, however long, in
+one object of braces, which begins with the line that opens it, or near it across a blank line.
 zstandard measures the bytes that it adds to a frame primed with a dictionary of identifiers, and to one primed with the text
 around it; the lesser is its novelty. Names, paths and repeated text cost few bytes, a random string nearly its length. A candidate is
 reported if its novelty is a large share of its length and amounts to enough bits for a key.
@@ -37,7 +38,11 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api.?key|private.?key|access.?key|credential|bearer|authori[sz]|signature|session", re.I | re.A)
 #: Shorter strings cannot reach ``KEY_BITS``. Signs of equality stand at the end only, as padding.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.~-]{11,}={0,2}")
-#: How far from a candidate a sensitive word may stand, how much text on each side primes the compressor, from which share of its
+#: Where paragraphs part, and braces of objects.
+BLANK, BRACE = re.compile(r"\n[^\S\n]*\n"), re.compile(r"[{}]")
+#: Bits of a key that is not near the sensitive word: so many more strings stand there that short ones would be words now and then.
+WIDE_BITS = 96
+#: How near a sensitive word is near, whatever lies between, how much text on each side primes the compressor, from which share of its
 #: length on a candidate's marginal bytes are novel (fitted in the tests on planted keys and on words), and how many bits make a key.
 REACH, AROUND, NOVEL, KEY_BITS = 64, 1024, 0.7, 60
 #: Compound identifiers, their parts, in how many of them a part must stand, and the most characters of the dictionary.
@@ -143,25 +148,69 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+class Contexts:
+    """Which parts of a text stand in the context of a sensitive word; every question is a few bisections."""
+
+    def __init__(self, text: str):
+        words = [m.span() for m in SENSITIVE.finditer(text)]
+        self.text, self.starts, self.ends = text, [a for a, _ in words], [b for _, b in words]
+        self.blanks = [m.start() for m in BLANK.finditer(text)] if words else []
+        self.braces: list[int] | None = None
+        self.inner: list[tuple[int, int]] = []  # from each brace on, the innermost open object
+
+    def holds(self, start: int, end: int) -> bool:
+        """Whether a sensitive word reaches into text[start:end]."""
+        i = bisect.bisect_left(self.ends, start)
+        return i < len(self.ends) and self.starts[i] <= end
+
+    def object(self, at: int) -> tuple[int, int] | None:
+        if self.braces is None:
+            found = [(m.start(), m[0]) for m in BRACE.finditer(self.text)]
+            close, opened = {}, []
+            for p, c in found:
+                if c == "{":
+                    opened.append(p)
+                elif opened:
+                    close[opened.pop()] = p
+            self.braces, opened = [p for p, _ in found], []
+            line = last = 0
+            for p, c in found:
+                line, last = max(line, self.text.rfind("\n", last, p) + 1), p
+                if c == "{":
+                    opened.append((max(line, opened[-1][2] if opened else 0), close.get(p, len(self.text)), p))
+                elif opened:
+                    opened.pop()
+                self.inner.append(opened[-1][:2] if opened else (-1, -1))
+        i = bisect.bisect_right(self.braces, at) - 1
+        return self.inner[i] if i >= 0 and self.inner[i][0] >= 0 else None
+
+    def least_bits(self, start: int, end: int) -> float:
+        """Bits that a key needs there: ``KEY_BITS`` near a sensitive word, ``WIDE_BITS`` in one paragraph or object with it, else infinite."""
+        if self.holds(start - REACH, end + REACH):
+            return KEY_BITS
+        i = bisect.bisect_left(self.blanks, start)
+        if self.holds(self.blanks[i - 1] + 1 if i else 0, self.blanks[i] if i < len(self.blanks) else len(self.text)):
+            return WIDE_BITS
+        around = self.object(start)
+        return WIDE_BITS if around is not None and self.holds(*around) else math.inf
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], threshold: float = NOVEL, dictionary: str = "") -> list[tuple[int, int, int]]:
     """(start, kind, end) of novel candidates in sensitive context that are no part of a base match."""
-    words = [m.span() for m in SENSITIVE.finditer(text)]
-    if not words:
+    contexts = Contexts(text)
+    if not contexts.starts:
         return []
-    starts, ends = [a for a, _ in words], [b for _, b in words]
     farthest, top = [], -1  # of the base matches up to each, sorted by start, the last end
     for _, _, b in taken:
         farthest.append(top := max(top, b))
     begins, found = [a for a, _, _ in taken], []
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        i = bisect.bisect_left(ends, start - REACH)  # the first sensitive word that does not end too far before
-        if i == len(words) or starts[i] > end + REACH:
-            continue
         j = bisect.bisect_right(begins, start) - 1
         if j >= 0 and farthest[j] >= end:
             continue
-        if is_novel(text, start, end, threshold, dictionary):
+        bits = contexts.least_bits(start, end)
+        if bits < math.inf and key_bits(m[0]) >= bits and is_novel(text, start, end, threshold, dictionary):
             found.append((start, 3, end))
     return found
 
