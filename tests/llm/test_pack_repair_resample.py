@@ -8,11 +8,12 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from torrentine.llm import concat, repair, resample
-from torrentine.llm.tokens import vocabulary
+from torrentine.llm import concat, repair, resample, tokens
+from torrentine.llm.tokens import MemoEncoder, vocabulary
 
 rng = random.Random(11)
 VOCAB = ["".join(rng.choice("abcdeor") for _ in range(rng.randint(2, 6))) for _ in range(200)]
@@ -66,6 +67,35 @@ def test_concat_sequences(docs, spark):
     assert concat.concat_and_cut(docs.limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_concat_reads_ids_once(docs):
+    pieces = concat.concat_and_cut(docs, vocabulary("byte_bpe_50k.json"))
+    assert pieces._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+ODD = [*"ab'_-.,\n\t\r1", *"éÉ’中\u0301😀٣²Ⅷ\0\x7f“", "the", "'t", "'s", "'re", "'LL", " ", "  ", "\r\n", "23", "$$", "<|endof", "text|>"]
+WHOLE = ["<|endoftext|>", "\xa0", "\x85", "\x0b", "\x1c", "\u3000"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("step", [tokens.BATCH_BYTES, 500, 1])
+def test_encode_column(monkeypatch, name, step):
+    monkeypatch.setattr(tokens, "BATCH_BYTES", step)
+    r, e = random.Random(step), MemoEncoder(vocabulary(name))
+    texts = ["".join(r.choices(ODD + WHOLE * (r.random() < 0.2), k=r.randint(0, 14))) for _ in range(3000)]
+    texts += [None, "", " ", "\n\n", " \n x\n \n", "x" * 5000, "a1" * 900, prose(900, 5), None]
+    want = [e.whole(t) if t else b"" for t in texts]
+    for column in (pa.array(texts), pa.array(["cut off", *texts], pa.large_string())[1:]):
+        assert list(e.encode_column(column)) == want
+    assert list(e.encode_column(pa.array([], pa.string()))) == [] and list(e.encode_column(pa.array([None, ""]))) == [b"", b""]
+
+
+def test_encode_column_words_once():
+    e = MemoEncoder(vocabulary("byte_bpe_50k.json"))
+    texts = [" ".join(w + mark for w in VOCAB) for mark in ("", ".", ",", "!?", ");", "12")]
+    assert list(e.encode_column(pa.array(texts))) == [e.whole(t) for t in texts]
+    assert len(e.known) <= len({*VOCAB}) + 1 + 5  # the first word stands without a space too
+
+
 def brute_turns(rows):
     """Damaged rows by conversation, in order."""
     found = defaultdict(list)

@@ -36,8 +36,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         def rows():
             before = 0
-            for batch in sliced(batches):
-                for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist())):
+            for batch in batches:
+                for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_column(batch.column(1))):
                     ids += end
                     yield doc_id, part, before, len(ids) // 4, ids
                     before += len(ids) // 4
@@ -54,19 +54,6 @@ def part_offsets(table: DataFrame) -> DataFrame:
     return totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
 
 
-def placed(table: DataFrame) -> DataFrame:
-    """The encoded rows with ``at``, their place in the whole stream."""
-    bases = {r.part: r.base for r in part_offsets(table).collect()}  # one number a partition
-    shared = table.sparkSession.sparkContext.broadcast(bases)
-
-    def place(batches):
-        for batch in batches:
-            at = [shared.value[p] + b for p, b in zip(batch.column("part").to_pylist(), batch.column("before").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "at"])
-
-    return table.mapInArrow(place, "doc_id long, part int, before long, n_tokens long, ids binary, at long")
-
-
 def concat_and_cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids on demand): one row a piece.
 
@@ -76,23 +63,25 @@ def concat_and_cut(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     """
     table = materialize(encoded(docs, tokenizer, end_id), "concat-ids")
     schema = RECORDS.append(pa.field("ids", pa.list_(pa.int64()))) if with_ids else RECORDS
+    bases = {r.part: r.base for r in part_offsets(table).collect()}  # one number a partition
+    shared = table.sparkSession.sparkContext.broadcast(bases)
 
     def cut(batches):
         def rows():
             for batch in sliced(batches, 128):
-                for doc_id, ids, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "at"))):
-                    n, start = len(ids) // 4, 0
+                for doc_id, part, before, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "before", "ids"))):
+                    at, n, start = shared.value[part] + before, len(ids) // 4, 0
                     while start < n:
                         seq, offset = divmod(at + start, capacity)
                         length = min(n - start, capacity - offset)
-                        part = ids[4 * start : 4 * (start + length)]
-                        yield (doc_id, start, length, zlib.crc32(part), n, seq, offset, *([array("I", part).tolist()] if with_ids else []))
+                        piece = ids[4 * start : 4 * (start + length)]
+                        yield (doc_id, start, length, zlib.crc32(piece), n, seq, offset, *([array("I", piece).tolist()] if with_ids else []))
                         start += length
 
         yield from in_slices(rows(), schema, 512 if with_ids else 4096)
 
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return placed(table).mapInArrow(cut, columns + ", ids array<long>" * with_ids)
+    return table.mapInArrow(cut, columns + ", ids array<long>" * with_ids)
 
 
 def sequences(pieces: DataFrame, capacity: int = 1024, pad_id: int = 0) -> DataFrame:

@@ -3,7 +3,9 @@
 A byte-level or word BPE never merges across the place where white space follows something else, so
 a text is cut there and each distinct piece is encoded by the library once per worker. Texts with
 white space outside space, tab, line feed and carriage return go to the library whole, and so do texts
-that name a special token, which the library encodes as that token.
+that name a special token, which the library encodes as that token. Columns of a byte-level BPE that
+splits texts by the usual expression are cut after runs of Latin letters and of digits too, where that
+expression always ends a match, so a word is encoded once whatever follows it.
 """
 
 from __future__ import annotations
@@ -16,9 +18,12 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from torrentine.llm.common import on_idle
 
+WHITE = " \n\t\r"
 PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Unicode white space, and separators that some libraries count as such, by code point.
 RARE = (11, 12, *range(28, 32), 133, 160, 5760, 6158, *range(8192, 8204), 8232, 8233, 8239, 8287, 12288, 65279)
@@ -28,8 +33,8 @@ NOT_PLAIN = re.compile("[^{}-{}{}-{}]".format(*map(chr, (0, 303, 305, 383))))
 #: Most pieces a worker remembers (about 200 bytes each), and the longest.
 MEMO_PIECES, MEMO_CHARS = 1_000_000, 64
 
-#: Texts whose unknown pieces are encoded together.
-BATCH_TEXTS = 256
+#: Texts whose unknown pieces are encoded together; of columns, bytes of texts (or one text that is longer).
+BATCH_TEXTS, BATCH_BYTES = 256, 4 << 20
 
 #: Seconds without a text after which a worker forgets its pieces.
 IDLE_S = 8.0
@@ -37,6 +42,16 @@ IDLE_S = 8.0
 _loaded: dict[tuple[str, bool], "MemoEncoder"] = {}
 
 
+def _cuts(fine: bool) -> tuple[bytes, bytes]:
+    """Two tables of bits by byte: a text is cut between two bytes that share a bit, the first by table one, the second by table two."""
+    before, after = bytearray(256), bytearray(256)
+    for b in range(256):
+        space, letter, digit = b in b" \n\t\r", b < 128 and chr(b).isalpha(), b in b"0123456789"
+        before[b] = 0 if space else 1 | 2 * letter * fine | 4 * digit * fine
+        after[b] = 1 if space else 6 * (b < 128) & ~(2 * letter | 4 * digit)
+    return bytes(before), bytes(after)
+
+
 class MemoEncoder:
     """Encodes texts to ids as little-endian uint32 bytes.
 
@@ -65,6 +80,11 @@ class MemoEncoder:
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.drops_space = ids(" a\nb ") == ids("a") + ids("b")
         self.lowers = self.drops_space and "Lowercase" in kinds and {*kinds} <= {"Sequence", "NFC", "Replace", "Lowercase"}
+        split = spec.get("pre_tokenizer") or {}
+        usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        #: Whether texts are split by the usual expression of byte-level BPE and by nothing else.
+        self.fine = usual and not spec.get("normalizer") and not any(c in t["content"] for t in added for c in WHITE)
+        self.cuts = _cuts(self.fine)
         end = spec["model"].get("end_of_word_suffix") or ""
         vocab = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -81,27 +101,40 @@ class MemoEncoder:
             text = text.lower()
         return text.split()
 
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of different pieces. Joined pieces must keep their borders, so one without white space before it goes alone."""
-        if self.drops_space:
-            alone, joint, text = [p for p in pieces if NOT_PLAIN.search(p)], [p for p in pieces if not NOT_PLAIN.search(p)], " "
-        else:
-            alone, joint, text = [p for p in pieces if p[0] not in " \n\t\r"], [p for p in pieces if p[0] in " \n\t\r" and p[-1] not in " \n\t\r"], ""
-            alone += [p for p in pieces if p[0] in " \n\t\r" and p[-1] in " \n\t\r"]
-        found = {p: self.whole(p) for p in alone}
-        if joint:
-            [e] = self.tokenizer.encode_batch_fast([text.join(joint)], add_special_tokens=False)
-            ids = np.array(e.ids, np.uint32)
-            ends = np.cumsum(np.fromiter((len(p.encode()) for p in joint), np.int64, len(joint)))
-            at = np.cumsum(self.n_bytes[ids])
-            cut = np.searchsorted(at, ends)
-            if len(ids) and at[-1] == ends[-1] and (at[cut] == ends).all():
-                raw, cut = ids.tobytes(), (4 * (cut + 1)).tolist()
-                found.update(zip(joint, (raw[a:b] for a, b in zip([0, *cut], cut))))
+    def _encode_pieces(self, pieces: list[str], fine: bool = False) -> dict[str, bytes]:
+        """Ids of different pieces. Joined pieces must keep their borders, so one without white space before it goes alone, or where cuts are ``fine`` with a line feed after it."""
+        alone, joint, lines = [], [], []
+        for p in pieces:
+            if self.drops_space:
+                (alone if NOT_PLAIN.search(p) else joint).append(p)
+            elif p[-1] in WHITE:
+                alone.append(p)
             else:
-                found.update((p, self.whole(p)) for p in joint)
+                (joint if p[0] in WHITE else lines if fine else alone).append(p)
+        found = {p: self.whole(p) for p in alone}
+        found.update(self._encode_joint(joint, " " if self.drops_space else ""))
+        if lines:
+            found.update(self._encode_joint(lines, "\n", self.whole("\n")))
         return found
 
+    def _encode_joint(self, joint: list[str], text: str, after: bytes = b"") -> Iterator[tuple[str, bytes]]:
+        """Each piece and its ids, from one call over all, with ``text`` between them. ``after`` has the ids of that text, if it has any."""
+        if not joint:
+            return
+        [e] = self.tokenizer.encode_batch_fast([text.join(joint) + text * bool(after)], add_special_tokens=False)
+        ids, more = np.array(e.ids, np.uint32), len(text) * bool(after)
+        ends = np.cumsum(np.fromiter((len(p.encode()) + more for p in joint), np.int64, len(joint)))
+        at = np.cumsum(self.n_bytes[ids])
+        cut = np.searchsorted(at, ends)
+        raw, cut = ids.tobytes(), (4 * (cut + 1)).tolist() if len(ids) and at[-1] == ends[-1] and (at[cut] == ends).all() else []
+        if cut and all(raw.startswith(after, b - len(after)) for b in cut):
+            yield from zip(joint, (raw[a : b - len(after)] for a, b in zip([0, *cut], cut)))
+        else:
+            yield from ((p, self.whole(p)) for p in joint)
+
+    def _goes_whole(self, text: str) -> bool:
+        return bool(RARE_SPACE.search(text) or any(name in text for name in self.added) or self.loose and self.loose(text))
+
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text; none for null. Holds those of ``BATCH_TEXTS`` at a time."""
         for at in range(0, len(texts), BATCH_TEXTS):
@@ -113,7 +146,7 @@ class MemoEncoder:
         for text in texts:
             if not text:
                 rows.append(b"")
-            elif RARE_SPACE.search(text) or any(name in text for name in self.added) or self.loose and self.loose(text):
+            elif self._goes_whole(text):
                 rows.append(self.whole(text))
             else:
                 pieces = self._pieces(text)
@@ -123,8 +156,7 @@ class MemoEncoder:
                 rows.append((ids, [(i, pieces[i]) for i in holes]))
         if unknown:
             unknown = self._encode_pieces(list(unknown))
-            if len(self.known) < self.most:
-                self.known.update((p, x) for p, x in unknown.items() if len(p) <= MEMO_CHARS)
+            self._remember(unknown)
         out = []
         for row in rows:
             if not isinstance(row, bytes):
@@ -135,6 +167,64 @@ class MemoEncoder:
             out.append(row)
         return out
 
+    def _remember(self, found: dict[str, bytes]) -> None:
+        if len(self.known) < self.most:
+            self.known.update((p, x) for p, x in found.items() if len(p) <= MEMO_CHARS)
+
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """What ``encode_all`` gives for the texts of a column. Pieces are parted and told apart in Arrow, so Python sees each once in ``BATCH_BYTES``."""
+        if self.drops_space:
+            yield from self.encode_all(texts.to_pylist())
+            return
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right")))
+            yield from self._encode_step(texts.slice(at, to - at).to_pylist())
+            at = to
+
+    def _encode_step(self, texts: list[str | None]) -> list[bytes]:
+        self.used = time.monotonic()
+        out, plain = [b""] * len(texts), {}
+        for i, text in enumerate(texts):
+            if text and self._goes_whole(text):
+                out[i] = self.whole(text)
+            elif text:
+                plain[i] = text.encode()
+        if not plain:
+            return out
+        pieces, ends = self._parted(list(plain.values()))
+        starts, raw = np.frombuffer(pieces.dictionary.buffers()[1], np.int64).tolist(), pieces.dictionary.buffers()[2].to_pybytes()
+        words = [str(raw[a:b], "utf-8") for a, b in zip(starts, starts[1 : len(pieces.dictionary) + 1])]
+        ids = list(map(self.known.get, words))
+        if holes := [i for i, x in enumerate(ids) if x is None]:
+            unknown = self._encode_pieces([words[i] for i in holes], self.fine)
+            self._remember(unknown)
+            for i in holes:
+                ids[i] = unknown[words[i]]
+        # the ids of each piece lie in ``flat``; those of the texts are gathered from there
+        flat, which = np.frombuffer(b"".join(ids), np.uint32), pieces.indices.to_numpy()
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, n = (np.cumsum(lengths) - lengths)[which], lengths[which]
+        after = np.cumsum(n)
+        gathered = flat[np.repeat(first - after + n, n) + np.arange(after[-1])]
+        cut = [0, *after[ends - 1].tolist()]
+        for i, a, b in zip(plain, cut, cut[1:]):
+            out[i] = gathered[a:b].tobytes()
+        return out
+
+    def _parted(self, texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The pieces of texts that are not empty, one after the other, and how many there are up to each text's end."""
+        data = b"".join(texts)
+        before, after = (np.frombuffer(data.translate(t), np.uint8) for t in self.cuts)
+        border = np.zeros(len(data) + 1, bool)
+        border[1:-1] = before[:-1] & after[1:]
+        ends = np.cumsum([len(x) for x in texts])
+        border[[0, *ends]] = True
+        at = np.flatnonzero(border)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+        return pieces.dictionary_encode(), np.searchsorted(at, ends)
+
     def encode(self, text: str | None) -> bytes:
         return self._encode_some([text])[0]
 
