@@ -83,7 +83,8 @@ class MemoEncoder:
         split = spec.get("pre_tokenizer") or {}
         usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
         #: Whether texts are split by the usual expression of byte-level BPE and by nothing else.
-        self.fine = usual and not spec.get("normalizer") and not any(c in t["content"] for t in added for c in WHITE)
+        self.fine = usual and not spec.get("normalizer") and not any(c in t["content"] for t in added for c in WHITE) and len(ids("\n")) == 1
+        self.line_id = ids("\n")[0] if self.fine else None
         self.cuts = _cuts(self.fine)
         end = spec["model"].get("end_of_word_suffix") or ""
         vocab = self.tokenizer.get_vocab()
@@ -101,36 +102,36 @@ class MemoEncoder:
             text = text.lower()
         return text.split()
 
-    def _encode_pieces(self, pieces: list[str], fine: bool = False) -> dict[str, bytes]:
-        """Ids of different pieces. Joined pieces must keep their borders, so one without white space before it goes alone, or where cuts are ``fine`` with a line feed after it."""
-        alone, joint, lines = [], [], []
-        for p in pieces:
-            if self.drops_space:
-                (alone if NOT_PLAIN.search(p) else joint).append(p)
-            elif p[-1] in WHITE:
-                alone.append(p)
-            else:
-                (joint if p[0] in WHITE else lines if fine else alone).append(p)
-        found = {p: self.whole(p) for p in alone}
-        found.update(self._encode_joint(joint, " " if self.drops_space else ""))
-        if lines:
-            found.update(self._encode_joint(lines, "\n", self.whole("\n")))
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of different pieces. Joined pieces must keep their borders, so one without white space before it goes alone."""
+        if self.drops_space:
+            alone, joint, text = [p for p in pieces if NOT_PLAIN.search(p)], [p for p in pieces if not NOT_PLAIN.search(p)], " "
+        else:
+            alone, joint, text = [p for p in pieces if p[0] not in WHITE], [p for p in pieces if p[0] in WHITE and p[-1] not in WHITE], ""
+            alone += [p for p in pieces if p[0] in WHITE and p[-1] in WHITE]
+        found = self._encode_joint(joint, text) if joint else {}
+        found.update((p, self.whole(p)) for p in alone)
         return found
 
-    def _encode_joint(self, joint: list[str], text: str, after: bytes = b"") -> Iterator[tuple[str, bytes]]:
-        """Each piece and its ids, from one call over all, with ``text`` between them. ``after`` has the ids of that text, if it has any."""
-        if not joint:
-            return
-        [e] = self.tokenizer.encode_batch_fast([text.join(joint) + text * bool(after)], add_special_tokens=False)
-        ids, more = np.array(e.ids, np.uint32), len(text) * bool(after)
-        ends = np.cumsum(np.fromiter((len(p.encode()) + more for p in joint), np.int64, len(joint)))
+    def _encode_fine(self, pieces: list[str]) -> dict[str, bytes]:
+        """The same of pieces that are cut finely: those without white space before them are joined too, with a line feed after each, which is an id of its own there."""
+        found = self._encode_pieces([p for p in pieces if p[0] in WHITE])
+        if lines := [p for p in pieces if p[0] not in WHITE]:
+            found.update(self._encode_joint(lines, "\n", self.line_id))
+        return found
+
+    def _encode_joint(self, joint: list[str], text: str, after: int | None = None) -> dict[str, bytes]:
+        """Ids of pieces from one call over all, with ``text`` between them; with ``after``, its id, also at the end."""
+        more = after is not None
+        [e] = self.tokenizer.encode_batch_fast([text.join(joint) + text * more], add_special_tokens=False)
+        ids = np.array(e.ids, np.uint32)
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in joint), np.int64, len(joint))) + more * np.arange(1, len(joint) + 1)
         at = np.cumsum(self.n_bytes[ids])
         cut = np.searchsorted(at, ends)
-        raw, cut = ids.tobytes(), (4 * (cut + 1)).tolist() if len(ids) and at[-1] == ends[-1] and (at[cut] == ends).all() else []
-        if cut and all(raw.startswith(after, b - len(after)) for b in cut):
-            yield from zip(joint, (raw[a : b - len(after)] for a, b in zip([0, *cut], cut)))
-        else:
-            yield from ((p, self.whole(p)) for p in joint)
+        if len(ids) and at[-1] == ends[-1] and (at[cut] == ends).all() and not (more and (ids[cut] != after).any()):
+            raw, cut = ids.tobytes(), (4 * (cut + 1)).tolist()
+            return dict(zip(joint, (raw[a : b - 4 * more] for a, b in zip([0, *cut], cut))))
+        return {p: self.whole(p) for p in joint}
 
     def _goes_whole(self, text: str) -> bool:
         return bool(RARE_SPACE.search(text) or any(name in text for name in self.added) or self.loose and self.loose(text))
@@ -198,7 +199,7 @@ class MemoEncoder:
         words = [str(raw[a:b], "utf-8") for a, b in zip(starts, starts[1 : len(pieces.dictionary) + 1])]
         ids = list(map(self.known.get, words))
         if holes := [i for i, x in enumerate(ids) if x is None]:
-            unknown = self._encode_pieces([words[i] for i in holes], self.fine)
+            unknown = (self._encode_fine if self.fine else self._encode_pieces)([words[i] for i in holes])
             self._remember(unknown)
             for i in holes:
                 ids[i] = unknown[words[i]]
