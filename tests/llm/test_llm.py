@@ -12,7 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from torrentine.llm import components, decontam, html_cut, html_samples, packing, quality, secrets, separators, simhash, sstable, substring, warc
-from torrentine.llm.tokens import encoder, vocabulary
+from torrentine.llm.tokens import MemoEncoder, encoder, vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, start long, fp string, g string"
 rng = random.Random(7)
@@ -535,6 +535,17 @@ def test_sstable(docs, empty):
     assert sstable.token_id_table(empty, vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_sstable_encodes_columns(docs, monkeypatch):
+    def columns_only(path):
+        e = MemoEncoder(path)
+        e.encode_all = None
+        return e
+
+    want = as_counter(sstable.token_id_table(docs, vocabulary("byte_bpe_50k.json")).collect())
+    monkeypatch.setattr(sstable, "encoder", columns_only)
+    assert as_counter(sstable.token_id_table(docs, vocabulary("byte_bpe_50k.json")).collect()) == want
+
+
 def test_sstable_lookup(tmp_path):
     w = sstable.Writer(str(tmp_path / "s.sst"), block_bytes=200)
     data = [(None, b""), *((i * 7 - 300, struct.pack("<3I", i, 70000 + i, 2)) for i in range(200)), (5000, b"\1\0\0\0"), (5000, b"\2\0\0\0")]

@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from torrentine.llm.common import AtomicFile, id_text, in_slices, open_fs, scratch_path, sliced
-from torrentine.llm.tokens import encoder
+from torrentine.llm.common import AtomicFile, id_text, in_slices, keep_tidy, open_fs, scratch_path
+from torrentine.llm.tokens import MemoEncoder, encoder
 
 MAGIC = b"TORRSST1"
 FOOTER = struct.Struct("<QIQIIQQI8s")  # index at, length; bloom at, length, hashes; documents; ids; crc of index+bloom; magic
@@ -186,6 +186,14 @@ class Reader:
 MANIFEST = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
+def encoded(batches: Iterator[pa.RecordBatch], enc: MemoEncoder, end: bytes) -> Iterator[tuple[int | None, bytes]]:
+    """Identifiers and ids, ``end`` after those of each text, of batches of (doc_id, text); encoded by columns, so a word is looked up once in some megabytes."""
+    keep_tidy()
+    for batch in batches:
+        for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_column(batch.column(1))):
+            yield doc_id, ids + end
+
+
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 2, shard_bytes: int = 64 << 20, block_bytes: int = 1 << 17) -> list[tuple[str, int, int]]:
     """Encode whole texts and write shards in ascending ``doc_id`` order; returns (path, documents, ids) of each shard in order.
 
@@ -198,15 +206,13 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
 
     def write(batches):
         part, enc, shard, seq, held = TaskContext.get().partitionId(), encoder(tokenizer), None, 0, 0
-        for batch in sliced(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist())):
-                ids += end
-                if shard is not None and held + len(ids) > shard_bytes:
-                    yield from in_slices(iter([(part, seq, *shard.close())]), MANIFEST)
-                    shard, seq, held = None, seq + 1, 0
-                shard = shard or Writer(f"{path}/shard-{part:06d}-{seq:05d}.sst", block_bytes)
-                shard.add(doc_id, ids)
-                held += len(ids)
+        for doc_id, ids in encoded(batches, enc, end):
+            if shard is not None and held + len(ids) > shard_bytes:
+                yield from in_slices(iter([(part, seq, *shard.close())]), MANIFEST)
+                shard, seq, held = None, seq + 1, 0
+            shard = shard or Writer(f"{path}/shard-{part:06d}-{seq:05d}.sst", block_bytes)
+            shard.add(doc_id, ids)
+            held += len(ids)
         if shard is not None:
             yield from in_slices(iter([(part, seq, *shard.close())]), MANIFEST)
 
