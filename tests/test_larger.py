@@ -27,3 +27,9 @@ def test_flow_edges_of_ways_of_several_users(spark, tmp_path):
     events = f"select * replace (case when user_id = 0 then event_id % 1000 + 100000 else event_id % 1000 end as event_id, user_id % 2 as user_id) from ({of('events', 'event_id < 40000 and user_id < 2')})"
     got, want = both(spark, tmp_path, "flow_edges", events=events)
     assert got == want and any(r[1] > 1 for r in got)
+
+
+def test_near_join_at_its_limit(spark, tmp_path):
+    """A pair 5000 metres and a bit apart, 5000 when rounded, which is what SQL compares."""
+    got, want = both(spark, tmp_path, "near_join", supplier=of("supplier", "s_suppkey = 180"), customer=of("customer", "c_custkey in (1127, 7)"), nation=of("nation"))
+    assert got == want and len(got) == 1
