@@ -33,3 +33,15 @@ def test_near_join_at_its_limit(spark, tmp_path):
     """A pair 5000 metres and a bit apart, 5000 when rounded, which is what SQL compares."""
     got, want = both(spark, tmp_path, "near_join", supplier=of("supplier", "s_suppkey = 180"), customer=of("customer", "c_custkey in (1127, 7)"), nation=of("nation"))
     assert got == want and len(got) == 1
+
+
+def keyed(table, column, keys, shift):
+    """Rows of sf0.1 under larger keys."""
+    return " union all ".join(f"select * replace ({k}::bigint as {column}) from ({of(table, f'{column} = {k % shift}')})" for k in keys)
+
+
+def test_lake_intervals_where_a_cut_is_missed(spark, tmp_path):
+    """Courses through a corner of a lake at which the cut is missed: the place at the middle of what is left tells, in SQL and in Spark."""
+    suppliers, waters = keyed("supplier", "s_suppkey", (5626, 5597, 5186, 5901), 1000), keyed("customer", "c_custkey", (13204, 49879, 54164, 13429), 15000)
+    got, want = both(spark, tmp_path, "lake_intervals", supplier=suppliers, customer=waters, nation=of("nation"))
+    assert got == want and len(got) >= 4
