@@ -2,6 +2,7 @@
 
 import duckdb
 from test_queries import rows
+from torrentine.operators import joins
 from torrentine.plans import registry
 
 SF = "/root/testdata/sf0.1"
@@ -45,3 +46,42 @@ def test_lake_intervals_where_a_cut_is_missed(spark, tmp_path):
     suppliers, waters = keyed("supplier", "s_suppkey", (5626, 5597, 5186, 5901), 1000), keyed("customer", "c_custkey", (13204, 49879, 54164, 13429), 15000)
     got, want = both(spark, tmp_path, "lake_intervals", supplier=suppliers, customer=waters, nation=of("nation"))
     assert got == want and len(got) >= 4
+
+
+def most_rows(df):
+    """The most rows that an operator of the query gives out."""
+    df.collect()
+
+    def walk(node):
+        for inner in ("executedPlan", "plan", "child"):  # adaptive plans and their stages keep theirs apart
+            if node.getClass().getSimpleName() in ("AdaptiveSparkPlanExec", "ShuffleQueryStageExec", "BroadcastQueryStageExec") and inner != "child":
+                try:
+                    return walk(getattr(node, inner)())
+                except Exception:  # noqa: BLE001
+                    continue
+        rows_ = node.metrics().get("numOutputRows")
+        mine = rows_.get().value() if rows_.isDefined() else 0
+        children = node.children()
+        return max([mine, *[walk(children.apply(i)) for i in range(children.size())]])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_tiered_match_makes_no_pairs_of_a_key(spark):
+    n = 2000
+    left = spark.range(n).selectExpr("id", "'k' as key", "id % 7 as k7")
+    tiers = [joins.keyed_tier(left, "id", "key", spark.range(n).selectExpr("id as o", "'none' as k"), "o", "k"), joins.keyed_tier(left, "id", "k7", spark.range(n).selectExpr("id as o", "id % 5 + 3 * (id div 5) as k"), "o", "k")]
+    many = joins.keyed_tier(left, "id", "key", spark.range(n).selectExpr("id as o", "'k' as k"), "o", "k")
+    out = joins.tiered_match(left, "id", [tiers[0], tiers[1], many])
+    got = {(r.id % 7, r.match, r.tier, r.status) for r in out.collect()}
+    count = {k: [o for o in range(n) if o % 5 + 3 * (o // 5) == k] for k in range(7)}
+    assert got == {(k, c[0] if len(c) == 1 else None, 2, "matched" if len(c) == 1 else "ambiguous") for k, c in count.items()}
+    assert most_rows(out) <= 6 * n
+
+
+def test_tiered_match_query_makes_no_pairs_of_a_key(spark, tmp_path):
+    """All waters in one group: 2000 on the left, some hundred on the right."""
+    customers = f"select * replace (c_custkey * 140 * 90 as c_custkey) from ({of('customer', 'c_custkey < 2000')})"
+    got, want = both(spark, tmp_path, "tiered_match", customer=customers, nation=of("nation"))
+    assert got == want
+    assert most_rows(QUERIES["tiered_match"](spark, str(tmp_path))) <= 6000

@@ -95,6 +95,12 @@ def best_by(rows: DataFrame, key: str, value: str, *order: Column) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(key, value)
 
 
+def keyed_tier(left: DataFrame, left_id: str, key: str, right: DataFrame, right_id: str, right_key: str) -> DataFrame:
+    """A tier of (left_id, match) by equal keys: of a key's rows on the right the least and the greatest, which tell whether it has one and which."""
+    ends = right.groupBy(F.col(right_key).alias("_k")).agg(F.array_distinct(F.array(F.min(right_id), F.max(right_id))).alias("m"))
+    return left.join(ends, F.col(key) == F.col("_k")).select(left_id, F.explode("m").alias("match"))
+
+
 def tiered_match(left: DataFrame, left_id: str, tiers: list[DataFrame]) -> DataFrame:
     """(left_id, match, tier, status) from tiers of (left_id, match): the first tier with any hit decides.
 

@@ -96,8 +96,8 @@ def token_overlap_join(spark, sf_dir):
 def tiered_match(spark, sf_dir):
     w = waters(spark, sf_dir)
     left = w.where("ord % 2 = 0")
-    one = left.join(w.where("ord % 7 = 3").select(F.col("slug").alias("match"), F.col("name").alias("n2")), F.col("name") == F.col("n2")).select("slug", "match")
-    two = left.join(w.where("ord % 7 = 4").select(F.col("slug").alias("match"), F.col("river_group").alias("g2")), F.col("river_group") == F.col("g2")).select("slug", "match")
+    one = joins.keyed_tier(left, "slug", "name", w.where("ord % 7 = 3").select(F.col("slug").alias("other"), F.col("name").alias("n2")), "other", "n2")
+    two = joins.keyed_tier(left, "slug", "river_group", w.where("ord % 7 = 4").select(F.col("slug").alias("other"), F.col("river_group").alias("g2")), "other", "g2")
     return joins.tiered_match(left, "slug", [one, two])
 
 
