@@ -85,3 +85,12 @@ def test_tiered_match_query_makes_no_pairs_of_a_key(spark, tmp_path):
     got, want = both(spark, tmp_path, "tiered_match", customer=customers, nation=of("nation"))
     assert got == want
     assert most_rows(QUERIES["tiered_match"](spark, str(tmp_path))) <= 6000
+
+
+def test_contract_at_asks_equal_places_and_intervals_once(spark, tmp_path):
+    """Clicks on one river at one place, and contracts with one interval."""
+    customers = f"select * replace (c_custkey * 140 * 800 + 1 as c_custkey) from ({of('customer', 'c_custkey < 500')})"
+    orders = f"select * replace (o_orderkey * 150 * 997 + 1 as o_orderkey) from ({of('orders', 'o_orderkey < 2000')})"
+    got, want = both(spark, tmp_path, "contract_at_click", customer=customers, nation=of("nation"), orders=orders)
+    assert got == want
+    assert most_rows(QUERIES["contract_at_click"](spark, str(tmp_path))) <= 4000

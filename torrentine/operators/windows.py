@@ -40,13 +40,14 @@ def contract_intervals(rows: DataFrame, group: str, order: str) -> DataFrame:
 def contract_at(clicks: DataFrame, rows: DataFrame, group: str, order: str, item: str = "slug") -> DataFrame:
     """clicks (group, frac) with the contract there: the shortest stated interval that holds it, else the Voronoi owner; none in groups of one."""
     v = voronoi(rows, group, order, open_ends=True).where("n_group > 1").select(F.col(group).alias("_g"), F.col(item).alias("_i"), F.col(order).alias("_o"), "i_rank", "v_from", "v_to", F.col("sector_start").cast("double").alias("_s"), F.col("sector_end").cast("double").alias("_e"))
-    stated = v.select("_g", "_i", "_o", F.lit(None).cast("int").alias("_r"), F.col("_s").alias("_from"), F.col("_e").alias("_to"))
-    owned = v.select("_g", "_i", "_o", F.col("i_rank").alias("_r"), F.col("v_from").alias("_from"), F.col("v_to").alias("_to"))
-    hit = holding(clicks, stated.unionByName(owned), group, "frac", "_g", "_from", "_to")
-    by_stated = F.when(F.col("_g").isNotNull() & F.col("_r").isNull(), F.struct((F.col("_to") - F.col("_from")).alias("len"), "_o", "_i"))
-    by_owned = F.when(F.col("_r").isNotNull(), F.struct("_r", "_o", "_i"))
-    best = hit.groupBy(*clicks.columns).agg(F.min(by_stated).alias("_st"), F.min(by_owned).alias("_ow"))
-    return best.select(*clicks.columns, F.coalesce("_st._i", "_ow._i").alias(item))
+    # of equal intervals only the first can be picked, and places of a group are asked once each
+    stated = v.where("_s < _e").groupBy("_g", F.col("_s").alias("_from"), F.col("_e").alias("_to")).agg(F.min(F.struct("_o", "_i")).alias("_st"))
+    owned = v.where("v_from < v_to").groupBy("_g", F.col("v_from").alias("_from"), F.col("v_to").alias("_to")).agg(F.min(F.struct("i_rank", "_o", "_i")).alias("_ow"))
+    places = clicks.select(group, "frac").distinct()
+    hit = holding(places, stated.unionByName(owned, allowMissingColumns=True), group, "frac", "_g", "_from", "_to")
+    by_stated = F.when(F.col("_st").isNotNull(), F.struct((F.col("_to") - F.col("_from")).alias("len"), "_st"))
+    best = hit.groupBy(F.col(group).alias("_bg"), F.col("frac").alias("_bf")).agg(F.min(by_stated).alias("_s"), F.min("_ow").alias("_w")).select("_bg", "_bf", F.coalesce("_s._st._i", "_w._i").alias(item))
+    return clicks.join(best, F.col(group).eqNullSafe(F.col("_bg")) & F.col("frac").eqNullSafe(F.col("_bf"))).select(*clicks.columns, item)
 
 
 def running(rows: DataFrame, partition: list[str], order: list, value: Column, name: str) -> DataFrame:
