@@ -94,3 +94,14 @@ def test_contract_at_asks_equal_places_and_intervals_once(spark, tmp_path):
     got, want = both(spark, tmp_path, "contract_at_click", customer=customers, nation=of("nation"), orders=orders)
     assert got == want
     assert most_rows(QUERIES["contract_at_click"](spark, str(tmp_path))) <= 4000
+
+
+def test_same_body_compares_neighbours(spark, tmp_path):
+    """Waters of one kind and county: boxes are compared within cells; those without a box go with every one that has."""
+    customers = f"select * replace (c_custkey * 3 as c_custkey, 1 as c_nationkey) from ({of('customer', 'c_custkey < 1500')})"
+    got, want = both(spark, tmp_path, "same_body", customer=customers, nation=of("nation"))
+    assert got == want and len(got) > 100_000  # of 88 without a box
+    boxed = f"{customers} where c_custkey % 17 > 0"
+    got, want = both(spark, tmp_path, "same_body", customer=boxed, nation=of("nation"))
+    assert got == want and len(got) > 10
+    assert most_rows(QUERIES["same_body"](spark, str(tmp_path))) <= 30_000
