@@ -105,3 +105,10 @@ def test_same_body_compares_neighbours(spark, tmp_path):
     got, want = both(spark, tmp_path, "same_body", customer=boxed, nation=of("nation"))
     assert got == want and len(got) > 10
     assert most_rows(QUERIES["same_body"](spark, str(tmp_path))) <= 30_000
+
+
+def test_reservoir_courses_of_far_keys(spark, tmp_path):
+    """Customers 400 000 apart: each has its own lake only."""
+    keys = [k + i * 400_000 for k in range(40, 72) for i in (0, 1, 2, 13)]
+    got, want = both(spark, tmp_path, "reservoir_courses", customer=keyed("customer", "c_custkey", keys, 15000), nation=of("nation"))
+    assert got == want and len(got) > 120
