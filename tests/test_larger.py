@@ -1,8 +1,13 @@
 """Queries on tables with the keys of larger ones, against their SQL in DuckDB."""
 
+import time
+
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 from test_queries import rows
-from torrentine.operators import joins
+from torrentine.functions import kernels
+from torrentine.operators import joins, repairs
 from torrentine.plans import registry
 
 SF = "/root/testdata/sf0.1"
@@ -112,3 +117,28 @@ def test_reservoir_courses_of_far_keys(spark, tmp_path):
     keys = [k + i * 400_000 for k in range(40, 72) for i in (0, 1, 2, 13)]
     got, want = both(spark, tmp_path, "reservoir_courses", customer=keyed("customer", "c_custkey", keys, 15000), nation=of("nation"))
     assert got == want and len(got) > 120
+
+
+def test_distances_of_lines_without_a_call_a_place():
+    """Many points against many lines in a second; equal lines are known at once."""
+    rnd = np.random.default_rng(5)
+    lines = [np.round(rnd.random((67, 2)) * [0.02, 0.01], 4) for _ in range(40)]
+    lines[3][20] = lines[3][19]  # a step of no length
+    started = time.perf_counter()
+    near = [[kernels.near_line(kernels.sampled(a), b, 0.0008) for b in lines] for a in lines]
+    for a, row in zip(lines[:8], near):
+        for b, got in zip(lines[:8], row):
+            assert got.tolist() == [kernels._project(b, *x)[0] <= 0.0008 for x in kernels.sampled(a)]
+    far = [kernels.hausdorff_m(a * 20, a * 20) for a in lines]
+    assert far == [0.0] * 40 and time.perf_counter() - started < 3
+    a, b = lines[0] * 5, lines[1] * 5
+    p, q = kernels.resample(a, 50.0), kernels.resample(b, 50.0)
+    d = kernels._pairwise_m(p, q)
+    assert abs(kernels.hausdorff_m(a, b) - max(d.min(axis=0).max(), d.min(axis=1).max())) < 1e-9
+
+
+def test_near_share_of_empty_and_missing_lines(spark):
+    line = "array<struct<lon:double,lat:double>>"
+    rows_ = spark.createDataFrame([(0, [(0.0, 0.0), (1.0, 0.0)], [(0.0, 0.0), (1.0, 0.0)]), (1, None, [(0.0, 0.0), (1.0, 0.0)]), (2, [], [(0.0, 0.0), (1.0, 0.0)]), (3, [(0.0, 0.0)], [(0.0, 0.0)]), (4, [(0.5, 0.0), (0.5, 9.0)], [(0.0, 0.0), (1.0, 0.0)])], f"id int, a {line}, b {line}")
+    got = {r.id: tuple(r.s) for r in rows_.select("id", repairs.near_share("a", "b", F.lit(0.001)).alias("s")).collect()}
+    assert got == {0: (1.0, True), 1: (0.0, False), 2: (0.0, False), 3: (0.0, False), 4: (0.5, False)}
