@@ -142,3 +142,30 @@ def test_near_share_of_empty_and_missing_lines(spark):
     rows_ = spark.createDataFrame([(0, [(0.0, 0.0), (1.0, 0.0)], [(0.0, 0.0), (1.0, 0.0)]), (1, None, [(0.0, 0.0), (1.0, 0.0)]), (2, [], [(0.0, 0.0), (1.0, 0.0)]), (3, [(0.0, 0.0)], [(0.0, 0.0)]), (4, [(0.5, 0.0), (0.5, 9.0)], [(0.0, 0.0), (1.0, 0.0)])], f"id int, a {line}, b {line}")
     got = {r.id: tuple(r.s) for r in rows_.select("id", repairs.near_share("a", "b", F.lit(0.001)).alias("s")).collect()}
     assert got == {0: (1.0, True), 1: (0.0, False), 2: (0.0, False), 3: (0.0, False), 4: (0.5, False)}
+
+
+def test_match_lakes_scores_names_once(spark):
+    """Many waters of few names; a water whose best name is far takes the next one that is near."""
+    from difflib import SequenceMatcher
+
+    rnd = np.random.default_rng(2)
+    names = ["apa mare", "apa mare de sus", "apa mica", "balta", "balta alba", "balti", "apa mara"]
+    w = [(i, names[i % 7], float(x), float(y)) for i, (x, y) in enumerate(rnd.random((120, 2)) * [0.9, 0.6] + [24, 45])]
+    lakes = [(i, names[int(k)], float(x), float(y), bool(i % 3 == 0), float(i % 4)) for i, (x, y, k) in enumerate(rnd.random((60, 3)) * [0.9, 0.6, 7] + [24, 45, 0])]
+    a, b = spark.createDataFrame(w, "id int, name_key string, lon double, lat double"), spark.createDataFrame(lakes, "lake int, name_key string, lon double, lat double, is_dam boolean, area_ha double")
+
+    def score(x, y):
+        p, q = set(x.split()), set(y.split())
+        words, letters = len(p & q) / max(len(p), len(q)), SequenceMatcher(None, x, y).ratio()
+        return max([s for s in (words * (words >= 0.6), letters * (letters >= 0.8 and x.split()[0] == y.split()[0])) if s] or [0])
+
+    want = {}
+    for i, n, x, y in w:
+        rank = [(score(n, m), not dam, -km, area, k) for k, m, u, v, dam, area in lakes if score(n, m) and (km := kernels.measures(np.array([(x, y), (u, v)]))[-1] / 1000) <= 12]
+        if rank:
+            want[i] = max(rank)[-1]
+    got = repairs.match_lakes(a, b, "id", "lake")
+    assert {r.id: r.lake for r in got.collect()} == want and len(want) > 60
+    assert any(score(n, lakes[want[i]][1]) < max(score(n, m[1]) for m in lakes) for i, n, *_ in w if i in want)
+    scores = repairs.name_scores(a, b)
+    assert most_rows(scores) < 1000 and scores.count() == sum(score(x, y) > 0 for x in names for y in {m[1] for m in lakes})
