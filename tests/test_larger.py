@@ -169,3 +169,9 @@ def test_match_lakes_scores_names_once(spark):
     assert any(score(n, lakes[want[i]][1]) < max(score(n, m[1]) for m in lakes) for i, n, *_ in w if i in want)
     scores = repairs.name_scores(a, b)
     assert most_rows(scores) < 1000 and scores.count() == sum(score(x, y) > 0 for x in names for y in {m[1] for m in lakes})
+
+
+def test_bridge_crossings_broadcast_no_dealt_rows(spark):
+    """Small files of roads and courses are many rows once dealt to cells; their join must not go through the driver."""
+    plan = QUERIES["bridge_crossings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
